@@ -41,10 +41,15 @@ def null_tokens_to_null(df: DataFrame, tokens: tuple[str, ...] = V.NULL_TOKENS)
 
 def read_text_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None,
-    keep_tokens: bool = False,
+    keep_tokens: bool = False, splittable: bool = False,
 ) -> DataFrame:
-    """CSV with a header, every column a string, missing tokens NULL."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    """CSV with a header, every column a string, missing tokens NULL.
+
+    Quoted line breaks are honoured, which reads each file in one task. Files
+    known to have none may be read ``splittable``.
+    """
+    reader = spark.read.option("header", True).option("escape", '"')
+    reader = reader.option("multiLine", not splittable)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)
