@@ -465,3 +465,16 @@ def orphan_values(child: DataFrame, column: str, parent: DataFrame, parent_colum
     """Distinct non-null child values that the parent does not hold."""
     values = child.select(_quoted(column).alias("value")).where(F.col("value").isNotNull()).distinct()
     return values.join(parent.select(_quoted(parent_column).alias("value")), "value", "left_anti")
+
+
+def as_profile(facts: DataFrame, table_name: str, dataset: str = "") -> DataFrame:
+    """Measured facts in the profile schema; what was not measured is NULL."""
+    from limpid import schemas
+
+    have = set(facts.columns)
+    fixed = {"table_name": F.lit(table_name), "dataset": F.lit(dataset)}
+    return facts.select(*[
+        (fixed.get(f.name) if f.name in fixed else F.col(f.name) if f.name in have else F.lit(None))
+        .cast(f.dataType).alias(f.name)
+        for f in schemas.PROFILE_COLUMN.fields
+    ])
