@@ -114,7 +114,7 @@ def silver_products(spark, d):
 
 
 @query("silver_geolocation", """
-SELECT '0' || (c_custkey % 97) AS geolocation_zip_code_prefix, c_acctbal AS geolocation_lat,
+SELECT '0' || right(c_name, 3) AS geolocation_zip_code_prefix, c_acctbal AS geolocation_lat,
        CAST(c_nationkey AS DOUBLE) AS geolocation_lng, n_name AS geolocation_city,
        upper(c_mktsegment) AS geolocation_state
 FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -177,7 +177,7 @@ def delivery_delays(spark, d):
 
 @query("geolocation_by_city", """
 SELECT upper(c_mktsegment) AS geolocation_state, n_name AS geolocation_city,
-       count(*) AS n_points, count(DISTINCT c_custkey % 97) AS n_zip_prefixes
+       count(*) AS n_points, count(DISTINCT right(c_name, 3)) AS n_zip_prefixes
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 ORDER BY n_points DESC
 """)
 def geolocation_by_city(spark, d):

@@ -80,17 +80,17 @@ def normalised_words(spark, d):
 
 
 _BLANKS = (
-    "v AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', '') "
-    "WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', '  ') ELSE p_name END AS name FROM part)"
+    "v AS (SELECT CASE WHEN p_type = 'ECONOMY' THEN replace(p_name, ' ', '') "
+    "WHEN p_type = 'SMALL' THEN replace(p_name, ' ', '  ') ELSE p_name END AS name FROM part)"
 )
 
 
 def _names(spark, d):
     """Part names as three careless sources would write them."""
-    key = F.col("p_partkey")
+    kind = F.col("p_type")
     squeezed, spread = F.replace("p_name", F.lit(" "), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("  "))
     return t.read(spark, d, "part").select(
-        F.when(key % 5 == 0, squeezed).when(key % 7 == 0, spread).otherwise(F.col("p_name")).alias("name")
+        F.when(kind == "ECONOMY", squeezed).when(kind == "SMALL", spread).otherwise(F.col("p_name")).alias("name")
     )
 
 

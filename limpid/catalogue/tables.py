@@ -80,7 +80,7 @@ def raw_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").join(
         nation, F.col("c_nationkey") == F.col("n_nationkey")
     ).select(
-        F.concat(F.lit("0"), F.pmod("c_custkey", F.lit(97)).cast("string")).alias("geolocation_zip_code_prefix"),
+        F.concat(F.lit("0"), F.right("c_name", F.lit(3))).alias("geolocation_zip_code_prefix"),
         _text("c_acctbal").alias("geolocation_lat"), _text("c_nationkey").alias("geolocation_lng"),
         F.col("n_name").alias("geolocation_city"), F.lower("c_mktsegment").alias("geolocation_state"),
         F.lit("2018-03-01").alias(BATCH),
