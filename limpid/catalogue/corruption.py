@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from limpid.catalogue import query
 from limpid.catalogue import tables as t
+from limpid.functions import ranks
 from limpid.operators import checks, collisions, corrupt, score
 from limpid.plans import gold
+from limpid.session import stage
 
 RAMP = [
     {"id": "ramp", "table": "events", "type": "inject_nulls", "from_day": 10,
@@ -43,7 +45,8 @@ def ramped_events(spark, d):
     inside = e.join(rates, t.BATCH, "left_semi")
     rest = e.join(rates, t.BATCH, "left_anti")
     hit = corrupt.inject_nulls(inside, "event_type", rates, t.BATCH, ["event_id"])
-    return rest.unionByName(hit)
+    # a damaged delivery is a written table to those who read it
+    return stage(rest.unionByName(hit), "events")
 
 
 @query("inject_nulls_events", f"""
@@ -76,7 +79,7 @@ dup AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE hit)"""
 def duplicated_lines(spark, d):
     li = t.read(spark, d, "lineitem").withColumn("year", F.date_format("l_shipdate", "yyyy"))
     identity = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    return corrupt.duplicate_rows(li, 0.15, "year", identity)
+    return stage(corrupt.duplicate_rows(li, 0.15, "year", identity), "lineitem")
 
 
 @query("duplicate_rows_lineitem", f"""
@@ -91,6 +94,21 @@ def duplicate_rows_lineitem(spark, d):
     )
 
 
+@query("sample_by_rank", f"""
+WITH {_DUPLICATED} SELECT b AS year, count(*) AS "rows", CAST(sum(l_orderkey) AS BIGINT) AS key_sum FROM s WHERE hit GROUP BY 1
+""")
+def sample_by_rank(spark, d):
+    """An exact sample of every year without ordering a year in one task."""
+    li = t.read(spark, d, "lineitem").withColumn("year", F.date_format("l_shipdate", "yyyy"))
+    sizes = li.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.select("year", F.bround(F.col("n") * 0.15, 0).cast("long").alias("_rank"))
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    digest = ranks.sampling_key(42, *[F.col(c) for c in names])
+    return ranks.mark_sample(li, ["year"], wanted, digest, "hit").where("hit").groupBy("year").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("key_sum")
+    )
+
+
 @query("duplicated_row_count", f"""
 WITH {_DUPLICATED}, g AS (
   SELECT count(*) AS n FROM dup GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
@@ -121,12 +139,17 @@ SELECT l_returnflag, count(*) AS "rows", CAST(sum(l_orderkey) AS BIGINT) AS key_
 FROM r WHERE rn <= round_even(n * CAST(0.3 AS DOUBLE), 0) GROUP BY 1
 """)
 def truncate_rows_with_ties(spark, d):
-    """Thousands of rows share the boundary value: their digests decide."""
+    """Thousands of rows share the boundary value: their digests decide.
+
+    Taken without ordering a key in one task, as for keys of any size.
+    """
     li = t.read(spark, d, "lineitem")
-    kept = corrupt.truncate_rows(
-        li, 0.3, "l_returnflag", F.col("l_quantity"),
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-    )
+    sizes = li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.select("l_returnflag", F.bround(F.col("n") * 0.3, 0).cast("long").alias("_rank"))
+    names = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    digest = ranks.sampling_key(42, *[F.col(c) for c in names])
+    marked = ranks.mark_first(li, ["l_returnflag"], wanted, F.col("l_quantity"), digest, "hit")
+    kept = marked.where("hit")
     return kept.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("key_sum"),
         F.max("l_quantity").alias("last"),
@@ -147,9 +170,9 @@ _VARIED = _sql_varied()
 
 
 def varied_customers(spark, d):
-    return corrupt.semantic_variants(
+    return stage(corrupt.semantic_variants(
         t.read(spark, d, "customer"), "c_mktsegment", VARIANTS, 0.4, "c_nationkey", ["c_custkey"]
-    )
+    ), "customer")
 
 
 @query("semantic_variants_customer", f"WITH {_VARIED} SELECT * FROM varied")

@@ -16,6 +16,9 @@ from limpid.session import stage
 
 SUB_BUCKETS = 1024
 
+WINDOW_LIMIT = 1_000_000
+"""Rows per key up to which one task may order a key."""
+
 
 def coarse_key(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows.
@@ -191,16 +194,31 @@ def _mark_below(
     return clear.drop("_number", "_limit", "_rest"), placed.where(on_edge).drop("_number", "_limit")
 
 
+def _mark_by_window(
+    df: DataFrame, keys: list[str], wanted: DataFrame, order: list[Column], flag: str
+) -> DataFrame:
+    """The plain way, for keys known to be small."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = df.withColumn("_place", place).join(wanted.select(*keys, "_rank"), keys, "left")
+    return ranked.withColumn(
+        flag, F.coalesce(F.col("_place") <= F.col("_rank"), F.lit(False))
+    ).drop("_place", "_rank")
+
+
 def mark_sample(
-    df: DataFrame, keys: list[str], wanted: DataFrame, digest: Column, flag: str
+    df: DataFrame, keys: list[str], wanted: DataFrame, digest: Column, flag: str,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``flag``: is the row among the first n of its key, in digest order?
 
     ``wanted`` holds ``keys`` and ``_rank`` = n. Rows with equal digests are
     interchangeable, so the digest must tell rows apart: where copies exist,
-    put the file position of the row into ``sampling_key``.
+    put the file position of the row into ``sampling_key``. ``largest`` is the
+    measured size of the largest key, if known.
     """
     rows = df.withColumn("_digest", digest)
+    if largest is not None and largest <= WINDOW_LIMIT:
+        return _mark_by_window(rows, keys, wanted, [F.col("_digest")], flag).drop("_digest")
     clear, edge = _mark_below(rows, keys, wanted, _digest_number(F.col("_digest")), flag)
     order = Window.partitionBy(*keys).orderBy("_digest")
     edge = edge.withColumn(flag, F.row_number().over(order) <= F.col("_rest")).drop("_rest")
@@ -208,9 +226,17 @@ def mark_sample(
 
 
 def mark_first(
-    df: DataFrame, keys: list[str], wanted: DataFrame, number: Column, digest: Column, flag: str
+    df: DataFrame, keys: list[str], wanted: DataFrame, number: Column, digest: Column, flag: str,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Like ``mark_sample`` in the order of ``number``, ties in digest order."""
+    """Like ``mark_sample`` in the order of ``number``, ties in digest order.
+
+    Rows without a number are never among the first.
+    """
+    if largest is not None and largest <= WINDOW_LIMIT:
+        order = [number.asc_nulls_last(), digest]
+        marked = _mark_by_window(df, keys, wanted, order, flag)
+        return marked.withColumn(flag, F.col(flag) & number.isNotNull())
     clear, edge = _mark_below(df, keys, wanted, number, flag)
     edge = stage(edge, "rank-edge")
     rest = edge.select(*keys, F.col("_rest").alias("_rank")).distinct()

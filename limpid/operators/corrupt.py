@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limpid import schemas
 from limpid.functions import ranks
+from limpid.session import stage
 
 Rate = float | DataFrame
 
@@ -25,15 +26,21 @@ def _columns_must_exist(df: DataFrame, *columns: str) -> None:
             raise ValueError(f"column {c!r} is not in the table")
 
 
-def _wanted(candidates: DataFrame, batch: str, rate: Rate) -> DataFrame:
-    """Rows to take per batch; ``rate`` may differ by batch (batch, rate)."""
+def _wanted(candidates: DataFrame, batch: str, rate: Rate) -> tuple[DataFrame, int]:
+    """Rows to take per batch, and the size of the largest batch.
+
+    ``rate`` may differ by batch (batch, rate). The driver reads one number; the
+    counts themselves stay a table.
+    """
     counted = candidates.groupBy(batch).agg(F.count(F.lit(1)).alias("_total"))
     if isinstance(rate, DataFrame):
         counted = counted.join(rate.select(batch, F.col("rate").alias("_rate")), batch)
     else:
         counted = counted.withColumn("_rate", F.lit(float(rate)))
-    share = F.col("_total") * F.col("_rate")
-    return counted.select(batch, F.bround(share, 0).cast("long").alias("_rank"))
+    counted = stage(counted, "batch-sizes")
+    share = F.bround(F.col("_total") * F.col("_rate"), 0).cast("long")
+    largest = counted.agg(F.max("_total").alias("m")).first()["m"]
+    return counted.select(batch, share.alias("_rank")), largest or 0
 
 
 def _digest(seed: int | str, identity: list[str]) -> Column:
@@ -49,7 +56,8 @@ def inject_nulls(
     df: DataFrame, column: str, rate: Rate, batch: str, identity: list[str], seed: int | str = 42
 ) -> DataFrame:
     _columns_must_exist(df, column, batch, *identity)
-    hit = ranks.mark_sample(df, [batch], _wanted(df, batch, rate), _digest(seed, identity), "_hit")
+    wanted, largest = _wanted(df, batch, rate)
+    hit = ranks.mark_sample(df, [batch], wanted, _digest(seed, identity), "_hit", largest)
     emptied = F.when(~F.col("_hit"), F.col(column)).alias(column)
     return hit.select(*[emptied if c == column else F.col(f"`{c}`") for c in df.columns])
 
@@ -59,7 +67,8 @@ def duplicate_rows(
 ) -> DataFrame:
     """Append chosen rows a second time, like a job that ran twice."""
     _columns_must_exist(df, batch, *identity)
-    hit = ranks.mark_sample(df, [batch], _wanted(df, batch, rate), _digest(seed, identity), "_hit")
+    wanted, largest = _wanted(df, batch, rate)
+    hit = ranks.mark_sample(df, [batch], wanted, _digest(seed, identity), "_hit", largest)
     times = F.when(F.col("_hit"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return hit.withColumn("_copy", F.explode(times)).select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -69,8 +78,9 @@ def truncate_rows(
 ) -> DataFrame:
     """Keep the first rows of every batch in the order of a number."""
     _columns_must_exist(df, batch, *identity)
+    wanted, largest = _wanted(df, batch, keep)
     hit = ranks.mark_first(
-        df, [batch], _wanted(df, batch, keep), order.cast("double"), _digest(seed, identity), "_hit"
+        df, [batch], wanted, order.cast("double"), _digest(seed, identity), "_hit", largest
     )
     return hit.where("_hit").select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -87,9 +97,8 @@ def semantic_variants(
     _columns_must_exist(df, column, batch, *identity)
     candidate = F.coalesce(F.col(column).isin(list(variants)), F.lit(False))
     rest, inside = df.where(~candidate), df.where(candidate)
-    hit = ranks.mark_sample(
-        inside, [batch], _wanted(inside, batch, rate), _digest(seed, identity), "_hit"
-    )
+    wanted, largest = _wanted(inside, batch, rate)
+    hit = ranks.mark_sample(inside, [batch], wanted, _digest(seed, identity), "_hit", largest)
     table = F.create_map(*[F.lit(x) for kv in variants.items() for x in kv])
     changed = F.when(F.col("_hit"), F.element_at(table, F.col(column))).otherwise(F.col(column)).alias(column)
     return rest.unionByName(

@@ -42,11 +42,6 @@ def batch_filter(df: DataFrame, batch_column: str | None, batch_id: str | None)
     return df.where(F.col(batch_column) == F.lit(batch_id))
 
 
-def measured_columns(df: DataFrame, batch_column: str | None) -> list[str]:
-    """Every column, the batch column too: the reference profiles it as well."""
-    return list(df.columns)
-
-
 def _batch(df: DataFrame, batch_column: str | None) -> Column:
     return F.col(batch_column).cast("string") if batch_column else F.lit(WHOLE)
 
@@ -55,6 +50,14 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def frequency_table(
     df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None
 ) -> DataFrame:
@@ -63,17 +66,16 @@ def frequency_table(
     Partial aggregation leaves one row per distinct value and task before the
     shuffle, so a value held by a third of all rows costs nothing extra.
     """
-    columns = columns or measured_columns(df, batch_column)
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("string").alias("value"))
-        for c in columns
-    ]
-    cells = df.select(_batch(df, batch_column).alias("batch_id"), F.explode(F.array(*entries)).alias("e"))
+    columns = columns or list(df.columns)
+    # one SQL text instead of several driver calls per column
+    entries = ", ".join(
+        f"struct({_sql_text(c)} AS column_name, CAST({_sql_name(c)} AS STRING) AS value)" for c in columns
+    )
+    cells = df.select(_batch(df, batch_column).alias("batch_id"), F.expr(f"inline(array({entries}))"))
     return (
-        cells.select("batch_id", "e.column_name", "e.value")
-        .where(F.col("value").isNotNull())
+        cells.where("value IS NOT NULL")
         .groupBy("batch_id", "column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) AS n"))
     )
 
 
@@ -84,51 +86,34 @@ def column_bounds(
 
     Bounds follow the type of the column: text compares as text.
     """
-    columns = columns or measured_columns(df, batch_column)
+    columns = columns or list(df.columns)
     schema = {f.name: f.dataType for f in df.schema.fields}
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
+    aggregates, entries = ["count(1) AS row_count"], []
     for i, c in enumerate(columns):
-        value = _quoted(c)
+        value, kind = _sql_name(c), type_class(schema[c])
         if not isinstance(schema[c], T.AtomicType):
-            value = value.cast("string")
+            value = f"CAST({value} AS STRING)"
         aggregates += [
-            F.count(value).alias(f"_n{i}"),
-            F.min(value).cast("string").alias(f"_lo{i}"),
-            F.max(value).cast("string").alias(f"_hi{i}"),
+            f"count({value}) AS _n{i}", f"min({value}) AS _lo{i}", f"max({value}) AS _hi{i}"
         ]
-        if type_class(schema[c]) == "number":
-            aggregates += [
-                F.min(value).cast("double").alias(f"_nlo{i}"),
-                F.max(value).cast("double").alias(f"_nhi{i}"),
-            ]
-    source = df.withColumn("_batch", _batch(df, batch_column))
+        low, high = (
+            (f"CAST(_lo{i} AS DOUBLE)", f"CAST(_hi{i} AS DOUBLE)") if kind == "number"
+            else ("CAST(NULL AS DOUBLE)",) * 2
+        )
+        entries.append(
+            f"struct({_sql_text(c)} AS column_name, {_sql_text(schema[c].simpleString())} AS type, "
+            f"'{kind}' AS type_class, {i + 1} AS position, _n{i} AS non_null_count, "
+            f"CAST(_lo{i} AS STRING) AS min, CAST(_hi{i} AS STRING) AS max, "
+            f"{low} AS min_number, {high} AS max_number)"
+        )
     if batch_column:
-        wide = source.groupBy(F.col("_batch").alias("batch_id")).agg(*aggregates)
+        keyed = df.select("*", _batch(df, batch_column).alias("_batch"))
+        wide = keyed.groupBy(F.col("_batch").alias("batch_id")).agg(*map(F.expr, aggregates))
     else:
         # a global aggregate keeps one row for an empty table
-        wide = df.agg(*aggregates).withColumn("batch_id", F.lit(WHOLE))
-
-    def entry(i: int, c: str) -> Column:
-        number = type_class(schema[c]) == "number"
-        none = F.lit(None).cast("double")
-        return F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(schema[c].simpleString()).alias("type"),
-            F.lit(type_class(schema[c])).alias("type_class"),
-            F.lit(i + 1).alias("position"),
-            F.col(f"_n{i}").alias("non_null_count"),
-            F.col(f"_lo{i}").alias("min"),
-            F.col(f"_hi{i}").alias("max"),
-            (F.col(f"_nlo{i}") if number else none).alias("min_number"),
-            (F.col(f"_nhi{i}") if number else none).alias("max_number"),
-        )
-
+        wide = df.selectExpr(*aggregates).select(F.lit(WHOLE).alias("batch_id"), "*")
     return (
-        wide.select(
-            "batch_id", "row_count",
-            F.explode(F.array(*[entry(i, c) for i, c in enumerate(columns)])).alias("e"),
-        )
-        .select("batch_id", "row_count", "e.*")
+        wide.select("batch_id", "row_count", F.expr(f"inline(array({', '.join(entries)}))"))
         .withColumn("null_count", F.col("row_count") - F.col("non_null_count"))
         .withColumn("null_rate", text.rate(F.col("null_count"), F.col("row_count")))
     )
@@ -146,7 +131,7 @@ def approximate_distinct(
     error: float = 0.05,
 ) -> DataFrame:
     """Sketched distinct counts: no shuffle of values, but not exact."""
-    columns = columns or measured_columns(df, batch_column)
+    columns = columns or list(df.columns)
     wide = df.groupBy(_batch(df, batch_column).alias("batch_id")).agg(
         *[F.approx_count_distinct(_quoted(c), error).alias(c) for c in columns]
     )
