@@ -9,7 +9,6 @@ from limpid.catalogue import tables as t
 from limpid.functions import ranks
 from limpid.operators import checks, collisions, corrupt, score
 from limpid.plans import gold
-from limpid.session import stage
 
 RAMP = [
     {"id": "ramp", "table": "events", "type": "inject_nulls", "from_day": 10,
@@ -38,6 +37,7 @@ SQL_RAMPED = (
 )
 
 
+@t.shared
 def ramped_events(spark, d):
     """Events whose type goes missing on more and more rows."""
     rates = corrupt.spread(spark, RAMP, "2024-01-01").select(F.col("batch_id").alias(t.BATCH), "rate")
@@ -45,8 +45,7 @@ def ramped_events(spark, d):
     inside = e.join(rates, t.BATCH, "left_semi")
     rest = e.join(rates, t.BATCH, "left_anti")
     hit = corrupt.inject_nulls(inside, "event_type", rates, t.BATCH, ["event_id"])
-    # a damaged delivery is a written table to those who read it
-    return stage(rest.unionByName(hit), "events")
+    return rest.unionByName(hit)
 
 
 @query("inject_nulls_events", f"""
@@ -76,10 +75,11 @@ s AS ({sql_sample('li', 'b', "l_orderkey || '|' || l_linenumber || '|' || l_part
 dup AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE hit)"""
 
 
+@t.shared
 def duplicated_lines(spark, d):
     li = t.read(spark, d, "lineitem").withColumn("year", F.date_format("l_shipdate", "yyyy"))
     identity = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
-    return stage(corrupt.duplicate_rows(li, 0.15, "year", identity), "lineitem")
+    return corrupt.duplicate_rows(li, 0.15, "year", identity)
 
 
 @query("duplicate_rows_lineitem", f"""
@@ -169,10 +169,11 @@ varied AS (SELECT c_custkey, c_nationkey, CASE WHEN hit THEN variant ELSE c_mkts
 _VARIED = _sql_varied()
 
 
+@t.shared
 def varied_customers(spark, d):
-    return stage(corrupt.semantic_variants(
+    return corrupt.semantic_variants(
         t.read(spark, d, "customer"), "c_mktsegment", VARIANTS, 0.4, "c_nationkey", ["c_custkey"]
-    ), "customer")
+    )
 
 
 @query("semantic_variants_customer", f"WITH {_VARIED} SELECT * FROM varied")

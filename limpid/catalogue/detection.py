@@ -11,9 +11,9 @@ from limpid.catalogue.corruption import (
 )
 from limpid.operators import contracts as C, detect as D, profile as P
 from limpid.sources import catalog, history
-from limpid.session import stage
 
 
+@t.shared
 def ramped_metrics(spark, d) -> DataFrame:
     e = ramped_events(spark, d).select(t.BATCH, "event_type", "value")
     columns = ["event_type", "value"]
@@ -90,7 +90,7 @@ WHERE b = '2024-01-25' AND n >= 15 AND CASE WHEN mad = 0 THEN v <> med ELSE abs(
 """)
 def statistical_one_day(spark, d):
     """One batch against its stored history: a null-safe join on the series."""
-    metrics = stage(ramped_metrics(spark, d), "metrics")
+    metrics = ramped_metrics(spark, d)
     past = history.metric_history(metrics, "shop", "RAW.EVENTS", "2024-01-25")
     today = metrics.where(F.col("batch_id") == "2024-01-25")
     found = D.statistical(D.compare_to_series(today, past))
@@ -199,6 +199,7 @@ def probable_renames(spark, d):
 REFERENCE_END = "2024-01-10"
 
 
+@t.shared
 def event_contract(spark, d) -> DataFrame:
     """Proposed from the clean days before the ramp, signed as it stands."""
     e = t.events_by_day(spark, d).where(F.col(t.BATCH) < REFERENCE_END)
@@ -206,6 +207,7 @@ def event_contract(spark, d) -> DataFrame:
     return clauses.withColumn("status", F.lit("approved")).withColumn("approved_by", F.lit("steward"))
 
 
+@t.shared
 def damaged_profile(spark, d) -> DataFrame:
     """Daily profiles of the ramped events, with clicks renamed on the last days."""
     late = (F.col(t.BATCH) >= "2024-01-28") & (F.col("event_type") == "click")
@@ -213,7 +215,7 @@ def damaged_profile(spark, d) -> DataFrame:
         "event_type", F.when(late, F.lit("CLICK ")).otherwise(F.col("event_type"))
     )
     e = e.select(t.BATCH, "event_id", "user_id", "event_type", "value")
-    return stage(P.profile_table(e, "RAW.EVENTS", "shop", t.BATCH), "profile")
+    return P.profile_table(e, "RAW.EVENTS", "shop", t.BATCH)
 
 
 SQL_DAMAGED = f"""{SQL_RAMPED}, dm AS (

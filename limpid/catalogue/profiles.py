@@ -231,7 +231,10 @@ SELECT table_name, column_name, CASE
 FROM ({rows})"""
 
 
-@query("roles", _sql_role())
+SQL_ROLES = _sql_role()
+
+
+@query("roles", SQL_ROLES)
 def roles(spark, d):
     facts = [_facts(t.read(spark, d, x), x) for x in TABLES if x != "documents"]
     return P.classify(reduce(DataFrame.unionByName, facts)).select("table_name", "column_name", "role")

@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from limpid.session import stage
+
 BATCH = "_batch_id"
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Write the table once per session; later queries read it.
+
+    Stands for what earlier jobs of a day leave behind (a damaged delivery, its
+    profile, a signed contract). ``forget`` makes the next use build it again.
+    """
+    @functools.wraps(fn)
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, fn.__module__, fn.__name__, sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = stage(fn(spark, sf_dir), fn.__name__.replace("_", "-"))
+        return _SHARED[key]
+
+    return build
+
+
+def forget() -> None:
+    _SHARED.clear()
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
