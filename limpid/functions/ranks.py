@@ -182,7 +182,11 @@ def _mark_below(
     freq = rows.where(F.col("_number").isNotNull()).select(
         *keys, "_number", F.lit(1).cast("long").alias("_n")
     )
-    asked = wanted.where(F.col("_rank") >= 1)
+    # asking for more rows than there are means all of them
+    sizes = freq.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    asked = wanted.join(sizes, keys).select(
+        *keys, F.least("_rank", "_size").alias("_rank")
+    ).where(F.col("_rank") >= 1)
     limit = stage(value_at_rank(freq, keys, asked, "_number", "_n"), "first-rows").select(
         *keys, F.col("_number").alias("_limit"), (F.col("_rank") - F.col("_below")).alias("_rest")
     )

@@ -30,12 +30,16 @@ def build_session(app: str = "limpid", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def configured_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder shared by all executors, as the cluster names it.
 
     Only a local master may fall back to a folder of this machine.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = configured_folder(spark)
     if shared:
         return os.path.join(shared, "limpid", spark.sparkContext.applicationId)
     if not spark.sparkContext.master.startswith("local"):
