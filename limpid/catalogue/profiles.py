@@ -193,8 +193,7 @@ def robust_stats_events_by_day(spark, d):
     f"round(mad(CAST({c} AS DOUBLE)), 6) AS mad FROM lineitem" for c in _LINE_NUMBERS))
 def medians_by_rank(spark, d):
     """The way taken for columns of any cardinality: bucket counts, then one bucket."""
-    freq = stage(P.frequency_table(t.read(spark, d, "lineitem"), _LINE_NUMBERS), "frequency")
-    numbers = freq.withColumn("v", F.col("value").try_cast("double"))
+    numbers = stage(P.numeric_frequency(t.read(spark, d, "lineitem"), _LINE_NUMBERS), "frequency")
     stats = P.robust_frame(numbers, ["batch_id", "column_name"], bounded=False)
     return stats.select("column_name", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 

@@ -19,6 +19,9 @@ SUB_BUCKETS = 1024
 WINDOW_LIMIT = 1_000_000
 """Rows per key up to which one task may order a key."""
 
+BUCKET_LIMIT = 1_000_000
+"""Values in a bucket up to which one task may order the bucket."""
+
 
 def coarse_key(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows.
@@ -79,16 +82,19 @@ def value_at_rank(
     ``_rank``, several per key if wanted. Returns ``keys, _rank, value,
     _below`` where ``_below`` counts the rows with a smaller value.
 
-    Two narrowings (octave slices, then linear slices of what is left), each
-    written once, leave about a millionth of a spread-out group for the last
-    ordering.
+    Octave slices leave about a thousandth of a spread-out group for the last
+    ordering; where the widest bucket found still exceeds ``BUCKET_LIMIT``,
+    linear slices of it leave a thousandth of that.
     """
     wanted = [*keys, "_rank"]
     rows = freq.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_n"))
     first = (
         rows.withColumn("_b", coarse_key(F.col("_v")))
         .groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(
+            F.sum("_n").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
         .withColumn(
             "_upto", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_b"))
         )
@@ -97,29 +103,17 @@ def value_at_rank(
             (F.col("_upto") >= F.col("_rank"))
             & (F.col("_upto") - F.col("_w") < F.col("_rank"))
         )
-        .select(*wanted, "_lo", "_hi", (F.col("_upto") - F.col("_w")).alias("_before"))
-    )
-    first = stage(first, "rank-octave")
-
-    # both ranks of a median usually share a bucket; each is followed on its own
-    left = (
-        rows.join(first, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("_b", linear_key(F.col("_v"), F.col("_lo"), F.col("_hi")))
-        .withColumn("_rest", F.col("_rank") - F.col("_before"))
-    )
-    second = _bucket_of_rank(left, wanted, "_b", "_v", "_n", "_rest")
-    second = stage(
-        second.join(first.select(*wanted, F.col("_before").alias("_skipped")), wanted)
-        .select(
-            *wanted, "_lo", "_hi",
-            (F.col("_before") + F.col("_skipped")).alias("_before"),
-        ),
-        "rank-slice",
+        .select(*wanted, "_lo", "_hi", "_rows", (F.col("_upto") - F.col("_w")).alias("_before"))
     )
+    found = stage(first, "rank-octave")
+    # one number for the driver: rows of the widest bucket that holds a rank
+    widest = found.agg(F.max("_rows").alias("w")).first()["w"] or 0
+    found = found.drop("_rows")
+    if widest > BUCKET_LIMIT:
+        found = _narrow(rows, wanted, found)
 
     last = (
-        rows.join(second, keys)
+        rows.join(found, keys)
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         .groupBy(*wanted, "_before", "_v")
         .agg(F.sum("_n").alias("_n"))
@@ -137,6 +131,27 @@ def value_at_rank(
     )
 
 
+def _narrow(rows: DataFrame, wanted: list[str], first: DataFrame) -> DataFrame:
+    """Linear slices of every bucket found, and the slice that holds the rank."""
+    keys = wanted[:-1]
+    # both ranks of a median usually share a bucket; each is followed on its own
+    left = (
+        rows.join(first, keys)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .withColumn("_b", linear_key(F.col("_v"), F.col("_lo"), F.col("_hi")))
+        .withColumn("_rest", F.col("_rank") - F.col("_before"))
+    )
+    second = _bucket_of_rank(left, wanted, "_b", "_v", "_n", "_rest")
+    return stage(
+        second.join(first.select(*wanted, F.col("_before").alias("_skipped")), wanted)
+        .select(
+            *wanted, "_lo", "_hi",
+            (F.col("_before") + F.col("_skipped")).alias("_before"),
+        ),
+        "rank-slice",
+    )
+
+
 def median_by_rank(freq: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Exact interpolated median per key: mean of the two middle values."""
     middle = freq.groupBy(*keys).agg(F.sum(weight).alias("_total"))

@@ -254,6 +254,36 @@ def _written_numbers(freq: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def numeric_frequency(
+    df: DataFrame, columns: list[str], batch_column: str | None = None
+) -> DataFrame:
+    """``(batch_id, column_name, v, n)``: values read as doubles, never as text.
+
+    Typed columns are cast; text is read where it is a number, and its other
+    values are counted together under a NULL ``v``.
+    """
+    classes = {f.name: type_class(f.dataType) for f in df.schema.fields}
+    pattern = _sql_text(V.NUMBER_PATTERN)
+
+    def reading(c: str) -> str:
+        name = _sql_name(c)
+        if classes[c] == "number":
+            return f"CAST({name} AS DOUBLE)"
+        return f"CASE WHEN trim({name}) RLIKE {pattern} THEN try_cast(trim({name}) AS DOUBLE) END"
+
+    entries = ", ".join(
+        f"struct({_sql_text(c)} AS column_name, {reading(c)} AS v, {_sql_name(c)} IS NOT NULL AS filled)"
+        for c in columns
+    )
+    cells = df.select(_batch(df, batch_column).alias("batch_id"), F.expr(f"inline(array({entries}))"))
+    return (
+        cells.where("filled")
+        .select("batch_id", "column_name", F.expr("CASE WHEN NOT isnan(v) THEN v END AS v"))
+        .groupBy("batch_id", "column_name", "v")
+        .agg(F.expr("count(1) AS n"))
+    )
+
+
 def robust_frame(numbers: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
     """Median, MAD, bounds and readable share from ``(keys, v, n)``.
 
@@ -306,9 +336,8 @@ def robust_stats(
     bounds = column_bounds(rows, present, batch_column)
     frame = bounds.select("batch_id", "column_name", "type", F.col("non_null_count").alias("filled"), "type_class")
     if measurable:
-        freq = stage(frequency_table(rows, measurable, batch_column), "frequency")
-        sizes = freq.groupBy("batch_id", "column_name").agg(F.count(F.lit(1)).alias("distinct"))
-        numbers = _written_numbers(freq, bounds)
+        numbers = stage(numeric_frequency(rows, measurable, batch_column), "frequency")
+        sizes = numbers.groupBy("batch_id", "column_name").agg(F.count(F.lit(1)).alias("distinct"))
         stats = robust_frame(numbers, ["batch_id", "column_name"], _bounded(sizes))
     else:
         stats = frame.select("batch_id", "column_name").limit(0)

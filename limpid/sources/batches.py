@@ -66,16 +66,20 @@ def stamp(df: DataFrame, batch_id: Column | str, source: Column | str) -> DataFr
     )
 
 
-def write_batches(df: DataFrame, path: str, partition: str = "_batch_id") -> None:
+def write_batches(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace exactly the batches present in ``df``; other batches stay.
 
     Loading a batch twice leaves the same rows. New columns simply appear in
-    the new files and are merged when the table is read.
+    the new files and are merged when the table is read. The rebalance keeps
+    files of a sensible size: small batches share a task, adaptive execution
+    splits one that holds most of the rows.
     """
+    by = partitions or ("_batch_id",)
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(*by)
         .parquet(path)
     )
 
@@ -189,17 +193,16 @@ def slice_of_day(
     return out
 
 
-def write_days(df: DataFrame, path: str, day: str = "_batch_id") -> None:
+def write_days(df: DataFrame, path: str, day: str = "_batch_id", parts: int = 16) -> None:
     """Files per day, sorted by the first two columns, the same on every run.
 
-    The day is salted by the leading column so that a heavy day spreads over
-    several sorted files instead of going through one task.
+    A day is cut into ``parts`` by its leading column, so that a heavy day is
+    sorted by that many tasks; choose it by the volume of a day.
     """
-    first, second = df.columns[0], df.columns[1]
-    rest = [c for c in df.columns if c not in (day,)]
+    first, second = [c for c in df.columns if c != day][:2]
     (
-        df.repartition(F.col(day), F.pmod(F.xxhash64(first), F.lit(16)))
-        .sortWithinPartitions(day, first, second, *[c for c in rest if c not in (first, second)])
+        df.repartition(F.col(day), F.pmod(F.xxhash64(first), F.lit(parts)))
+        .sortWithinPartitions(day, first, second, *[c for c in df.columns if c not in (day, first, second)])
         .write.mode("overwrite")
         .partitionBy(day)
         .parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from limpid import schemas, vocabulary as V
 from limpid.functions import text
+from limpid.sources.batches import write_batches
 
 
 def read_schema(
@@ -68,12 +69,7 @@ def metric_history(
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Replace the metrics of the batches written, never append to them."""
-    (
-        metrics.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "table_name", "batch_id")
-        .parquet(path)
-    )
+    write_batches(metrics, path, "dataset", "table_name", "batch_id")
 
 
 def append_incidents(incidents: DataFrame, path: str) -> None:

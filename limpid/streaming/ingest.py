@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from limpid.sources.batches import null_tokens_to_null, read_batches, path_exists, write_batches
+from limpid.sources.batches import null_tokens_to_null, write_batches
 
 
 def incoming(spark: SparkSession, folder: str, table: str, columns: list[str]) -> DataFrame:
@@ -27,25 +27,11 @@ def incoming(spark: SparkSession, folder: str, table: str, columns: list[str]) -
 def replace_delivered(bronze: str):
     """A ``foreachBatch`` sink that replaces what each file delivered before.
 
-    A day may arrive in several files and in several micro-batches: rows of the
-    same batch from other files are kept, rows of the same file are replaced.
+    The table is partitioned by batch and file, so a repeated micro-batch or a
+    file delivered again overwrites its own rows only; nothing is read back.
     """
     def write(df: DataFrame, _epoch: int) -> None:
-        spark = df.sparkSession
-        keep = df
-        if path_exists(spark, bronze):
-            old = read_batches(spark, bronze)
-            days = df.select("_batch_id").distinct()
-            files = df.select("_batch_id", "_source").distinct()
-            others = old.join(days, "_batch_id", "left_semi").join(
-                files, ["_batch_id", "_source"], "left_anti"
-            )
-            keep = others.unionByName(df, allowMissingColumns=True)
-            # the partitions read are the partitions written
-            from limpid.session import stage
-
-            keep = stage(keep, "stream-batch")
-        write_batches(keep, bronze)
+        write_batches(df, bronze, "_batch_id", "_source")
 
     return write
 

@@ -41,7 +41,9 @@ def test_medians_agree_with_statistics(spark, rows):
         assert by_rank[g] == pytest.approx(want, rel=1e-12) and by_map[g] == pytest.approx(want, rel=1e-12)
 
 
-def test_every_rank_of_a_skewed_group(spark, rows):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_every_rank_of_a_skewed_group(spark, rows, limit, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_LIMIT", limit)
     df = frame(spark, rows).withColumn("n", F.lit(1).cast("long"))
     wanted = spark.createDataFrame(
         [(g, k) for g in "abc" for k in (1, 2, 50, 123, 400, 700)], "g string, _rank long"
