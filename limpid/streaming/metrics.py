@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def windowed_metrics(
@@ -11,9 +11,13 @@ def windowed_metrics(
     """Row, null and approximate distinct counts per window.
 
     Works on batch and streaming frames alike; the watermark bounds the state
-    and drops events later than ``late``.
+    and drops events later than ``late``. Windows are cut in UTC; a time without
+    zone counts as UTC whatever the zone of the session.
     """
-    stamped = events.withColumn("_t", F.col(time).cast("timestamp"))
+    moment = F.col(time).cast("timestamp")
+    if isinstance(events.schema[time].dataType, T.TimestampNTZType):
+        moment = F.concat(F.col(time).cast("string"), F.lit("Z")).cast("timestamp")
+    stamped = events.withColumn("_t", moment)
     if events.isStreaming:
         stamped = stamped.withWatermark("_t", late)
     aggregates = [F.count(F.lit(1)).alias("row_count")]
@@ -23,8 +27,10 @@ def windowed_metrics(
             F.approx_count_distinct(c).alias(f"distinct__{c}"),
         ]
     return stamped.groupBy(F.window("_t", width).alias("w")).agg(*aggregates).select(
-        F.date_format("w.start", "yyyy-MM-dd").alias("batch_id"),
-        *[c for c in ["row_count"] + [f"{m}__{c}" for c in columns for m in ("null_count", "distinct")]],
+        F.date_format(
+            F.convert_timezone(None, F.lit("UTC"), F.col("w.start").cast("timestamp_ntz")), "yyyy-MM-dd"
+        ).alias("batch_id"),
+        "row_count", *[f"{m}__{c}" for c in columns for m in ("null_count", "distinct")],
     )
 
 

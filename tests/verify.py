@@ -1,5 +1,6 @@
 """Run registered queries against their SQL: verify.py [sf_dir] [name-part ...]"""
 
+import os
 import pathlib
 import sys
 import time
@@ -8,15 +9,21 @@ sys.path[:0] = [str(pathlib.Path(__file__).resolve().parent.parent), str(pathlib
 
 import __spark_entry__ as entry  # noqa: E402
 from limpid.session import build_session  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 from oracle import connect, differences  # noqa: E402
 
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
-    spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-        "spark.ui.showConsoleProgress": "false"})
+    if os.environ.get("PLAIN"):  # a session that knows nothing of this package
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config(
+            "spark.sql.session.timeZone", os.environ["PLAIN"]).config(
+            "spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", **{
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+            "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     sqls = entry.oracle_sql()
