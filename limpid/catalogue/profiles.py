@@ -52,7 +52,7 @@ def _sql_facts(table: str, batch: str = "'*'", source: str | None = None) -> str
 
 def _facts(df: DataFrame, table: str, batch_column: str | None = None) -> DataFrame:
     columns = [c.split(":")[0] for c in TABLES[table]]
-    freq = P.frequency_table(df, columns, batch_column)
+    freq = P.frequency_table(df, columns, batch_column, P.DIGEST_OVER)
     return P.with_distinct(P.column_bounds(df, columns, batch_column), freq).withColumn(
         "table_name", F.lit(table)
     )

@@ -19,6 +19,9 @@ from limpid.session import stage
 WHOLE = "*"
 """Batch id standing for a table profiled in one piece."""
 
+DIGEST_OVER = 256
+"""Length from which counting shuffles a digest of a text instead of the text."""
+
 MAP_LIMIT = 200_000
 """Distinct values per group up to which ``percentile`` may keep its map."""
 
@@ -59,18 +62,31 @@ def _sql_text(value: str) -> str:
 
 
 def frequency_table(
-    df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None
+    df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None,
+    digest_over: int | None = None,
 ) -> DataFrame:
     """``(batch_id, column_name, value, n)`` for all non-null values, as text.
 
     Partial aggregation leaves one row per distinct value and task before the
-    shuffle, so a value held by a third of all rows costs nothing extra.
+    shuffle, so a value held by a third of all rows costs nothing extra. With
+    ``digest_over`` longer texts appear as their length and SHA-256 digest (of
+    the whole text): enough to count them, and a fraction of the bytes.
     """
     columns = columns or list(df.columns)
+    classes = {f.name: type_class(f.dataType) for f in df.schema.fields}
+
+    def shown(c: str) -> str:
+        name = _sql_name(c)
+        if digest_over is None or classes[c] in ("number", "date"):
+            return f"CAST({name} AS STRING)"
+        whole = f"CAST({name} AS STRING)"
+        return (
+            f"CASE WHEN length({whole}) > {int(digest_over)} "
+            f"THEN concat('sha256:', length({whole}), ':', sha2({whole}, 256)) ELSE {whole} END"
+        )
+
     # one SQL text instead of several driver calls per column
-    entries = ", ".join(
-        f"struct({_sql_text(c)} AS column_name, CAST({_sql_name(c)} AS STRING) AS value)" for c in columns
-    )
+    entries = ", ".join(f"struct({_sql_text(c)} AS column_name, {shown(c)} AS value)" for c in columns)
     cells = df.select(_batch(df, batch_column).alias("batch_id"), F.expr(f"inline(array({entries}))"))
     return (
         cells.where("value IS NOT NULL")
@@ -96,6 +112,8 @@ def column_bounds(
         aggregates += [
             f"count({value}) AS _n{i}", f"min({value}) AS _lo{i}", f"max({value}) AS _hi{i}"
         ]
+        if kind not in ("number", "date"):
+            aggregates.append(f"max(length(CAST({value} AS STRING))) AS _len{i}")
         low, high = (
             (f"CAST(_lo{i} AS DOUBLE)", f"CAST(_hi{i} AS DOUBLE)") if kind == "number"
             else ("CAST(NULL AS DOUBLE)",) * 2
@@ -104,7 +122,8 @@ def column_bounds(
             f"struct({_sql_text(c)} AS column_name, {_sql_text(schema[c].simpleString())} AS type, "
             f"'{kind}' AS type_class, {i + 1} AS position, _n{i} AS non_null_count, "
             f"CAST(_lo{i} AS STRING) AS min, CAST(_hi{i} AS STRING) AS max, "
-            f"{low} AS min_number, {high} AS max_number)"
+            f"{low} AS min_number, {high} AS max_number, "
+            + (f"_len{i}" if kind not in ("number", "date") else "CAST(NULL AS INT)") + " AS max_length)"
         )
     if batch_column:
         keyed = df.select("*", _batch(df, batch_column).alias("_batch"))
@@ -365,9 +384,18 @@ def profile_table(
     """
     rows = batch_filter(df, batch_column, batch_id)
     keys = ["batch_id", "column_name"]
-    freq = stage(frequency_table(rows, None, batch_column), "frequency")
+    freq = stage(frequency_table(rows, None, batch_column, DIGEST_OVER), "frequency")
     facts = with_distinct(column_bounds(rows, None, batch_column), freq)
     facts = stage(freshness(classify(facts)), "facts")
+    # measured columns with long texts are counted by the texts themselves
+    long = facts.where(
+        F.col("role").isin("categorical", "numeric") & (F.col("max_length") > DIGEST_OVER)
+    ).select("column_name").distinct()
+    names = [r["column_name"] for r in long.collect()]
+    if names:
+        freq = freq.where(~F.col("column_name").isin(names)).unionByName(
+            frequency_table(rows, names, batch_column)
+        )
 
     categorical = facts.where(F.col("role") == "categorical").select(
         *keys, adaptive_k(F.col("distinct")).cast("int").alias("k")

@@ -159,3 +159,15 @@ def test_quoted_names(spark):
     df = spark.createDataFrame([(1, "x")], "`a b` int, `it's.odd` string")
     got = {r["column_name"] for r in P.profile_table(df, "T").collect()}
     assert got == {"a b", "it's.odd"}
+
+
+def test_long_texts_count_by_digest_and_show_whole(spark):
+    long = ["a" * 300, "a" * 300 + "b", "c" * 1000]
+    rows = [(v, v) for v in long for _ in range(4)] + [("short", f"s{i}" * 200) for i in range(10)]
+    df = spark.createDataFrame(rows, "label string, body string")
+    p = {r["column_name"]: r for r in P.profile_table(df, "T").collect()}
+    assert p["label"]["distinct"] == 4 and p["label"]["coverage"] == 1.0
+    assert [(e["value"], e["count"]) for e in p["label"]["top"]] == [("short", 10)] + [(v, 4) for v in sorted(long)]
+    assert p["body"]["distinct"] == 13 and p["body"]["max"] == max(r[1] for r in rows)
+    digests = P.frequency_table(df, ["body"], None, P.DIGEST_OVER)
+    assert digests.agg(F.max(F.length("value"))).first()[0] < 100 and digests.count() == 13
