@@ -594,3 +594,63 @@ def verified_corrections(spark, d):
     again = P.profile_table(fixed, "RAW.EVENTS", "shop", t.BATCH)
     after = D.with_signature(D.contract_violations(again, contract))
     return K.verify(before, after).select("batch_id", "anomalies", "remaining", "validation_status")
+
+
+def _corrected_table(spark, d):
+    """The damaged events as a raw table, corrected as approved and read back."""
+    from limpid import schemas
+    from limpid.catalogue.corruption import ramped_events
+    from limpid.session import scratch_path
+    from limpid.sources.batches import read_batches, write_batches
+
+    path = scratch_path(spark, "bronze")
+    e = ramped_events(spark, d).select(t.BATCH, "event_id", "user_id", "event_type", "value")
+    write_batches(e, path)
+    found = signed_anomalies(spark, d)
+    days = found.where(F.col("type") == "nulls_interdits").select("table_name", "batch_id").distinct()
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.CORRECTION.fields}
+
+    def planned(**given):
+        return days.select(*[
+            given[f.name].cast(f.dataType).alias(f.name) if f.name in given
+            else F.col(f.name) if f.name in ("table_name", "batch_id") else none[f.name]
+            for f in schemas.CORRECTION.fields
+        ])
+
+    gestures = planned(
+        column_name=F.lit("event_type"), gesture=F.lit("isoler"), match=F.lit("null")
+    ).unionByName(planned(
+        column_name=F.lit("value"), gesture=F.lit("mettre_a_null"), match=F.lit("outside"),
+        lo=F.lit(0.0), hi=F.lit(100.0),
+    ))
+    report = pipeline.apply_corrections(
+        spark, path, "RAW.EVENTS", t.BATCH, gestures, decisions(spark, d), found
+    )
+    return report, read_batches(spark, path)
+
+
+_APPROVED = "b >= '2024-01-12' AND b < '2024-01-17'"
+
+
+@query("applied_corrections", f"""
+WITH {SQL_DAMAGED}
+SELECT b AS batch_id, count(*) AS rows_before, count(*) AS rows_after,
+       CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS changed,
+       count(*) FILTER (WHERE event_type IS NULL) AS quarantined
+FROM ramped WHERE {_APPROVED} GROUP BY 1
+""")
+def applied_corrections(spark, d):
+    """Counts of what the approved corrections did; other days are not read."""
+    report, _ = _corrected_table(spark, d)
+    return report
+
+
+@query("corrected_events", f"""
+WITH {SQL_DAMAGED}
+SELECT event_id, event_type, CASE WHEN {_APPROVED} AND value > 100 THEN NULL ELSE value END AS value,
+       CASE WHEN {_APPROVED} THEN event_type IS NULL END AS quarantined FROM ramped
+""")
+def corrected_events(spark, d):
+    """The raw table afterwards: approved days corrected, all others as they were."""
+    _, table = _corrected_table(spark, d)
+    return table.select("event_id", "event_type", "value", F.col(K.FLAG).alias("quarantined"))

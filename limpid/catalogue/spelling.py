@@ -50,10 +50,7 @@ FROM c WHERE trim(text) <> '' GROUP BY {t.sql_fold('text')} HAVING count(*) > 1
 """)
 def collisions_document_text(spark, d):
     """Whole texts that differ only by case, accents or blanks."""
-    docs = t.read(spark, d, "documents")
-    return checks.no_semantic_collisions(docs, "text").select(
-        F.md5("form").alias("form"), "spellings", "rows"
-    )
+    return collisions.colliding_texts(t.read(spark, d, "documents"), "text")
 
 
 @query("majority_spelling_words", f"""

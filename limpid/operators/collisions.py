@@ -89,3 +89,16 @@ def hidden_duplicates(counts: DataFrame) -> DataFrame:
     )
     plain = counts.select(F.col("value").alias("stripped"))
     return odd.join(plain, "stripped", "left_semi").select("value", "stripped", "n")
+
+
+def colliding_texts(df: DataFrame, column: str) -> DataFrame:
+    """Collision clusters of long texts, by digests of the whole texts.
+
+    Only digests are shuffled; the cluster is named by the digest of its form.
+    """
+    spelled = df.where(F.trim(column) != "").groupBy(
+        F.md5(fold(F.col(column))).alias("form"), F.sha2(column, 256).alias("_spelling")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return spelled.groupBy("form").agg(
+        F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows")
+    ).where(F.col("spellings") > 1)

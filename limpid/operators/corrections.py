@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid import vocabulary as V
-from limpid.functions.text import fold
+from limpid.functions.text import fold, number_or_null
 from limpid.operators.collisions import fold_majority, replace_values, value_counts
 
 FLAG = "_quarantined"
@@ -15,12 +15,14 @@ def isolate(df: DataFrame, condition: Column, flag: str = FLAG) -> DataFrame:
     """Mark matching rows; the data stays as it is."""
     marked = F.coalesce(condition, F.lit(False))
     if flag in df.columns:
-        marked = F.col(flag) | marked
+        # a batch written before the flag existed reads it as NULL
+        marked = F.coalesce(F.col(flag), F.lit(False)) | marked
     return df.withColumn(flag, marked)
 
 
 def split_quarantine(df: DataFrame, flag: str = FLAG) -> tuple[DataFrame, DataFrame]:
-    return df.where(~F.col(flag)).drop(flag), df.where(F.col(flag)).drop(flag)
+    held = F.coalesce(F.col(flag), F.lit(False))
+    return df.where(~held).drop(flag), df.where(held).drop(flag)
 
 
 def nullify(df: DataFrame, column: str, condition: Column) -> DataFrame:
@@ -119,6 +121,63 @@ def route(decision: Column) -> Column:
     )
 
 
+def matching(column: str, match: str, lo=None, hi=None, values=None) -> Column:
+    """Rows a typed correction is about."""
+    c = F.col(column)
+    if match == "null":
+        return c.isNull()
+    if match == "outside":
+        number = number_or_null(c.cast("string"))
+        return (number < F.lit(lo)) | (number > F.lit(hi))
+    if match == "values":
+        return c.isin(list(values))
+    if match == "not_in":
+        return c.isNotNull() & ~c.isin(list(values))
+    raise ValueError(f"unknown match {match!r}")
+
+
+def isolate_copies(df: DataFrame, column: str, flag: str = FLAG) -> DataFrame:
+    """Flag every row whose value is carried by more than one row.
+
+    Which of the copies is the right one is not ours to say, so all are held.
+    """
+    repeated = value_counts(df, column).where(F.col("n") > 1).select(
+        F.col("value").alias("_repeated")
+    )
+    joined = df.join(repeated, F.col(column) == F.col("_repeated"), "left")
+    return isolate(joined, F.col("_repeated").isNotNull(), flag).drop("_repeated")
+
+
+def correct(df: DataFrame, corrections: list) -> DataFrame:
+    """Apply typed corrections to a batch. Excluding rows leaves the data alone:
+    they are flagged for the aggregates, like isolated ones."""
+    for c in corrections:
+        column, gesture = c["column_name"], c["gesture"]
+        if gesture not in V.GESTURES:
+            raise ValueError(f"{gesture!r} is not one of the permitted gestures")
+        if c["match"] == "copies":
+            if gesture not in ("isoler", "exclure_de_l_agregat"):
+                raise ValueError("copies may be isolated or excluded only")
+            df = isolate_copies(df, column)
+            continue
+        rows = None
+        if c["match"] is not None:
+            rows = matching(column, c["match"], c["lo"], c["hi"], c["values"])
+        if gesture == "normaliser":
+            if c["target"] is None:
+                df = normalise(df, column)
+            else:
+                mapping = value_counts(df.where(rows), column).select(
+                    "value", F.lit(c["target"]).alias("canonical")
+                )
+                df = normalise(df, column, mapping, bool(c["by_person"]))
+        elif gesture == "mettre_a_null":
+            df = nullify(df, column, rows)
+        else:
+            df = isolate(df, rows)
+    return df
+
+
 def change_counts(before: DataFrame, after: DataFrame, batch_column: str, column: str) -> DataFrame:
     """Rows before and after per batch, and rows whose value disappeared or came.
 

@@ -13,6 +13,9 @@ from limpid.functions import text
 from limpid.operators import contracts as C, corrections, detect as D, impact, memory
 from limpid.operators.profile import profile_metrics, profile_table
 from limpid.session import stage
+from limpid.sources.batches import read_batches, write_batches
+
+APPLIED = "batch_id string, rows_before bigint, rows_after bigint, changed bigint, quarantined bigint"
 
 
 @dataclass
@@ -178,6 +181,63 @@ def proposals(
     return out
 
 
+def apply_corrections(
+    spark: SparkSession, path: str, table_name: str, batch_column: str, planned: DataFrame,
+    decisions: DataFrame, anomalies: DataFrame,
+) -> DataFrame:
+    """Write the approved corrections of a raw table, batch by batch.
+
+    Only rows a person approved are read. A correction that would invent a value
+    is refused before anything is written. Each batch is corrected from a staged
+    copy and replaces its own partition, so a failure leaves the old one. The
+    report counts rows before, after and flagged or changed, per batch.
+    """
+    mine = planned.where(F.upper("table_name") == table_name.upper())
+    # typed corrections of approved batches: a short list a person has read
+    todo = corrections.approved_only(mine, decisions).collect()
+    batches = sorted({r["batch_id"] for r in todo})
+    if not batches:
+        return spark.createDataFrame([], APPLIED)
+    approved = spark.createDataFrame(todo, schemas.CORRECTION)
+    reports = []
+    for batch_id in batches:
+        old = read_batches(spark, path).where(F.col(batch_column) == batch_id)
+        here = approved.where(F.col("batch_id") == batch_id)
+        columns = sorted({r["column_name"] for r in todo if r["batch_id"] == batch_id and r["target"] is not None})
+        if columns:
+            observed = reduce(DataFrame.unionByName, [
+                old.select(F.lit(table_name).alias("table_name"), F.lit(c).alias("column_name"),
+                           F.col(c).cast("string").alias("value")).distinct()
+                for c in columns
+            ])
+        else:
+            observed = spark.createDataFrame([], "table_name string, column_name string, value string")
+        listed = here.where(F.col("target").isNotNull() | F.coalesce("whole_column", F.lit(False))
+                            | ~F.col("gesture").isin(*V.GESTURES))
+        refused = corrections.refusals(listed, anomalies, observed)
+        if not refused.isEmpty():
+            raise ValueError(f"{batch_id}: {refused.first()['reason']}")
+        steps = [r for r in todo if r["batch_id"] == batch_id]
+        new = stage(corrections.correct(old, steps), "corrected")
+        touched = sorted({r["column_name"] for r in steps})
+        changed = reduce(DataFrame.unionByName, [
+            corrections.change_counts(old, new, batch_column, c).select("rows_before", "rows_after", "affected")
+            for c in touched
+        ]).agg(F.max("rows_before").alias("rows_before"), F.max("rows_after").alias("rows_after"),
+               F.sum("affected").alias("changed"))
+        flag = corrections.FLAG
+        held = F.count_if(F.coalesce(F.col(flag), F.lit(False))) if flag in new.columns else F.lit(0)
+        # counted before the write: the old partition is gone afterwards
+        reports.append(stage(
+            changed.withColumn("_one", F.lit(1)).join(
+                new.agg(held.cast("long").alias("quarantined")).withColumn("_one", F.lit(1)), "_one"
+            ).select(F.lit(batch_id).alias("batch_id"), "rows_before", "rows_after", "changed", "quarantined"),
+            "applied",
+        ))
+        write_batches(new, path, batch_column)
+    return reduce(DataFrame.unionByName, reports)
+
+
 def verify_batch(
     spark: SparkSession, corrected: DataFrame, before: DataFrame, table_name: str, dataset: str,
     batch_column: str | None, batch_id: str, registry: DataFrame, refs: References,

@@ -82,3 +82,10 @@ CHECK_RESULT = _struct(
     ("test", _s), ("table_name", _s), ("column_name", _s), ("kind", _s),
     ("dama", _s), ("failures", _l), ("status", _s), ("tags", T.ArrayType(_s)),
 )
+
+# one typed correction: which rows (match) and what to do with them (gesture)
+CORRECTION = _struct(
+    ("table_name", _s), ("batch_id", _s), ("column_name", _s), ("gesture", _s),
+    ("match", _s), ("lo", _d), ("hi", _d), ("values", T.ArrayType(_s)),
+    ("target", _s), ("whole_column", _b), ("by_person", _b),
+)

@@ -237,3 +237,56 @@ def test_rules_take_the_signed_list(spark):
     assert got == {"accepted_values": (1, "fail"), "not_null": (1, "fail")}
     with pytest.raises(ValueError):
         checks.run_checks(checks.checks_of(rules), {"RAW.T": frame}.get, exclude_tags=("generated",))
+
+
+def test_typed_corrections(spark):
+    df = spark.createDataFrame(
+        [(1, "8000", "a"), (2, "50", "b"), (3, None, "b"), (4, "x", None)], "id int, price string, kind string")
+    base = {"match": None, "lo": None, "hi": None, "values": None, "target": None, "by_person": False}
+    step = lambda **kw: {**base, **kw}
+    out = K.correct(df, [
+        step(column_name="price", gesture="isoler", match="outside", lo=1.0, hi=100.0),
+        step(column_name="kind", gesture="isoler", match="null"),
+        step(column_name="price", gesture="mettre_a_null", match="values", values=["x"]),
+        step(column_name="kind", gesture="normaliser", match="values", values=["a"], target="b"),
+    ])
+    got = {r["id"]: (r["price"], r["kind"], r[K.FLAG]) for r in out.collect()}
+    assert got == {1: ("8000", "b", True), 2: ("50", "b", False), 3: (None, "b", False), 4: (None, None, True)}
+    copies = K.correct(df, [step(column_name="kind", gesture="isoler", match="copies")])
+    assert {r["id"] for r in copies.where(K.FLAG).collect()} == {2, 3}
+    for bad in (step(column_name="price", gesture="remplacer"), step(column_name="price", gesture="isoler", match="magic"),
+                step(column_name="kind", gesture="mettre_a_null", match="copies"),
+                step(column_name="kind", gesture="normaliser", match="values", values=["a"], target="zzz")):
+        with pytest.raises(ValueError):
+            K.correct(df, [bad])
+
+
+def test_only_approved_batches_are_written(spark, tmp_path):
+    from limpid.plans import pipeline
+    from limpid.sources.batches import read_batches, write_batches
+
+    path = str(tmp_path / "raw")
+    rows = [(d, i, None if i % 2 else "x") for d in ("d1", "d2", "d3") for i in range(10)]
+    write_batches(spark.createDataFrame(rows, "_batch_id string, id int, kind string"), path)
+    names = schemas.CORRECTION.fieldNames()
+
+    def planned(*given):
+        return spark.createDataFrame([tuple({"table_name": "RAW.T", "column_name": "kind", **g}.get(n) for n in names) for g in given], schemas.CORRECTION)
+
+    decided = spark.createDataFrame([("RAW.T", "d1", "approved"), ("RAW.T", "d2", "rejected")], "table_name string, batch_id string, human_decision string")
+    named = anomalies(spark, {"column_name": "kind", "type": "nulls_interdits"})
+    plan = planned(*[{"batch_id": d, "gesture": "isoler", "match": "null"} for d in ("d1", "d2", "d3")])
+    report = pipeline.apply_corrections(spark, path, "RAW.T", "_batch_id", plan, decided, named)
+    assert [tuple(r) for r in report.collect()] == [("d1", 10, 10, 0, 5)]
+    flagged = read_batches(spark, path).where(K.FLAG)
+    assert {r["_batch_id"] for r in flagged.collect()} == {"d1"} and read_batches(spark, path).count() == 30
+    invented = planned({"batch_id": "d1", "gesture": "normaliser", "match": "values", "values": ["x"], "target": "y"})
+    with pytest.raises(ValueError, match="never observed"):
+        pipeline.apply_corrections(spark, path, "RAW.T", "_batch_id", invented, decided, named)
+    assert read_batches(spark, path).where("kind = 'y'").isEmpty()
+    both = decided.withColumn("human_decision", F.lit("approved"))
+    pipeline.apply_corrections(spark, path, "RAW.T", "_batch_id", plan, both, named)
+    counts = read_batches(spark, path).groupBy("_batch_id").agg(F.count(K.FLAG).alias("n"), F.count_if(K.FLAG).alias("held"))
+    assert {r["_batch_id"]: (r["n"], r["held"]) for r in counts.collect()} == {"d1": (10, 5), "d2": (10, 5), "d3": (0, 0)}
+    nothing = pipeline.apply_corrections(spark, path, "RAW.T", "_batch_id", plan, decided.where("batch_id = 'd2'"), named)
+    assert nothing.isEmpty()
