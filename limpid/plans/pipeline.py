@@ -181,59 +181,79 @@ def proposals(
     return out
 
 
+def _steps_by_batches(todo: list) -> list[tuple[list, list[str]]]:
+    """Step lists with the batches they are for.
+
+    Batches with the same steps are corrected in one plan, unless a step looks at
+    the other rows of its batch (spellings, copies).
+    """
+    per_batch: dict[str, list] = {}
+    for r in todo:
+        per_batch.setdefault(r["batch_id"], []).append(r)
+    groups: dict[tuple, tuple[list, list[str]]] = {}
+    for batch_id, steps in sorted(per_batch.items()):
+        steps = sorted(steps, key=str)
+        alone = any(r["gesture"] == "normaliser" or r["match"] == "copies" for r in steps)
+        same = tuple(str({**r.asDict(), "batch_id": batch_id if alone else None}) for r in steps)
+        groups.setdefault(same, (steps, []))[1].append(batch_id)
+    return list(groups.values())
+
+
 def apply_corrections(
     spark: SparkSession, path: str, table_name: str, batch_column: str, planned: DataFrame,
     decisions: DataFrame, anomalies: DataFrame,
 ) -> DataFrame:
-    """Write the approved corrections of a raw table, batch by batch.
+    """Write the approved corrections of a raw table.
 
     Only rows a person approved are read. A correction that would invent a value
-    is refused before anything is written. Each batch is corrected from a staged
-    copy and replaces its own partition, so a failure leaves the old one. The
-    report counts rows before, after and flagged or changed, per batch.
+    is refused before anything is written. Batches are corrected from a staged
+    copy and replace their own partitions, so a failure leaves the old ones. The
+    report counts rows before, after, changed and flagged, per batch.
     """
     mine = planned.where(F.upper("table_name") == table_name.upper())
     # typed corrections of approved batches: a short list a person has read
     todo = corrections.approved_only(mine, decisions).collect()
-    batches = sorted({r["batch_id"] for r in todo})
-    if not batches:
+    if not todo:
         return spark.createDataFrame([], APPLIED)
-    approved = spark.createDataFrame(todo, schemas.CORRECTION)
+    batch = F.col(batch_column)
+    writing = [r for r in todo if r["target"] is not None or r["whole_column"] or r["gesture"] not in V.GESTURES]
+    if writing:
+        columns = sorted({r["column_name"] for r in writing})
+        rows = read_batches(spark, path).where(batch.isin(sorted({r["batch_id"] for r in writing})))
+        # looked up per batch: a value of another day was not observed in this one
+        keyed = F.concat_ws("|", F.lit(table_name), batch)
+        observed = reduce(DataFrame.unionByName, [
+            rows.select(keyed.alias("table_name"), F.lit(c).alias("column_name"),
+                        F.col(c).cast("string").alias("value")).distinct()
+            for c in columns
+        ])
+        by_batch = F.concat_ws("|", "table_name", "batch_id")
+        asked = spark.createDataFrame(writing, schemas.CORRECTION).withColumn("table_name", by_batch)
+        named = anomalies.where(F.upper("table_name") == table_name.upper()).select(
+            by_batch.alias("table_name"), "column_name"
+        )
+        refused = corrections.refusals(asked, named, observed)
+        first = refused.first()
+        if first is not None:
+            raise ValueError(f"{first['table_name']}: {first['reason']}")
     reports = []
-    for batch_id in batches:
-        old = read_batches(spark, path).where(F.col(batch_column) == batch_id)
-        here = approved.where(F.col("batch_id") == batch_id)
-        columns = sorted({r["column_name"] for r in todo if r["batch_id"] == batch_id and r["target"] is not None})
-        if columns:
-            observed = reduce(DataFrame.unionByName, [
-                old.select(F.lit(table_name).alias("table_name"), F.lit(c).alias("column_name"),
-                           F.col(c).cast("string").alias("value")).distinct()
-                for c in columns
-            ])
-        else:
-            observed = spark.createDataFrame([], "table_name string, column_name string, value string")
-        listed = here.where(F.col("target").isNotNull() | F.coalesce("whole_column", F.lit(False))
-                            | ~F.col("gesture").isin(*V.GESTURES))
-        refused = corrections.refusals(listed, anomalies, observed)
-        if not refused.isEmpty():
-            raise ValueError(f"{batch_id}: {refused.first()['reason']}")
-        steps = [r for r in todo if r["batch_id"] == batch_id]
+    for steps, batches in _steps_by_batches(todo):
+        old = read_batches(spark, path).where(batch.isin(batches))
         new = stage(corrections.correct(old, steps), "corrected")
         touched = sorted({r["column_name"] for r in steps})
         changed = reduce(DataFrame.unionByName, [
-            corrections.change_counts(old, new, batch_column, c).select("rows_before", "rows_after", "affected")
-            for c in touched
-        ]).agg(F.max("rows_before").alias("rows_before"), F.max("rows_after").alias("rows_after"),
-               F.sum("affected").alias("changed"))
+            corrections.change_counts(old, new, batch_column, c) for c in touched
+        ]).groupBy(batch_column).agg(
+            F.max("rows_before").alias("rows_before"), F.max("rows_after").alias("rows_after"),
+            F.sum("affected").alias("changed"),
+        )
         flag = corrections.FLAG
-        held = F.count_if(F.coalesce(F.col(flag), F.lit(False))) if flag in new.columns else F.lit(0)
-        # counted before the write: the old partition is gone afterwards
-        reports.append(stage(
-            changed.withColumn("_one", F.lit(1)).join(
-                new.agg(held.cast("long").alias("quarantined")).withColumn("_one", F.lit(1)), "_one"
-            ).select(F.lit(batch_id).alias("batch_id"), "rows_before", "rows_after", "changed", "quarantined"),
-            "applied",
-        ))
+        held = F.coalesce(F.col(flag), F.lit(False)) if flag in new.columns else F.lit(False)
+        flagged = new.groupBy(batch_column).agg(F.count_if(held).alias("quarantined"))
+        # counted before the write: the old partitions are gone afterwards
+        reports.append(stage(changed.join(flagged, batch_column).select(
+            batch.alias("batch_id"), "rows_before", "rows_after", "changed", "quarantined"
+        ), "applied"))
         write_batches(new, path, batch_column)
     return reduce(DataFrame.unionByName, reports)
 

@@ -274,7 +274,7 @@ def test_only_approved_batches_are_written(spark, tmp_path):
         return spark.createDataFrame([tuple({"table_name": "RAW.T", "column_name": "kind", **g}.get(n) for n in names) for g in given], schemas.CORRECTION)
 
     decided = spark.createDataFrame([("RAW.T", "d1", "approved"), ("RAW.T", "d2", "rejected")], "table_name string, batch_id string, human_decision string")
-    named = anomalies(spark, {"column_name": "kind", "type": "nulls_interdits"})
+    named = anomalies(spark, *[{"batch_id": d, "column_name": "kind", "type": "nulls_interdits"} for d in ("d1", "d2", "d3")])
     plan = planned(*[{"batch_id": d, "gesture": "isoler", "match": "null"} for d in ("d1", "d2", "d3")])
     report = pipeline.apply_corrections(spark, path, "RAW.T", "_batch_id", plan, decided, named)
     assert [tuple(r) for r in report.collect()] == [("d1", 10, 10, 0, 5)]
