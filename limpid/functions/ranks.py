@@ -186,31 +186,79 @@ def _digest_number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 
 
-def _mark_below(
-    df: DataFrame, keys: list[str], wanted: DataFrame, number: Column, flag: str
-) -> tuple[DataFrame, DataFrame]:
-    """Rows whose place is clear, and the rows that share the boundary number.
-
-    The second frame carries ``_rest``: how many of its rows still belong in.
-    """
-    rows = df.withColumn("_number", number)
-    freq = rows.where(F.col("_number").isNotNull()).select(
-        *keys, "_number", F.lit(1).cast("long").alias("_n")
+def _limit_number(
+    rows: DataFrame, keys: list[str], wanted: DataFrame, number: str
+) -> DataFrame:
+    """Per key the number at the wanted rank, and how many of its rows belong in."""
+    freq = rows.where(F.col(number).isNotNull()).select(
+        *keys, number, F.lit(1).cast("long").alias("_n")
     )
     # asking for more rows than there are means all of them
     sizes = freq.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     asked = wanted.join(sizes, keys).select(
         *keys, F.least("_rank", "_size").alias("_rank")
     ).where(F.col("_rank") >= 1)
-    limit = stage(value_at_rank(freq, keys, asked, "_number", "_n"), "first-rows").select(
-        *keys, F.col("_number").alias("_limit"), (F.col("_rank") - F.col("_below")).alias("_rest")
+    return stage(
+        value_at_rank(freq, keys, asked, number, "_n").select(
+            *keys, F.col(number).alias("_limit"), (F.col("_rank") - F.col("_below")).alias("_rest")
+        ),
+        "first-rows",
+    )
+
+
+def _last_digest(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Per key the digest of the last row that belongs in.
+
+    Also how many rows carry it and how many of those are needed; both are one
+    where digests tell rows apart. Reads ``keys`` and ``_digest`` only.
+    """
+    numbered = rows.select(*keys, "_digest", _digest_number(F.col("_digest")).alias("_number"))
+    limit = _limit_number(numbered, keys, wanted, "_number")
+    # digests that share their first 52 bits with the boundary: usually one
+    ties = (
+        numbered.join(limit, keys)
+        .where(F.col("_number") == F.col("_limit"))
+        .groupBy(*keys, "_rest", "_digest")
+        .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    placed = rows.join(limit, keys, "left")
-    on_edge = F.coalesce(F.col("_number") == F.col("_limit"), F.lit(False))
-    clear = placed.where(~on_edge).withColumn(
-        flag, F.coalesce(F.col("_number") < F.col("_limit"), F.lit(False))
+    upto = F.sum("_copies").over(Window.partitionBy(*keys).orderBy("_digest"))
+    last = (
+        ties.withColumn("_upto", upto)
+        .where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_copies") < F.col("_rest")))
+        .select(
+            *keys, F.col("_digest").alias("_last"), "_copies",
+            (F.col("_rest") - (F.col("_upto") - F.col("_copies"))).alias("_need"),
+        )
+    )
+    return stage(last, "last-digest")
+
+
+def _flag_up_to(
+    rows: DataFrame, keys: list[str], last: DataFrame, flag: str, below: Column, level: Column
+) -> DataFrame:
+    """Flag rows ``below`` the boundary, and on its ``level`` up to the last digest.
+
+    One pass over the rows. Only where copies that no digest tells apart lie
+    across the boundary are they numbered, and only as long as that is a
+    bounded lot; beyond it the caller must give them an identity.
+    """
+    placed = rows.join(last, keys, "left")
+    no = F.lit(False)
+    inside = F.coalesce(below, no) | (F.coalesce(level, no) & F.coalesce(F.col("_digest") <= F.col("_last"), no))
+    extra = ["_last", "_copies", "_need"]
+    split = last.where(F.col("_need") < F.col("_copies")).agg(F.max("_copies").alias("m")).first()["m"]
+    if split is None:
+        return placed.withColumn(flag, inside).drop(*extra)
+    if split > WINDOW_LIMIT:
+        raise ValueError(
+            f"{split} rows share one identity at the boundary; add their file position to it"
+        )
+    edge = F.coalesce(level, no) & F.coalesce(
+        (F.col("_digest") == F.col("_last")) & (F.col("_need") < F.col("_copies")), no
     )
-    return clear.drop("_number", "_limit", "_rest"), placed.where(on_edge).drop("_number", "_limit")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest"))
+    some = placed.where(edge).withColumn(flag, number <= F.col("_need"))
+    return placed.where(~edge).withColumn(flag, inside).unionByName(some).drop(*extra)
 
 
 def _mark_by_window(
@@ -231,17 +279,15 @@ def mark_sample(
     """Add ``flag``: is the row among the first n of its key, in digest order?
 
     ``wanted`` holds ``keys`` and ``_rank`` = n. Rows with equal digests are
-    interchangeable, so the digest must tell rows apart: where copies exist,
-    put the file position of the row into ``sampling_key``. ``largest`` is the
-    measured size of the largest key, if known.
+    interchangeable; where copies exist in number, put the file position of the
+    row into ``sampling_key``. ``largest`` is the measured size of the largest
+    key, if known.
     """
     rows = df.withColumn("_digest", digest)
     if largest is not None and largest <= WINDOW_LIMIT:
         return _mark_by_window(rows, keys, wanted, [F.col("_digest")], flag).drop("_digest")
-    clear, edge = _mark_below(rows, keys, wanted, _digest_number(F.col("_digest")), flag)
-    order = Window.partitionBy(*keys).orderBy("_digest")
-    edge = edge.withColumn(flag, F.row_number().over(order) <= F.col("_rest")).drop("_rest")
-    return clear.unionByName(edge).drop("_digest")
+    last = _last_digest(rows, keys, wanted)
+    return _flag_up_to(rows, keys, last, flag, F.lit(False), F.lit(True)).drop("_digest")
 
 
 def mark_first(
@@ -256,7 +302,11 @@ def mark_first(
         order = [number.asc_nulls_last(), digest]
         marked = _mark_by_window(df, keys, wanted, order, flag)
         return marked.withColumn(flag, F.col(flag) & number.isNotNull())
-    clear, edge = _mark_below(df, keys, wanted, number, flag)
-    edge = stage(edge, "rank-edge")
-    rest = edge.select(*keys, F.col("_rest").alias("_rank")).distinct()
-    return clear.unionByName(mark_sample(edge.drop("_rest"), keys, rest, digest, flag))
+    rows = df.withColumn("_order", number).withColumn("_digest", digest)
+    limit = _limit_number(rows.select(*keys, "_order"), keys, wanted, "_order")
+    placed = rows.join(limit.withColumnRenamed("_limit", "_bound"), keys, "left")
+    level = F.col("_order") == F.col("_bound")
+    rest = limit.select(*keys, F.col("_rest").alias("_rank"))
+    last = _last_digest(placed.where(level).select(*keys, "_digest"), keys, rest)
+    marked = _flag_up_to(placed, keys, last, flag, F.col("_order") < F.col("_bound"), level)
+    return marked.drop("_order", "_digest", "_bound", "_rest")

@@ -386,6 +386,19 @@ def with_signature(anomalies: DataFrame) -> DataFrame:
     )
 
 
+def sentence() -> Column:
+    """An anomaly in words: what, where, and the number or the first values."""
+    number = F.regexp_replace(F.col("observed_num").cast("string"), r"\.0$", "")
+    seen = F.array_join(F.slice("observed_values", 1, 3), ", ")
+    amount = F.when(F.col("observed_num").isNotNull(), F.concat(F.lit(" — "), number)).when(
+        F.size("observed_values") > 0, F.concat(F.lit(" — "), seen)
+    )
+    return F.concat(
+        F.coalesce("dama", "type"), F.lit(" on "), F.coalesce("column_name", "table_name"),
+        F.coalesce(amount, F.lit("")),
+    )
+
+
 def count_by_family(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("family").agg(F.count(F.lit(1)).alias("anomalies"))
 

@@ -185,5 +185,6 @@ def test_signature_column(spark):
     p = profile(spark, {"column_name": "A", "null_count": 30, "null_rate": 0.3})
     a = D.with_signature(D.contract_violations(p, clauses(spark, {"column_name": "a", "clause": "not_null"})))
     assert a.first()["signature"] == "RAW.T|A|nulls_interdits|-2"
+    assert a.select(D.sentence()).first()[0] == "completude on A — 30"
     assert D.count_by_family(a).first()["anomalies"] == 1
     assert a.where(F.col("family") == "contract").count() == 1
