@@ -494,7 +494,9 @@ def foreign_keys(tables: dict[str, DataFrame], profiles: DataFrame) -> DataFrame
             )
         )
     if not found:
-        return None
+        return profiles.sparkSession.createDataFrame(
+            [], "table_name string, column_name string, parent_table string, parent_column string, role string"
+        )
     return (
         reduce(DataFrame.unionByName, found)
         .where(F.col("orphans") == 0)

@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: str | None = None
+# removed when the interpreter ends
+_LOCAL_ROOT: tempfile.TemporaryDirectory | None = None
 
 
 def build_session(app: str = "limpid", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,8 +47,8 @@ def staging_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     global _LOCAL_ROOT
     if _LOCAL_ROOT is None:
-        _LOCAL_ROOT = tempfile.mkdtemp(prefix="limpid-")
-    return _LOCAL_ROOT
+        _LOCAL_ROOT = tempfile.TemporaryDirectory(prefix="limpid-", ignore_cleanup_errors=True)
+    return _LOCAL_ROOT.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
