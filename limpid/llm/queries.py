@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import tokens, toxicity
+from limpid.llm import chat, decontaminate, licenses, sharding, simhash, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+SHARDS = 16
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -37,3 +39,82 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query
+def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(docs, [1.0] * SHARDS)
+    return sharding.with_slots(placed).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
+    )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    named = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return decontaminate.judge(docs.select("doc_id", "text"), items.select("item_id", "text")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLE["op9_decontaminate"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+item AS (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS a FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[a + 1:a + 10], ' ') AS t FROM starts),
+run AS (SELECT r, a, n, array_to_string(w[a + 1:a + n], ' ') AS t
+    FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS a FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, a, run.n, item_id FROM run JOIN win USING (n, t)),
+hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(a, a + n)) AS p FROM hit) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+"""
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    return chat.read_back(chat.render(chat.fold(chat.events_of_turns(given.unionByName(more)))))
+
+
+ORACLE["op10_chat"] = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<|start|><|message|><|end|>') + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'))
+        + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    start = F.transform("base_places", lambda d: d["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+        licenses.joined_labels(F.col("base_places")).alias("base_labels"),
+        licenses.joined_labels(F.col("detections")).alias("labels"), licenses.score(F.col("detections")).alias("score"),
+    )
