@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import chat, decontaminate, licenses, sharding, simhash, tokens, toxicity
+from limpid.llm import chat, decontaminate, licenses, sharding, simhash, suffix_dedup, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.joined_labels(F.col("base_places")).alias("base_labels"),
         licenses.joined_labels(F.col("detections")).alias("labels"), licenses.score(F.col("detections")).alias("score"),
     )
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
