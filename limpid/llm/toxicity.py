@@ -50,12 +50,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", ro
     """Distinct texts of labelled rows that are not held out, chosen by a hash of the id, and the share of toxic ones."""
     marked = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label"))
     share = marked.agg(F.avg("_label")).first()[0]
-    known = docs.select("doc_id", "text").where(F.octet_length("text").between(1, text_bytes)).join(marked, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    got = [
-        {r.text for r in known.where(F.col("_label") == k).orderBy(*order).limit(rows).select("text").collect()}
-        for k in (0, 1)
-    ]
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # ids first: the sample's size is fixed, so it can be broadcast and no text is shuffled
+    ids = [marked.where(F.col("_label") == k).select("doc_id", "_label").distinct().orderBy(*order).limit(rows) for k in (0, 1)]
+    chosen = docs.select("doc_id", "text").where(F.octet_length("text").between(1, text_bytes)).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    taken = chosen.orderBy(*order, "text", "_label").limit(2 * rows).select("text", "_label").collect()
+    got = [{r.text for r in taken if r._label == k} for k in (0, 1)]
     rowset = sorted((t, k) for k in (0, 1) for t in got[k])
     return [t for t, _ in rowset], np.array([k for _, k in rowset], dtype=int), float(share or 0.0)
 
