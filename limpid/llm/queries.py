@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import chat, decontaminate, licenses, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
+from limpid.llm import chat, decontaminate, licenses, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,9 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
