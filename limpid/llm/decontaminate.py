@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limpid.llm.common import WORD, lower_ascii
+from limpid.llm.common import WORD, fresh_name, lower_ascii
 from limpid.session import stage
 
 WINDOW = 10
@@ -108,6 +108,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without any hit, unchanged."""
-    hit = matches(docs, benchmark, size, id_column).select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit")).distinct()
+    own_id, own_digest = (fresh_name(c, docs.columns) for c in ("_hit_id", "_hit_digest"))
+    hit = matches(docs, benchmark, size, id_column).select(F.col("doc_id").alias(own_id), F.col("digest").alias(own_digest)).distinct()
     marked = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    return docs.join(hit, F.col(id_column).eqNullSafe(F.col("_hit_id")) & (marked == F.col("_hit")), "left_anti")
+    return docs.join(hit, F.col(id_column).eqNullSafe(F.col(own_id)) & (marked == F.col(own_digest)), "left_anti")

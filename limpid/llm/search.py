@@ -10,7 +10,7 @@ so merging by score gives the exact best k of all.
 
 Terms are words of the shared word rule, held as 64-bit hashes (XXH64). A query is
 a whole text; a term counts as often as the query has it. Ties in score go to the
-smaller id.
+smaller id, a null id first.
 
 Defined cases: null and empty texts have no terms, are found by no query and find
 nothing; repeated documents are found each; queries that repeat id and text are
@@ -36,6 +36,9 @@ TOP = 10
 BLOCK_DOCS = 32
 SHARD_TEXT = 64 << 20
 
+# stands for a null id inside an index
+NO_ID = -(1 << 63)
+
 _WORD = re.compile(WORD)
 _TABLE = str.maketrans(UPPER, LOWER)
 # terms a task remembers with their hashes
@@ -175,7 +178,7 @@ def _search_shards(mean_words: float, k: int):
                     if rows["shard"][a] != shard:
                         shard, index, closed = rows["shard"][a], ShardIndex(mean_words), False
                     if rows["kind"][a] == 0:
-                        index.add(rows["id"][a:b], [hasher.counts(t or "") for t in rows["text"][a:b]])
+                        index.add([NO_ID if x is None else x for x in rows["id"][a:b]], [hasher.counts(t or "") for t in rows["text"][a:b]])
                         continue
                     if not closed and index.parts:
                         index.close()
@@ -184,7 +187,7 @@ def _search_shards(mean_words: float, k: int):
                         ids, scores = index.search(np.array(rows["terms"][i], dtype=np.int64).view(np.uint64), np.array(rows["weights"][i]), k)
                         out[0] += [rows["id"][i]] * len(ids)
                         out[1] += [rows["row"][i]] * len(ids)
-                        out[2] += ids.tolist()
+                        out[2] += [None if x == NO_ID else x for x in ids.tolist()]
                         out[3] += scores.tolist()
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=names)

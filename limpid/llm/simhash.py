@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from limpid.llm.common import map_texts
+from limpid.llm.common import fresh_name, map_texts
 from limpid.llm.components import components
 from limpid.session import stage
 
@@ -164,15 +164,20 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int =
     return sorted_.mapInArrow(_links_of_buckets(radius), "u long, v long").distinct()
 
 
+def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, digest, fp, root, component_id) of every row; the root is the group's smallest fingerprint."""
+    named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
+    held = stage(fingerprints(named, "text").select("id", "digest", "fp"), "simhash-fingerprints")
+    distinct = stage(held.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    member = components(links(distinct))
+    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return held.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row; the smallest id that the row reaches."""
-    held = stage(fingerprints(docs.select(id_column, text), text).select(id_column, "fp"), "simhash-fingerprints")
-    distinct = stage(held.groupBy("fp").agg(F.min(id_column).alias("least")), "simhash-distinct")
-    member = components(links(distinct))
-    named = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return held.join(by_fp, "fp").select(id_column, "fp", "component_id")
+    return _grouped(docs, id_column, text).select(F.col("id").alias(id_column), "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
@@ -180,14 +185,17 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their group: one of each group stays.
+    """Of each group the row with the smallest id stays; null ids come last, equal ids are ordered by their text's digest.
 
-    Of rows that repeat such an id, those with the smallest text stay, once.
+    Of rows that repeat id and text the one with the smallest other columns stays.
     """
-    kept = groups(docs, id_column, text).where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    counted = stage(kept.groupBy(id_column).agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
-    once = docs.join(counted.where("n = 1").select(F.col(id_column).alias("_kept")), F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
-    rest = docs.join(counted.where("n > 1").select(F.col(id_column).alias("_kept")), F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", F.col("count").alias("n"))
+    chosen = _grouped(docs, id_column, text).groupBy("root", "id", "digest").count().groupBy("root").agg(F.min(place).alias("place"))
+    kept = stage(chosen.select("place.id", "place.digest", "place.n"), "simhash-kept")
+    own_id, own_digest = (fresh_name(c, docs.columns) for c in ("_kept_id", "_kept_digest"))
+    same = F.col(id_column).eqNullSafe(F.col(own_id)) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col(own_digest))
+    alone, many = (kept.where(w).select(F.col("id").alias(own_id), F.col("digest").alias(own_digest)) for w in ("n = 1", "n > 1"))
+    first = docs.join(many, same, "left_semi")
     others = [c for c in docs.columns if c not in (id_column, text)]
-    one = rest.groupBy(id_column).agg(F.min(F.struct(text, *others)).alias("_row")).select(id_column, "_row.*")
-    return once.unionByName(one.select(*docs.columns))
+    one = first.groupBy(id_column, text).agg(F.min(F.struct(F.lit(0).alias("_all"), *others)).alias("_first")).select(id_column, text, *(F.col("_first")[c].alias(c) for c in others))
+    return docs.join(alone, same, "left_semi").unionByName(one.select(*docs.columns))

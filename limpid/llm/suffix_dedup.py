@@ -342,16 +342,12 @@ def _merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _numbered(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.withColumn(ROW, F.xxhash64(F.col(id_column).cast("string"), F.col(text), F.octet_length(text)))
-
-
-def _with_ranges(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    if ROW in docs.columns:
-        docs = docs.drop(ROW)
-    numbered = _numbered(docs, id_column, text)
-    ranges = covered_ranges(numbered.select(id_column, F.col(text).alias("text"), ROW), id_column, width)
-    return numbered.join(ranges, ROW, "left").drop(ROW)
+def _with_ranges(docs: DataFrame, id_column: str, text: str, width: int, first: str, last: str) -> DataFrame:
+    """``docs`` and two columns of removed ranges; null where nothing goes."""
+    row = fresh_name(ROW, docs.columns)
+    numbered = docs.withColumn(row, F.xxhash64(F.col(id_column).cast("string"), F.col(text), F.octet_length(text)))
+    ranges = covered_ranges(numbered.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(row).alias(ROW)), "id", width)
+    return numbered.join(ranges.select(F.col(ROW).alias(row), F.col("first").alias(first), F.col("last").alias(last)), row, "left").drop(row)
 
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -377,7 +373,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width
                     [part.column(id_column), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
                     names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(docs.select(id_column, text), id_column, text, width).select(id_column, text, "first", "last").mapInArrow(run, schema)
+    return _with_ranges(docs.select(id_column, text), id_column, text, width, "first", "last").select(id_column, text, "first", "last").mapInArrow(run, schema)
 
 
 def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -398,9 +394,7 @@ def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
 def cut(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` with every repeated passage cut out of its text; all rows and other columns stay."""
     first, last = (fresh_name(n, docs.columns) for n in ("_first", "_last"))
-    ranged = _with_ranges(docs.select(id_column, text, *[c for c in docs.columns if c not in (id_column, text, "first", "last")]), id_column, text, width)
-    ranged = ranged.withColumnsRenamed({"first": first, "last": last})
-    names = [c for c in ranged.columns if c not in (first, last)]
+    ranged, names = _with_ranges(docs, id_column, text, width, first, last), docs.columns
     schema = StructType([docs.schema[c] for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,4 +406,4 @@ def cut(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: i
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if n == text else part.column(n) for n in names], names=names)
 
-    return ranged.select(*names, first, last).mapInArrow(run, schema)
+    return ranged.select(*(f"`{c}`" for c in names), first, last).mapInArrow(run, schema)
