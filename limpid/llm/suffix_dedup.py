@@ -3,12 +3,12 @@
 Every string of ``width`` bytes is judged; none crosses a document. Four steps:
 
 1. *Seeds.* In each string the rolling hashes of 16 bytes have a smallest one, so
-   equal strings share a seed wherever they stand. Seeds are about every 18th
-   position; they are packed into blocks per hash bucket, and a bucket keeps the
-   seeds that stand in two rows at least.
-2. *Stretches.* Around each shared seed, the strings whose smallest hash it is
-   form one short stretch of the text. Stretches are dealt to shards by their seed,
-   so that all equal strings are in one shard, whatever documents they are from.
+   equal strings share a seed wherever they stand. A text falls into runs of
+   strings with one seed, of about 18; the seeds are packed into blocks per hash
+   bucket, and a bucket keeps those that stand in two rows at least.
+2. *Stretches.* The bytes of a run with a shared seed form a stretch. Stretches are
+   dealt to shards by their seed, so that all equal strings are in one shard,
+   whatever documents they are from.
 3. *Suffix arrays.* A shard's distinct stretches are put behind each other and
    sorted by external induced sorting (``induced.py``); neighbours that agree in
    ``width`` bytes are one string, and the smallest document of a string decides
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -43,10 +44,13 @@ WIDTH = 50
 SEED_BYTES = 16
 # text bytes per hash bucket and stretch bytes per shard, about
 BUCKET_TEXT = 24 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 # bytes of text for which a task holds rolling hashes at a time
-SLICE = 3 << 20
+SLICE = 4 << 20
+# strings whose places are judged at a time
+CHUNK = 1 << 20
 ROW = "_row"
+MOST_PARTS = 1 << 15
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -73,50 +77,30 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:len(x) - (width - span)], x[width - span:]) if width > span else x
 
 
-class Seeds:
-    """Seeds of texts that lie behind each other in ``body``."""
+class Runs:
+    """Texts that lie behind each other in ``body``, cut into runs of strings with the same smallest hash."""
 
     def __init__(self, texts: list[bytes], width: int):
-        self.width, self.reach = width, width - SEED_BYTES  # a string holds hashes at reach + 1 places
+        self.width, reach = width, width - SEED_BYTES  # a string holds hashes at reach + 1 places
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.body = np.frombuffer(b"".join(texts) + bytes(width + 8), dtype=np.uint8)
         total = int(sizes.sum())
-        self.hash = _rolling(self.body)[:total + self.reach]
-        least = _sliding(self.hash, self.reach + 1, np.minimum)[:total]
-        left = np.repeat(self.starts + sizes, sizes) - np.arange(total)
-        # smallest hash of each string that fits into its text, else 0
-        self.least = np.where(left >= width, least, np.uint64(0))
-        self.owner = np.repeat(np.arange(len(texts)), sizes)
-
-    def places(self) -> np.ndarray:
-        """Where a hash is the smallest of some string. In a run of one repeated byte, every 16th place and both ends do."""
-        total = len(self.least)
-        if not total:
-            return np.zeros(0, np.int64)
-        best = _sliding(np.concatenate([np.zeros(self.reach, np.uint64), self.least]), self.reach + 1, np.maximum)
-        chosen = (best == self.hash[:total]) & (best > 0)
-        inner = np.zeros(total, bool)
-        inner[1:-1] = chosen[1:-1] & chosen[:-2] & chosen[2:]
-        inner[1:-1] &= (self.hash[1:total - 1] == self.hash[:total - 2]) & (self.hash[1:total - 1] == self.hash[2:total])
-        at = np.flatnonzero(inner)
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1])) if len(at) else at
-        run = at - np.repeat(at[begins], np.diff(np.append(begins, len(at)))) if len(at) else at
-        chosen[at[run % 16 != 15]] = False
-        return np.flatnonzero(chosen)
-
-    def stretches(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last start of the strings around each place whose smallest hash it is."""
-        offset = np.arange(-self.reach, 1)
-        first, last = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
-        step = 1 << 15
-        for k in range(0, len(places), step):
-            p = places[k:k + step, None]
-            at = p + offset
-            good = (at >= 0) & (self.least[np.maximum(at, 0)] == self.hash[p]) & (self.owner[np.maximum(at, 0)] == self.owner[p])
-            first[k:k + step] = p[:, 0] + offset[good.argmax(axis=1)]
-            last[k:k + step] = p[:, 0] + offset[len(offset) - 1 - good[:, ::-1].argmax(axis=1)]
-        return first, last
+        least = _sliding(_rolling(self.body)[:total + reach], reach + 1, np.minimum)[:total]
+        # strings that reach over the end of their text belong to no run
+        for end, size in zip((self.starts + sizes).tolist(), sizes.tolist()):
+            least[end - min(size, width - 1):end] = 0
+        change = np.concatenate([[True], least[1:] != least[:-1]]) if total else np.zeros(0, bool)
+        change[self.starts[sizes > 0]] = True
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], total) - 1
+        kept = least[first] > 0
+        self.first, self.last = first[kept], last[kept]
+        self.hash = least[self.first]
+        self.owner = np.searchsorted(self.starts, self.first, "right") - 1
+        if (sizes == 0).any():  # empty texts share their start with the next one
+            full = np.flatnonzero(sizes > 0)
+            self.owner = full[np.searchsorted(self.starts[full], self.first, "right") - 1]
 
 
 def _texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
@@ -137,21 +121,34 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _plain(blocks: list[dict], name: str, kind: type) -> np.ndarray:
+    """A packed column of several blocks."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(b"".join(unpack(b[name]) for b in blocks), kind)
+
+
 def _seed_blocks(width: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
-                seeds = Seeds(_texts(part, "text"), width)
-                at = seeds.places()
-                if not len(at):
+                runs = Runs(_texts(part, "text"), width)
+                if not len(runs.first):
                     continue
-                owner, h = seeds.owner[at], seeds.hash[at]
-                rows = part.column(ROW).to_numpy()[owner]
+                h = runs.hash
+                rows = part.column(ROW).to_numpy()[runs.owner]
                 # five bytes of the hash beside the bucket: what is taken for equal too often is told apart later
                 short = np.ascontiguousarray((h >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-                out = list(_blocks((h % np.uint64(buckets)).astype(np.int32), short, rows, (at - seeds.starts[owner]).astype(np.int32)))
+                places = (runs.first - runs.starts[runs.owner]).astype(np.int32)
+                out = [
+                    (k, hashes, _packed(own), _packed(at))
+                    for k, hashes, own, at in _blocks((h % np.uint64(buckets)).astype(np.int32), short, rows, places)
+                ]
                 yield _batch(out, schema)
 
     return run
@@ -190,8 +187,7 @@ def _shared_seeds():
             h = np.zeros((len(raw), 8), np.uint8)
             h[:, :5] = raw
             h = h.view(np.uint64)[:, 0]
-            rows = np.frombuffer(b"".join(b["rows"] for b in blocks), np.int64)
-            places = np.frombuffer(b"".join(b["places"] for b in blocks), np.int32)
+            rows, places = _plain(blocks, "rows", np.int64), _plain(blocks, "places", np.int32)
             order = np.argsort(h, kind="stable")
             h, rows, places = h[order], rows[order], places[order]
             cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -204,33 +200,30 @@ def _shared_seeds():
     return run
 
 
-def _stretch_blocks(width: int, shards: int, id_column: str):
+def _stretch_blocks(width: int, shards: int):
     schema = pa.schema([(n, pa.int32() if n == "shard" else pa.binary()) for n in ("shard", "sizes", "ids", "rows", "at", "body")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
-                seeds = Seeds(_texts(part, "text"), width)
+                runs = Runs(_texts(part, "text"), width)
                 lists = part.column("places").to_pylist()
-                total = len(seeds.least)
-                at = np.array([s + x for s, own in zip(seeds.starts.tolist(), lists) for x in own], dtype=np.int64)
-                # a place of another row that got the same number is no seed here
-                at = np.unique(at[at < total])
-                at = at[np.isin(at, seeds.places())]
-                if not len(at):
+                at = np.array([s + x for s, own in zip(runs.starts.tolist(), lists) for x in own], dtype=np.int64)
+                # a place of another row that got the same number begins no run here
+                k = np.flatnonzero(np.isin(runs.first, at))
+                if not len(k):
                     continue
-                first, last = seeds.stretches(at)
-                owner, sizes = seeds.owner[at], (last - first + width).astype(np.int32)
-                ids, rows = part.column(id_column).to_numpy()[owner], part.column(ROW).to_numpy()[owner]
-                shard = (_mixed(seeds.hash[at]) % np.uint64(shards)).astype(np.int32)
+                shard = (_mixed(runs.hash[k]) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                shard, first, sizes, ids, rows, owner = (x[order] for x in (shard, first, sizes, ids, rows, owner))
+                k, shard = k[order], shard[order]
+                first, sizes, owner = runs.first[k], (runs.last[k] - runs.first[k] + width).astype(np.int32), runs.owner[k]
+                ids, rows = part.column("id").to_numpy()[owner], part.column(ROW).to_numpy()[owner]
                 cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                memory, out = memoryview(seeds.body), []
+                memory, out = memoryview(runs.body), []
                 for a, b in zip(cuts, np.append(cuts[1:], len(shard))):
                     body = b"".join(memory[f:f + n] for f, n in zip(first[a:b].tolist(), sizes[a:b].tolist()))
-                    start = (first[a:b] - seeds.starts[owner[a:b]]).astype(np.int32)
-                    out.append((int(shard[a]), sizes[a:b].tobytes(), ids[a:b].tobytes(), rows[a:b].tobytes(), start.tobytes(), body))
+                    start = (first[a:b] - runs.starts[owner[a:b]]).astype(np.int32)
+                    out.append((int(shard[a]), *(_packed(x) for x in (sizes[a:b].tobytes(), ids[a:b].tobytes(), rows[a:b].tobytes(), start.tobytes(), body))))
                 yield _batch(out, schema)
 
     return run
@@ -270,10 +263,11 @@ def _covered(width: int):
         for _, blocks in _grouped(batches, "shard"):
             known: dict[bytes, int] = {}
             which, least_id = [], []
+            unpack = zstandard.ZstdDecompressor().decompress
             for b in blocks:
-                ends = np.cumsum(np.frombuffer(b["sizes"], np.int32)).tolist()
-                body, begin = b["body"], 0
-                for end, i in zip(ends, np.frombuffer(b["ids"], np.int64).tolist()):
+                ends = np.cumsum(_plain([b], "sizes", np.int32)).tolist()
+                body, begin = unpack(b["body"]), 0
+                for end, i in zip(ends, _plain([b], "ids", np.int64).tolist()):
                     k = known.setdefault(body[begin:end], len(known))
                     if k == len(least_id):
                         least_id.append(i)
@@ -286,48 +280,51 @@ def _covered(width: int):
             known.clear()
             of_place, starts = string_owners(stretches, np.array(least_id, dtype=np.int64), width)
             counts = np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches)) - width + 1
-            ids = np.frombuffer(b"".join(b["ids"] for b in blocks), np.int64)
-            rows = np.frombuffer(b"".join(b["rows"] for b in blocks), np.int64)
-            at = np.frombuffer(b"".join(b["at"] for b in blocks), np.int32)
+            ids, rows, at = _plain(blocks, "ids", np.int64), _plain(blocks, "rows", np.int64), _plain(blocks, "at", np.int32)
             which = np.array(which, dtype=np.int64)
-            step = 1 << 17
-            for k in range(0, len(which), step):
-                w = which[k:k + step]
+            reach = np.cumsum(counts[which])
+            begin_at = 0
+            while begin_at < len(which):  # places of about ``CHUNK`` strings at a time
+                end_at = max(begin_at + 1, int(np.searchsorted(reach, (reach[begin_at - 1] if begin_at else 0) + CHUNK, "right")))
+                here = slice(begin_at, end_at)
+                begin_at = end_at
+                w = which[here]
                 n = counts[w]
                 stretch = np.repeat(np.arange(len(w)), n)
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                gone = of_place[starts[w][stretch] + inside] < ids[k:k + step][stretch]
+                gone = of_place[starts[w][stretch] + inside] < ids[here][stretch]
                 # runs of removed strings inside a stretch
                 before = np.concatenate([[False], gone[:-1]]) & (inside > 0)
                 after = np.concatenate([gone[1:], [False]]) & (inside + 1 < n[stretch])
                 begin, end = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
-                own = at[k:k + step].astype(np.int64)
-                made = _by_row(rows[k:k + step][stretch[begin]], own[stretch[begin]] + inside[begin], own[stretch[end]] + inside[end] + width)
+                own = at[here].astype(np.int64)
+                made = _by_row(rows[here][stretch[begin]], own[stretch[begin]] + inside[begin], own[stretch[end]] + inside[end] + width)
                 if made is not None:
                     yield made
 
     return run
 
 
-def covered_ranges(docs: DataFrame, id_column: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """(_row, first, last): lists of removed byte ranges, end exclusive, per row number of ``docs`` (id, text, _row)."""
+def covered_ranges(docs: DataFrame, id_column: str, text: str, row: str, width: int = WIDTH) -> DataFrame:
+    """(row, first, last): lists of removed byte ranges, end exclusive, per row number of ``docs``."""
     if width < SEED_BYTES + 8:
         raise ValueError(f"strings of {SEED_BYTES + 8} bytes at least")
-    able = docs.where(F.col(id_column).isNotNull() & (F.octet_length("text") >= width))
-    buckets = max(1, -(-(able.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_TEXT))
-    parts = min(buckets, 1 << 15)
-    blocks = able.select("text", ROW).mapInArrow(_seed_blocks(width, buckets), "bucket int, hashes binary, rows binary, places binary")
-    seeds = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_seeds(), f"{ROW} long, first array<int>")
+    able = docs.where(F.col(id_column).isNotNull() & (F.octet_length(text) >= width))
+    buckets = max(1, -(-(able.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_TEXT))
+    blocks = able.select(F.col(text).alias("text"), F.col(row).alias(ROW)).mapInArrow(
+        _seed_blocks(width, buckets), "bucket int, hashes binary, rows binary, places binary"
+    )
+    seeds = blocks.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_seeds(), f"{ROW} long, first array<int>")
     shared = stage(seeds.groupBy(ROW).agg(F.flatten(F.collect_list("first")).alias("places")), "dedup-seeds")
     stretch = (shared.agg(F.sum(F.size("places"))).first()[0] or 0) * (width + 18)
     shards = max(1, -(-stretch // SHARD_BYTES))
-    held = able.select(id_column, "text", ROW).join(shared, ROW).mapInArrow(
-        _stretch_blocks(width, shards, id_column), "shard int, sizes binary, ids binary, rows binary, at binary, body binary"
-    )
-    found = held.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard").mapInArrow(
+    # all rows in the caller's form, so that this shuffle of the texts also serves the join with the ranges
+    met = docs.join(shared.withColumnRenamed(ROW, row), row).select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(row).alias(ROW), "places")
+    held = met.mapInArrow(_stretch_blocks(width, shards), "shard int, sizes binary, ids binary, rows binary, at binary, body binary")
+    found = held.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(
         _covered(width), f"{ROW} long, first array<int>, last array<int>"
     )
-    return found.groupBy(ROW).agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
+    return found.groupBy(F.col(ROW).alias(row)).agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
 
 
 def _merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
@@ -346,8 +343,8 @@ def _with_ranges(docs: DataFrame, id_column: str, text: str, width: int, first:
     """``docs`` and two columns of removed ranges; null where nothing goes."""
     row = fresh_name(ROW, docs.columns)
     numbered = docs.withColumn(row, F.xxhash64(F.col(id_column).cast("string"), F.col(text), F.octet_length(text)))
-    ranges = covered_ranges(numbered.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(row).alias(ROW)), "id", width)
-    return numbered.join(ranges.select(F.col(ROW).alias(row), F.col("first").alias(first), F.col("last").alias(last)), row, "left").drop(row)
+    ranges = covered_ranges(numbered.select(id_column, text, row), id_column, text, row, width)
+    return numbered.join(ranges.select(row, F.col("first").alias(first), F.col("last").alias(last)), row, "left").drop(row)
 
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
