@@ -50,10 +50,11 @@ def fold(events: DataFrame) -> DataFrame:
     place = F.struct("seq", "kind", "text")
     replaces = F.col("kind") != "delta"
     whole = Window.partitionBy("conv_id", "turn")
-    kept = alive.withColumn("_base", F.max(F.when(replaces, place)).over(whole)).where(F.col("_base").isNull() | (place >= F.col("_base")))
+    named = F.max(F.when(F.col("role") != "", F.struct("seq", "role"))).over(whole)
+    kept = alive.withColumn("_named", named["role"]).withColumn("_base", F.max(F.when(replaces, place)).over(whole)).where(F.col("_base").isNull() | (place >= F.col("_base")))
     return kept.groupBy("conv_id", "turn").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), "").alias("text"),
-        F.coalesce(F.max_by("role", F.when(F.col("role") != "", F.col("seq"))), F.lit("")).alias("role"),
+        F.coalesce(F.max("_named"), F.lit("")).alias("role"),
     ).select("conv_id", "turn", "role", "text")
 
 
