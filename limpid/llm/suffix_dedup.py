@@ -43,12 +43,12 @@ from limpid.session import stage
 WIDTH = 50
 SEED_BYTES = 16
 # text bytes per hash bucket and stretch bytes per shard, about
-BUCKET_TEXT = 24 << 20
-SHARD_BYTES = 4 << 20
+BUCKET_TEXT = 16 << 20
+SHARD_BYTES = 3 << 19
 # bytes of text for which a task holds rolling hashes at a time
-SLICE = 4 << 20
+SLICE = 3 << 19
 # strings whose places are judged at a time
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ROW = "_row"
 MOST_PARTS = 1 << 15
 
