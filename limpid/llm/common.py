@@ -19,7 +19,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK = "\t\n\x0b\x0c\r "
 
 # bytes of text that a task holds as Python strings at a time (a longer text is a batch of its own)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 
 INFINITE = 1 << 40
 # pieces, token pairs and splits that a process remembers
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 # texts below this code point (Latin scripts) are cut by the faster expression
 NARROW = 0x250
 
