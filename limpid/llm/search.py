@@ -42,7 +42,7 @@ NO_ID = -(1 << 63)
 _WORD = re.compile(WORD)
 _TABLE = str.maketrans(UPPER, LOWER)
 # terms a task remembers with their hashes
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 class TermHasher:

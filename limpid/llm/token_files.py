@@ -35,9 +35,9 @@ from limpid.session import scratch_path
 TOKENIZER = "word_bpe_49k.json"
 FIRST_FREE = 49_408
 # ids of a block and text bytes of a range, about
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 RANGE_BYTES = 32 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 # what the tokenizer's file cuts texts by, fixed value
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
