@@ -136,10 +136,10 @@ def declared_repair(spark, d):
 
 
 @query("hidden_duplicates_words", f"""
-WITH {t.SQL_WORDS}, c AS (SELECT word AS value, count(*) AS n FROM w GROUP BY 1)
-SELECT value, regexp_replace(value, '[^\\x00-\\x7F]', '', 'g') AS stripped, n FROM c
-WHERE regexp_matches(value, '[^\\x00-\\x7F]')
-  AND regexp_replace(value, '[^\\x00-\\x7F]', '', 'g') IN (SELECT value FROM c)
+WITH {t.SQL_WORDS}, c AS (SELECT word AS value, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT value, trim(regexp_replace(value, '[^\\x00-\\x7F]', '', 'g'), ' ') AS stripped, n FROM c
+      WHERE regexp_matches(value, '[^\\x00-\\x7F]'))
+SELECT s.value, s.stripped, s.n FROM s JOIN c ON s.stripped = c.value
 """)
 def hidden_duplicates_words(spark, d):
     return collisions.hidden_duplicates(collisions.value_counts(t.words(spark, d), "word"))

@@ -61,14 +61,14 @@ def _bucket_of_rank(
     """
     counted = rows.groupBy(*keys, bucket).agg(
         F.sum(weight).alias("_w"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.first(rank).alias(rank),
+        F.first(rank).alias(rank), F.count(F.lit(1)).alias("_rows"),
     )
     upto = Window.partitionBy(*keys).orderBy(bucket)
     running = counted.withColumn("_upto", F.sum("_w").over(upto))
     return running.where(
         (F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_w") < F.col(rank))
     ).select(
-        *keys, rank, "_lo", "_hi", (F.col("_upto") - F.col("_w")).alias("_before")
+        *keys, rank, "_lo", "_hi", "_rows", (F.col("_upto") - F.col("_w")).alias("_before")
     )
 
 
@@ -83,8 +83,8 @@ def value_at_rank(
     _below`` where ``_below`` counts the rows with a smaller value.
 
     Octave slices leave about a thousandth of a spread-out group for the last
-    ordering; where the widest bucket found still exceeds ``BUCKET_LIMIT``,
-    linear slices of it leave a thousandth of that.
+    ordering; as long as the widest bucket found exceeds ``BUCKET_LIMIT``, it is
+    cut into linear slices, each a thousandth of it.
     """
     wanted = [*keys, "_rank"]
     rows = freq.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_n"))
@@ -106,11 +106,12 @@ def value_at_rank(
         .select(*wanted, "_lo", "_hi", "_rows", (F.col("_upto") - F.col("_w")).alias("_before"))
     )
     found = stage(first, "rank-octave")
-    # one number for the driver: rows of the widest bucket that holds a rank
-    widest = found.agg(F.max("_rows").alias("w")).first()["w"] or 0
-    found = found.drop("_rows")
-    if widest > BUCKET_LIMIT:
+    # one number for the driver: rows of the widest bucket of several values that holds a rank
+    wide = lambda f: f.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_rows"))).alias("w")).first()["w"] or 0
+    # every cut leaves a thousandth of the bucket's width, until its rows are few or its values one
+    while wide(found) > BUCKET_LIMIT:
         found = _narrow(rows, wanted, found)
+    found = found.drop("_rows")
 
     last = (
         rows.join(found, keys)
@@ -145,7 +146,7 @@ def _narrow(rows: DataFrame, wanted: list[str], first: DataFrame) -> DataFrame:
     return stage(
         second.join(first.select(*wanted, F.col("_before").alias("_skipped")), wanted)
         .select(
-            *wanted, "_lo", "_hi",
+            *wanted, "_lo", "_hi", "_rows",
             (F.col("_before") + F.col("_skipped")).alias("_before"),
         ),
         "rank-slice",
@@ -166,7 +167,8 @@ def median_by_rank(freq: DataFrame, keys: list[str], value: str, weight: str) ->
         ).alias("_rank"),
     )
     found = value_at_rank(freq, keys, ranks, value, weight)
-    return found.groupBy(*keys).agg(F.avg(value).alias("median"))
+    # halves first: the sum of two large values would overflow
+    return found.groupBy(*keys).agg((F.min(value) / 2 + F.max(value) / 2).alias("median"))
 
 
 def median_by_map(freq: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -239,26 +241,25 @@ def _flag_up_to(
     """Flag rows ``below`` the boundary, and on its ``level`` up to the last digest.
 
     One pass over the rows. Only where copies that no digest tells apart lie
-    across the boundary are they numbered, and only as long as that is a
-    bounded lot; beyond it the caller must give them an identity.
+    across the boundary are they written and chosen by their place in the files,
+    in the same way, so that no task numbers them all.
     """
     placed = rows.join(last, keys, "left")
     no = F.lit(False)
     inside = F.coalesce(below, no) | (F.coalesce(level, no) & F.coalesce(F.col("_digest") <= F.col("_last"), no))
     extra = ["_last", "_copies", "_need"]
-    split = last.where(F.col("_need") < F.col("_copies")).agg(F.max("_copies").alias("m")).first()["m"]
-    if split is None:
+    split = last.where(F.col("_need") < F.col("_copies")).limit(1).count()
+    if not split:
         return placed.withColumn(flag, inside).drop(*extra)
-    if split > WINDOW_LIMIT:
-        raise ValueError(
-            f"{split} rows share one identity at the boundary; add their file position to it"
-        )
     edge = F.coalesce(level, no) & F.coalesce(
         (F.col("_digest") == F.col("_last")) & (F.col("_need") < F.col("_copies")), no
     )
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_digest"))
-    some = placed.where(edge).withColumn(flag, number <= F.col("_need"))
-    return placed.where(~edge).withColumn(flag, inside).unionByName(some).drop(*extra)
+    names = [c for c in placed.columns if c not in extra]
+    copies = stage(placed.where(edge).select(*names).drop("_digest"), "copies").select("*", "_metadata.file_path", "_metadata.row_index")
+    told = copies.withColumn("_digest", F.md5(F.concat_ws("|", F.element_at(F.split("file_path", "/"), -1), "row_index"))).drop("file_path", "row_index")
+    wanted = last.where(F.col("_need") < F.col("_copies")).select(*keys, F.col("_need").alias("_rank"))
+    some = _flag_up_to(told, keys, _last_digest(told, keys, wanted), flag, no, F.lit(True))
+    return placed.where(~edge).withColumn(flag, inside).drop(*extra).unionByName(some)
 
 
 def _mark_by_window(

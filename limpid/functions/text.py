@@ -16,7 +16,7 @@ def _base_letters() -> tuple[str, str]:
     """Characters with accents and the bare letter each one decomposes to.
 
     Generated from the Unicode database. Characters whose decomposition keeps
-    several letters (Hangul syllables, some Indic vowels) are not in the map.
+    several letters are not in the map; ``_letters`` spells Hangul syllables.
     """
     source, target = [], []
     for code in range(sys.maxunicode + 1):
@@ -33,10 +33,32 @@ def _base_letters() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+# how Unicode composes Hangul syllables: first of them, first letters, vowels, last letters
+_SYLLABLES, _LEADS, _VOWELS, _TAILS = 0xAC00, (0x1100, 19), (0x1161, 21), (0x11A8, 27)
+
+
+def _letters(value: Column) -> Column:
+    """Hangul syllables as their two or three letters; other characters stay."""
+    spelled = {k: "".join(map(chr, range(first, first + n))) for k, (first, n) in (("l", _LEADS), ("v", _VOWELS), ("t", _TAILS))}
+
+    def one(char: Column) -> Column:
+        at = F.ascii(char) - _SYLLABLES
+        pick = lambda k, i: F.substr(F.lit(spelled[k]), i.cast("int"), F.lit(1))
+        per_lead, per_vowel = _VOWELS[1] * (_TAILS[1] + 1), _TAILS[1] + 1
+        tail = at % per_vowel
+        letters = F.concat(
+            pick("l", F.floor(at / per_lead) + 1), pick("v", F.floor((at % per_lead) / per_vowel) + 1),
+            F.when(tail > 0, pick("t", tail)).otherwise(""),
+        )
+        return F.when((at >= 0) & (at < _LEADS[1] * per_lead), letters).otherwise(char)
+
+    return F.when(value.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(value, ""), one), "")).otherwise(value)
+
+
 def fold(value: Column) -> Column:
     """Case, accents and repeated blanks folded; single blanks are kept."""
     source, target = _base_letters()
-    bare = F.regexp_replace(F.translate(value, source, target), r"\p{Mn}", "")
+    bare = F.regexp_replace(F.translate(_letters(value), source, target), r"\p{Mn}", "")
     blanks = F.regexp_replace(bare, r"(?U)[\s\x1c-\x1f]+", " ")
     return F.lower(F.trim(blanks))
 
@@ -54,17 +76,32 @@ def has_non_ascii(value: Column) -> Column:
     return value.rlike(r"[^\x00-\x7F]")
 
 
+NUMBER_LETTERS = "0123456789+-.eE"
+"""All that a written decimal number may consist of; the cast decides about the rest."""
+
+
 def reads_as_number(value: Column) -> Column:
     """A written number; stricter than a cast, which accepts ``nan`` or ``1d``."""
-    return F.coalesce(F.trim(value).rlike(V.NUMBER_PATTERN), F.lit(False))
+    return number_or_null(value).isNotNull()
 
 
 def number_or_null(value: Column) -> Column:
-    return F.when(reads_as_number(value), F.trim(value).try_cast("double"))
+    plain = F.trim(value)
+    return F.when(F.translate(plain, NUMBER_LETTERS, "") == "", plain.try_cast("double"))
+
+
+def _moment_shapes() -> list[str]:
+    """What follows a day, with 9 for every digit and for any run of decimals."""
+    clocks = [c + f for c in ("99:99", "99:99:99") for f in ("", ".9")]
+    zones = ["", "Z"] + [sign + z for sign in "+-" for z in ("99:99", "9999")]
+    return ["", *(gap + c + z for gap in " T" for c in clocks for z in zones)]
 
 
 def reads_as_date(value: Column) -> Column:
-    return F.coalesce(F.trim(value).rlike(V.DATE_PATTERN), F.lit(False))
+    """An ISO day, alone or with a clock time and a zone, judged by its shape."""
+    shape = F.translate(F.trim(value), "012345678", "9" * 9)
+    rest = F.regexp_replace(F.substr(shape, F.lit(11)), r"\.9+", ".9")
+    return F.coalesce((F.substring(shape, 1, 10) == "9999-99-99") & rest.isin(_moment_shapes()), F.lit(False))
 
 
 def day_or_null(value: Column) -> Column:

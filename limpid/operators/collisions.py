@@ -85,7 +85,7 @@ def replace_values(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 def hidden_duplicates(counts: DataFrame) -> DataFrame:
     """Values with non-ASCII letters whose stripped form is itself a value."""
     odd = counts.where(has_non_ascii(F.col("value"))).withColumn(
-        "stripped", ascii_only(F.col("value"))
+        "stripped", F.trim(ascii_only(F.col("value")))
     )
     plain = counts.select(F.col("value").alias("stripped"))
     return odd.join(plain, "stripped", "left_semi").select("value", "stripped", "n")

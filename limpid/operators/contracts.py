@@ -16,9 +16,22 @@ def _folded_top() -> Column:
     return F.transform("top", lambda e: fold(e["value"]))
 
 
-def propose(profile: DataFrame, version: int = 1) -> tuple[DataFrame, DataFrame]:
+def _clashing_forms(values: DataFrame) -> DataFrame:
+    """Per column the forms that several spellings fold to, the hundred with most rows."""
+    from limpid.operators.collisions import collision_clusters
+
+    keys = ["table_name", "batch_id", "column_name"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("rows"), "form")
+    head = collision_clusters(values, keys).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= V.ENUMERABLE_MAX)
+    return head.groupBy(*keys).agg(F.sort_array(F.collect_list("form")).alias("_all_clashes"))
+
+
+def propose(profile: DataFrame, version: int = 1, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Clauses and warnings a whole-table profile supports, status ``proposed``.
 
+    With ``values`` (all values, see ``category_values``) the forms of colliding
+    spellings beyond the frequent ones count too.
+
     A closed list is proposed only where every value was seen and no two of
     them are spellings of one: a warning is overlooked, a missing clause is not.
     """
@@ -29,6 +42,10 @@ def propose(profile: DataFrame, version: int = 1) -> tuple[DataFrame, DataFrame]
         F.array_distinct("_forms"),
         lambda f: F.size(F.filter(F.col("_forms"), lambda g: g == f)) > 1,
     ))
+    if values is not None:
+        p = p.join(_clashing_forms(values), ["table_name", "batch_id", "column_name"], "left").withColumn(
+            "_clashes", F.coalesce("_all_clashes", F.col("_clashes"))
+        ).drop("_all_clashes")
     clash = F.coalesce(F.size("_clashes") > 0, F.lit(False))
     complete = F.coalesce(F.col("coverage") >= 1.0, F.lit(False)) & F.col("top").isNotNull()
     none_b = F.lit(None).cast("boolean")

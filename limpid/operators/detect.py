@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from limpid import schemas, vocabulary as V
 from limpid.functions import text
 from limpid.functions.text import fold
+from limpid.session import stage
 
 
 def _text(c: Column | str | None) -> Column:
@@ -140,11 +141,13 @@ def schema_reference(history: DataFrame, contract: DataFrame | None, batches: Da
 
 # --- contract ----------------------------------------------------------------
 
-def contract_violations(profile: DataFrame, clauses: DataFrame) -> DataFrame:
+def contract_violations(profile: DataFrame, clauses: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Signed clauses that a profile does not meet.
 
     A contract column missing from the profile is a schema matter and is
-    dropped by the join.
+    dropped by the join. Accepted values are judged on ``values`` (all values of
+    a column, see ``category_values``); without it on those a profile carries,
+    which is all of them only while the column's coverage is complete.
     """
     c = clauses.select(
         "table_name", F.upper("column_name").alias("_column"), "clause", "lo", "hi", "values"
@@ -185,24 +188,41 @@ def contract_violations(profile: DataFrame, clauses: DataFrame) -> DataFrame:
         magnitude=beyond / F.when(width > 0, width).otherwise(F.lit(1.0)),
         details={"clause": F.lit("between"), "low": F.col("numeric_min"), "high": F.col("numeric_max")},
     )
-    # the frequent values of a column are at most a hundred
-    intruders = F.filter("top", lambda e: ~F.array_contains(F.col("values"), e["value"]))
-    strange = anomaly(
-        j.where(
-            (F.col("clause") == "accepted_values") & (F.size("values") > 0)
-            & (F.size(F.coalesce(intruders, F.array())) > 0)
-        ),
-        "contract", "valeur_non_admise", "validite", column=col,
-        observed=F.to_json(F.transform(intruders, lambda e: e["value"])),
-        reference=F.to_json(F.sort_array(F.array_distinct("values"))),
-        observed_values=F.transform(intruders, lambda e: e["value"]),
-        magnitude=F.size(intruders),
-        details={
-            "clause": F.lit("accepted_values"), "coverage": F.col("coverage"),
-            "rows": F.aggregate(intruders, F.lit(0).cast("long"), lambda a, e: a + e["count"]),
-        },
+    listed = j.where((F.col("clause") == "accepted_values") & (F.size("values") > 0))
+    strange = _intruders_in_profile(listed) if values is None else _intruders(listed, values)
+    return nulls.unionByName(copies).unionByName(bounds).unionByName(_not_accepted(strange))
+
+
+def _intruders_in_profile(listed: DataFrame) -> DataFrame:
+    inside = F.filter("top", lambda e: ~F.array_contains(F.col("values"), e["value"]))
+    return listed.withColumn("_in", inside).where(F.size(F.coalesce("_in", F.array())) > 0).select(
+        "table_name", "batch_id", "column_name", "values", "coverage",
+        F.transform("_in", lambda e: e["value"]).alias("shown"), F.size("_in").alias("kinds"),
+        F.aggregate("_in", F.lit(0).cast("long"), lambda a, e: a + e["count"]).alias("rows"),
+    )
+
+
+def _intruders(listed: DataFrame, values: DataFrame) -> DataFrame:
+    """Values beside the accepted ones: all are counted, the most frequent hundred are shown."""
+    keys = ["table_name", "batch_id", "column_name"]
+    accepted = listed.select(*keys, F.explode("values").alias("value")).distinct()
+    strange = values.join(listed.select(*keys).distinct(), keys, "left_semi").join(accepted, [*keys, "value"], "left_anti")
+    counted = strange.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("value"))
+    head = strange.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= V.ENUMERABLE_MAX)
+    shown = head.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("shown")
+    )
+    return listed.select(*keys, "values", F.lit(1.0).alias("coverage")).join(counted, keys).join(shown, keys)
+
+
+def _not_accepted(strange: DataFrame) -> DataFrame:
+    return anomaly(
+        strange, "contract", "valeur_non_admise", "validite", column=F.col("column_name"),
+        observed=F.to_json("shown"), reference=F.to_json(F.sort_array(F.array_distinct("values"))),
+        observed_values=F.col("shown"), magnitude=F.col("kinds"),
+        details={"clause": F.lit("accepted_values"), "coverage": F.col("coverage"), "rows": F.col("rows")},
     )
-    return nulls.unionByName(copies).unionByName(bounds).unionByName(strange)
 
 
 # --- statistical -------------------------------------------------------------
@@ -325,18 +345,22 @@ def semantic(profile: DataFrame) -> DataFrame:
 def semantic_full(frequencies: DataFrame, facts: DataFrame, table_name: str) -> DataFrame:
     """The same over all values, from the frequency table of the profile.
 
-    A cluster shows its first and last spelling; its spellings are counted.
+    All spellings of a cluster are counted, the most frequent hundred are shown.
     """
-    from limpid.operators.collisions import collision_clusters
+    from limpid.operators.collisions import collision_clusters, spellings
 
     keys = ["batch_id", "column_name"]
     scope = facts.where(F.col("role") == "categorical").select(*keys)
-    clusters = collision_clusters(frequencies.join(scope, keys, "left_semi"), keys)
+    counts = frequencies.join(scope, keys, "left_semi")
+    order = Window.partitionBy(*keys, "form").orderBy(F.desc("n"), F.asc("value"))
+    head = spellings(counts, keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= V.ENUMERABLE_MAX)
+    shown = head.groupBy(*keys, "form").agg(F.sort_array(F.collect_list("value")).alias("shown"))
+    clusters = collision_clusters(counts, keys).join(shown, [*keys, "form"])
     return anomaly(
         clusters.withColumn("table_name", F.lit(table_name)),
         "semantic", "collision_semantique", "coherence", column=F.col("column_name"),
-        observed=F.to_json(F.array("first_spelling", "last_spelling")), reference=F.col("form"),
-        observed_values=F.array("first_spelling", "last_spelling"), magnitude=F.col("rows"),
+        observed=F.to_json("shown"), reference=F.col("form"),
+        observed_values=F.col("shown"), magnitude=F.col("rows"),
         details={"coverage": F.lit(1.0), "rows": F.col("rows"), "spellings": F.col("spellings")},
     )
 
@@ -361,14 +385,17 @@ def external(verdicts: DataFrame, batch_id: str, table_name: str | None = None)
 # --- all families ------------------------------------------------------------
 
 def detect(families: list[tuple[str, Callable[[], DataFrame | None]]], spark) -> tuple[DataFrame, list[str]]:
-    """Union of all families; one that cannot be built does not lose the others.
+    """Union of all families; one that fails does not lose the others.
 
-    Returns the anomalies and what went wrong, by family.
+    Every family is computed and written on its own, so that an error in the
+    data of one is reported like an error in its plan. Returns the anomalies and
+    what went wrong, by family.
     """
     frames, failures = [], []
     for name, build in families:
         try:
             frame = build()
+            frame = frame if frame is None else stage(frame, f"family-{name}")
         except Exception as exc:  # noqa: BLE001 - reported, not swallowed
             failures.append(f"{name}: {type(exc).__name__}: {exc}")
             continue

@@ -19,11 +19,14 @@ from limpid.session import stage
 WHOLE = "*"
 """Batch id standing for a table profiled in one piece."""
 
+UNDATED = "(none)"
+"""Batch id of rows that carry none."""
+
 DIGEST_OVER = 256
 """Length from which counting shuffles a digest of a text instead of the text."""
 
 MAP_LIMIT = 200_000
-"""Distinct values per group up to which ``percentile`` may keep its map."""
+"""Distinct values per group up to which ``percentile`` may keep its map; both ways give the same median."""
 
 
 def type_class(dtype: T.DataType) -> str:
@@ -46,7 +49,8 @@ def batch_filter(df: DataFrame, batch_column: str | None, batch_id: str | None)
 
 
 def _batch(df: DataFrame, batch_column: str | None) -> Column:
-    return F.col(batch_column).cast("string") if batch_column else F.lit(WHOLE)
+    """Rows without a batch form one of their own, so that joins by batch keep them."""
+    return F.coalesce(F.col(batch_column).cast("string"), F.lit(UNDATED)) if batch_column else F.lit(WHOLE)
 
 
 def _quoted(name: str) -> Column:
@@ -71,12 +75,19 @@ def frequency_table(
     shuffle, so a value held by a third of all rows costs nothing extra. With
     ``digest_over`` longer texts appear as their length and SHA-256 digest (of
     the whole text): enough to count them, and a fraction of the bytes.
+
+    Values are told apart by what they are, not by how they print: both zeros
+    are one value, instants that print alike are two, and a short text that
+    reads like a digest is not one.
     """
     columns = columns or list(df.columns)
-    classes = {f.name: type_class(f.dataType) for f in df.schema.fields}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    classes = {c: type_class(kind) for c, kind in types.items()}
 
     def shown(c: str) -> str:
         name = _sql_name(c)
+        if isinstance(types[c], (T.DoubleType, T.FloatType)):
+            name = f"IF({name} = 0, CAST(0 AS {types[c].simpleString()}), {name})"
         if digest_over is None or classes[c] in ("number", "date"):
             return f"CAST({name} AS STRING)"
         whole = f"CAST({name} AS STRING)"
@@ -85,13 +96,21 @@ def frequency_table(
             f"THEN concat('sha256:', length({whole}), ':', sha2({whole}, 256)) ELSE {whole} END"
         )
 
+    def apart(c: str) -> str:
+        if isinstance(types[c], T.TimestampType):
+            return f"unix_micros({_sql_name(c)})"
+        if digest_over is None or classes[c] in ("number", "date"):
+            return "CAST(NULL AS BIGINT)"
+        return f"IF(length(CAST({_sql_name(c)} AS STRING)) > {int(digest_over)}, 1L, CAST(NULL AS BIGINT))"
+
     # one SQL text instead of several driver calls per column
-    entries = ", ".join(f"struct({_sql_text(c)} AS column_name, {shown(c)} AS value)" for c in columns)
+    entries = ", ".join(f"struct({_sql_text(c)} AS column_name, {shown(c)} AS value, {apart(c)} AS _apart)" for c in columns)
     cells = df.select(_batch(df, batch_column).alias("batch_id"), F.expr(f"inline(array({entries}))"))
     return (
         cells.where("value IS NOT NULL")
-        .groupBy("batch_id", "column_name", "value")
+        .groupBy("batch_id", "column_name", "value", "_apart")
         .agg(F.expr("count(1) AS n"))
+        .drop("_apart")
     )
 
 
@@ -201,6 +220,28 @@ def freshness(stats: DataFrame) -> DataFrame:
     )
 
 
+def category_values(
+    rows: DataFrame, profile: DataFrame, table_name: str, batch_column: str | None = None,
+    also: DataFrame | None = None,
+) -> DataFrame:
+    """``(table_name, batch_id, column_name, value, n)``: every value, however many there are.
+
+    Of the categorical columns of a profile and of the columns that ``also``
+    names; the driver reads column names only.
+    """
+    wanted = profile.where(F.col("role") == "categorical").select(F.upper("column_name").alias("c"))
+    if also is not None:
+        wanted = wanted.unionByName(also.select(F.upper("column_name").alias("c")))
+    names = {r["c"] for r in wanted.distinct().collect()}
+    present = [c for c in rows.columns if c.upper() in names]
+    if not present:
+        empty = "table_name string, batch_id string, column_name string, value string, n bigint"
+        return rows.sparkSession.createDataFrame([], empty)
+    return frequency_table(rows, present, batch_column).select(
+        F.lit(table_name).alias("table_name"), "batch_id", "column_name", "value", "n"
+    )
+
+
 def adaptive_k(distinct: Column) -> Column:
     """All values of an enumerable column, the default head of any other."""
     return F.when(distinct.between(1, V.ENUMERABLE_MAX), distinct).otherwise(V.TOP_K_DEFAULT)
@@ -282,13 +323,13 @@ def numeric_frequency(
     values are counted together under a NULL ``v``.
     """
     classes = {f.name: type_class(f.dataType) for f in df.schema.fields}
-    pattern = _sql_text(V.NUMBER_PATTERN)
+    letters = _sql_text(text.NUMBER_LETTERS)
 
     def reading(c: str) -> str:
         name = _sql_name(c)
         if classes[c] == "number":
             return f"CAST({name} AS DOUBLE)"
-        return f"CASE WHEN trim({name}) RLIKE {pattern} THEN try_cast(trim({name}) AS DOUBLE) END"
+        return f"CASE WHEN translate(trim({name}), {letters}, '') = '' THEN try_cast(trim({name}) AS DOUBLE) END"
 
     entries = ", ".join(
         f"struct({_sql_text(c)} AS column_name, {reading(c)} AS v, {_sql_name(c)} IS NOT NULL AS filled)"

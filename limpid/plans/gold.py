@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid.functions.text import fold
+from limpid.operators.corrections import FLAG
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """Rows that a mart may count: all but the quarantined ones, which stay in the tables below."""
+    return df.where(~F.coalesce(F.col(FLAG), F.lit(False))) if FLAG in df.columns else df
 
 
 def _paid_per_order(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(F.sum("payment_amount").alias("order_amount"))
+    return _counted(payments).groupBy("order_id").agg(F.sum("payment_amount").alias("order_amount"))
 
 
 def daily_sales(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Orders and revenue per purchase date; unpaid orders count as orders."""
     return (
-        orders.where(F.col("order_purchase_date").isNotNull())
+        _counted(orders).where(F.col("order_purchase_date").isNotNull())
         .select("order_id", "order_purchase_date")
         .join(_paid_per_order(payments), "order_id", "left")
         .groupBy(F.col("order_purchase_date").alias("sales_date"))
@@ -25,7 +31,7 @@ def daily_sales(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 def avg_order_value(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Mean paid amount per purchase date, paid orders only."""
-    paid = orders.where(F.col("order_purchase_date").isNotNull()).join(
+    paid = _counted(orders).where(F.col("order_purchase_date").isNotNull()).join(
         _paid_per_order(payments), "order_id"
     )
     mean = F.sum("order_amount").cast("double") / F.count("order_amount")
@@ -38,8 +44,8 @@ def avg_order_value(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 def sales_by_city_state(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
     return (
-        orders.select("order_id", "customer_id")
-        .join(customers.select("customer_id", "customer_city", "customer_state"), "customer_id")
+        _counted(orders).select("order_id", "customer_id")
+        .join(_counted(customers).select("customer_id", "customer_city", "customer_state"), "customer_id")
         .join(_paid_per_order(payments), "order_id", "left")
         .groupBy("customer_state", "customer_city")
         .agg(F.count_distinct("order_id").alias("n_orders"), F.sum("order_amount").alias("revenue"))
@@ -50,7 +56,7 @@ def sales_by_city_state(orders: DataFrame, customers: DataFrame, payments: DataF
 def delivery_delays(orders: DataFrame) -> DataFrame:
     """Day boundaries from purchase, and from the estimate, to delivery."""
     delivered = F.col("order_delivered_customer_ts")
-    return orders.where(delivered.isNotNull() & F.col("order_purchase_ts").isNotNull()).select(
+    return _counted(orders).where(delivered.isNotNull() & F.col("order_purchase_ts").isNotNull()).select(
         "order_id", "order_purchase_date",
         F.datediff(delivered, "order_purchase_ts").alias("delivery_days"),
         F.datediff(delivered, "order_estimated_delivery_ts").alias("delay_vs_estimate"),
@@ -59,7 +65,7 @@ def delivery_delays(orders: DataFrame) -> DataFrame:
 
 def geolocation_by_city(geolocation: DataFrame) -> DataFrame:
     return (
-        geolocation.groupBy("geolocation_state", "geolocation_city")
+        _counted(geolocation).groupBy("geolocation_state", "geolocation_city")
         .agg(
             F.count(F.lit(1)).alias("n_points"),
             F.count_distinct("geolocation_zip_code_prefix").alias("n_zip_prefixes"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from limpid import schemas, vocabulary as V
 from limpid.functions import text
 from limpid.operators import contracts as C, corrections, detect as D, impact, memory
-from limpid.operators.profile import profile_metrics, profile_table
+from limpid.operators.profile import batch_filter, category_values, profile_metrics, profile_table
 from limpid.session import stage
 from limpid.sources.batches import read_batches, write_batches
 
@@ -42,7 +42,9 @@ def discover(
     for r in registry.where(F.col("dataset") == dataset).collect():
         name = r["table_name"]
         try:
-            c, w = C.propose(profile_table(resolve(name), name, dataset))
+            rows = resolve(name)
+            facts = stage(profile_table(rows, name, dataset), "profile")
+            c, w = C.propose(facts, values=category_values(rows, facts, name))
         except Exception as exc:  # noqa: BLE001 - reported
             failures.append(f"{name}: {type(exc).__name__}: {exc}")
             continue
@@ -65,20 +67,33 @@ def profile_batch(
     return stage(p.withColumn("batch_id", F.lit(batch_id)), "profile")
 
 
+def batch_values(
+    df: DataFrame, profile: DataFrame, table_name: str, batch_column: str | None, batch_id: str,
+    contracts: DataFrame | None,
+) -> DataFrame:
+    """All values of the columns that the profile or a signed clause judges by their values."""
+    rows = batch_filter(df, batch_column, batch_id if batch_column else None)
+    listed = None
+    if contracts is not None:
+        listed = contracts.where((F.upper("table_name") == table_name.upper()) & (F.col("clause") == "accepted_values"))
+    found = category_values(rows, profile, table_name, also=listed)
+    return stage(found.withColumn("batch_id", F.lit(batch_id)), "values")
+
+
 def detect_batch(
     spark: SparkSession, profile: DataFrame, table_name: str, dataset: str, batch_id: str,
-    registry: DataFrame, refs: References,
+    registry: DataFrame, refs: References, values: DataFrame | None = None, with_inventory: bool = True,
 ) -> tuple[DataFrame, list[str]]:
-    """All families on one profiled batch, with signatures."""
+    """All families on one profiled batch, with signatures.
+
+    ``values`` (see ``batch_values``) lets accepted values and spellings be judged
+    on all values. A sweep takes the inventory once, for all of its tables.
+    """
     def same_table(df: DataFrame) -> DataFrame:
         return df.where(F.upper("table_name") == table_name.upper())
 
     signed = same_table(C.in_force(refs.contracts)) if refs.contracts is not None else None
 
-    def inventory():
-        known = same_table(refs.schema_history) if refs.schema_history is not None else None
-        return D.inventory(registry, refs.present, batch_id, known, refs.present_columns)
-
     def schema():
         today = profile.select("table_name", "batch_id", "column_name")
         batches = today.select("table_name", "batch_id").distinct()
@@ -94,7 +109,7 @@ def detect_batch(
         return D.schema_drift(today, D.schema_reference(history, signed, batches))
 
     def contract():
-        return D.contract_violations(profile, signed) if signed is not None else None
+        return D.contract_violations(profile, signed, values) if signed is not None else None
 
     def statistical():
         if refs.metrics is None:
@@ -104,18 +119,43 @@ def detect_batch(
         series = metric_history(refs.metrics, dataset, table_name, before=batch_id)
         return D.statistical(D.compare_to_series(profile_metrics(profile), series))
 
+    def semantic():
+        return D.semantic(profile) if values is None else D.semantic_full(values, profile, table_name)
+
     def external():
         if refs.verdicts is None:
             return None
         return D.external(refs.verdicts, batch_id, table_name)
 
     families = [
-        ("inventory", inventory), ("schema", schema), ("contract", contract),
-        ("statistical", statistical), ("semantic", lambda: D.semantic(profile)),
-        ("external", external),
+        ("schema", schema), ("contract", contract), ("statistical", statistical),
+        ("semantic", semantic), ("external", external),
     ]
+    if with_inventory:
+        families.insert(0, ("inventory", lambda: sweep_inventory(registry, batch_id, refs)))
     found, failures = D.detect(families, spark)
-    return stage(D.with_signature(found), "anomalies"), failures
+    return D.with_signature(found), failures
+
+
+def sweep_inventory(registry: DataFrame, batch_id: str, refs: References) -> DataFrame | None:
+    """Declared against present tables, once for all of them.
+
+    What a missing table looked like is known from the last columns that were
+    observed of it (the history names tables by their last segment), else from
+    its signed contract.
+    """
+    if refs.present is None:
+        return None
+    declared = registry.select("table_name").distinct().withColumn("_last", text.last_segment(F.col("table_name")))
+    known = None
+    if refs.schema_history is not None:
+        past = refs.schema_history.where(F.col("batch_id") < batch_id).withColumn("_last", text.last_segment(F.col("table_name"))).drop("table_name")
+        latest = past.groupBy("_last").agg(F.max("batch_id").alias("batch_id"))
+        known = past.join(latest, ["_last", "batch_id"], "left_semi").join(declared, "_last").select("table_name", "column_name")
+    if refs.contracts is not None:
+        signed = C.in_force(refs.contracts).select("table_name", "column_name").distinct()
+        known = signed if known is None else known.unionByName(signed.join(known, "table_name", "left_anti"))
+    return D.inventory(registry, refs.present, batch_id, known, refs.present_columns)
 
 
 def check_layer(
@@ -124,18 +164,24 @@ def check_layer(
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Profile and judge every declared table of a layer.
 
-    Returns profiles, anomalies and failures. A table that fails is reported
-    and the sweep goes on; a layer without tables is an error.
+    Returns profiles, anomalies and failures. The inventory is taken once and
+    speaks for tables that are not there; a table that fails is reported and the
+    sweep goes on; a layer without tables is an error.
     """
     tables = registry.where((F.col("dataset") == dataset) & (F.col("layer") == layer)).collect()
     if not tables:
         raise ValueError(f"no table declared in layer {layer!r} of {dataset!r}")
-    profiles, anomalies, failures = [], [], []
+    own = registry.where(F.col("dataset") == dataset)
+    found, failures = D.detect([("inventory", lambda: sweep_inventory(own, batch_id, refs))], spark)
+    profiles, anomalies = [], [D.with_signature(found)]
     for t in tables:
         name = t["table_name"]
         try:
-            p = profile_batch(resolve(name), name, dataset, t["batch_column"], batch_id)
-            a, failed = detect_batch(spark, p, name, dataset, batch_id, registry, refs)
+            rows = resolve(name)
+            p = profile_batch(rows, name, dataset, t["batch_column"], batch_id)
+            signed = C.in_force(refs.contracts) if refs.contracts is not None else None
+            values = batch_values(rows, p, name, t["batch_column"], batch_id, signed)
+            a, failed = detect_batch(spark, p, name, dataset, batch_id, registry, refs, values, with_inventory=False)
         except Exception as exc:  # noqa: BLE001 - reported
             failures.append(f"{name}: {type(exc).__name__}: {exc}")
             continue
@@ -143,8 +189,7 @@ def check_layer(
         anomalies.append(a)
         failures += [f"{name}: {f}" for f in failed]
     union = lambda fs, s: reduce(DataFrame.unionByName, fs) if fs else spark.createDataFrame([], s)
-    empty = D.with_signature(spark.createDataFrame([], schemas.ANOMALY)).schema
-    return union(profiles, schemas.PROFILE_COLUMN), union(anomalies, empty), failures
+    return union(profiles, schemas.PROFILE_COLUMN), union(anomalies, None), failures
 
 
 def proposals(
@@ -264,5 +309,7 @@ def verify_batch(
 ) -> DataFrame:
     """Measure and judge the corrected batch again, against the same references."""
     p = profile_batch(corrected, table_name, dataset, batch_column, batch_id)
-    after, _ = detect_batch(spark, p, table_name, dataset, batch_id, registry, refs)
+    signed = C.in_force(refs.contracts) if refs.contracts is not None else None
+    values = batch_values(corrected, p, table_name, batch_column, batch_id, signed)
+    after, _ = detect_batch(spark, p, table_name, dataset, batch_id, registry, refs, values)
     return corrections.verify(before, after)

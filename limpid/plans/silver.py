@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid.functions.text import integer_or_null, money_or_null
+from limpid.operators.corrections import FLAG
 
 TECHNICAL = ("_batch_id", "_ingested_at")
 
@@ -21,6 +22,11 @@ def _with_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def _technical(raw: DataFrame) -> list[str]:
+    """Technical columns, and the mark of quarantined rows where a correction has set it."""
+    return [*TECHNICAL, *(c for c in raw.columns if c == FLAG)]
+
+
 def orders(raw: DataFrame) -> DataFrame:
     raw = _with_columns(raw, *TECHNICAL)
     return raw.select(
@@ -31,7 +37,7 @@ def orders(raw: DataFrame) -> DataFrame:
         _ts("order_delivered_carrier_date").alias("order_delivered_carrier_ts"),
         _ts("order_delivered_customer_date").alias("order_delivered_customer_ts"),
         _ts("order_estimated_delivery_date").alias("order_estimated_delivery_ts"),
-        *TECHNICAL,
+        *_technical(raw),
     )
 
 
@@ -44,7 +50,7 @@ def order_items(raw: DataFrame) -> DataFrame:
         "product_id", "seller_id", _ts("shipping_limit_date").alias("shipping_limit_ts"),
         money_or_null(F.col("price")).alias("price"),
         money_or_null(F.col("freight_value")).alias("freight_value"),
-        *TECHNICAL,
+        *_technical(raw),
     )
 
 
@@ -56,7 +62,7 @@ def order_payments(raw: DataFrame) -> DataFrame:
         "payment_type",
         integer_or_null(F.col("payment_installments")).alias("payment_installments"),
         money_or_null(F.col("payment_value")).alias("payment_amount"),
-        *TECHNICAL,
+        *_technical(raw),
     )
 
 
@@ -64,7 +70,7 @@ def customers(raw: DataFrame) -> DataFrame:
     raw = _with_columns(raw, *TECHNICAL)
     return raw.select(
         "customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city",
-        F.upper("customer_state").alias("customer_state"), *TECHNICAL,
+        F.upper("customer_state").alias("customer_state"), *_technical(raw),
     )
 
 
@@ -74,7 +80,7 @@ def geolocation(raw: DataFrame) -> DataFrame:
         "geolocation_zip_code_prefix",
         F.col("geolocation_lat").try_cast("double").alias("geolocation_lat"),
         F.col("geolocation_lng").try_cast("double").alias("geolocation_lng"),
-        "geolocation_city", F.upper("geolocation_state").alias("geolocation_state"), *TECHNICAL,
+        "geolocation_city", F.upper("geolocation_state").alias("geolocation_state"), *_technical(raw),
     )
 
 
@@ -90,15 +96,5 @@ def products(raw: DataFrame) -> DataFrame:
             money_or_null(F.col(c)).alias(c)
             for c in ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
         ],
-        *TECHNICAL,
+        *_technical(raw),
     )
-
-
-MODELS = {
-    "orders": orders,
-    "order_items": order_items,
-    "order_payments": order_payments,
-    "customers": customers,
-    "geolocation": geolocation,
-    "products": products,
-}

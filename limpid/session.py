@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# removed when the interpreter ends
-_LOCAL_ROOT: tempfile.TemporaryDirectory | None = None
+# folder for sessions whose settings name none; see use_folder
+_FOLDER: str | None = None
 
 
 def build_session(app: str = "limpid", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,20 +34,18 @@ def configured_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def staging_root(spark: SparkSession) -> str:
-    """Folder shared by all executors, as the cluster names it.
+def use_folder(path: str) -> None:
+    """Name the shared folder for sessions that are started without ``spark.checkpoint.dir``, as tests are."""
+    global _FOLDER
+    _FOLDER = path
 
-    Only a local master may fall back to a folder of this machine.
-    """
-    shared = configured_folder(spark)
-    if shared:
-        return os.path.join(shared, "limpid", spark.sparkContext.applicationId)
-    if not spark.sparkContext.master.startswith("local"):
+
+def staging_root(spark: SparkSession) -> str:
+    """Folder shared by all executors: the cluster's setting, else what ``use_folder`` named."""
+    shared = configured_folder(spark) or _FOLDER
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    global _LOCAL_ROOT
-    if _LOCAL_ROOT is None:
-        _LOCAL_ROOT = tempfile.TemporaryDirectory(prefix="limpid-", ignore_cleanup_errors=True)
-    return _LOCAL_ROOT.name
+    return os.path.join(shared, "limpid", spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -84,6 +84,13 @@ def write_batches(df: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: str, partition: str = "_batch_id") -> None:
+    """Remove the rows of one batch, as an empty delivery asks for."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"{partition}={batch_id}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """The raw table with the union of all columns its batches ever had."""
     keep = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
@@ -133,10 +140,15 @@ def load_batch(spark: SparkSession, incoming: str, batch_id: str, bronze: str) -
         table = name[: -len(".csv")]
         raw = read_text_table(spark, f"{folder}/{name}")
         write_schema_history(schema_rows(spark, batch_id, table, raw.columns), f"{bronze}/_schema_history")
-        write_batches(stamp(raw, batch_id, F.lit(name)), f"{bronze}/{table}")
-        loaded = read_batches(spark, f"{bronze}/{table}").where(F.col("_batch_id") == batch_id)
-        counts.append(loaded.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(table).alias("table_name"), F.lit(batch_id).alias("batch_id"), "rows"))
+        if raw.isEmpty():  # a dynamic overwrite leaves partitions that get no row
+            drop_batch(spark, f"{bronze}/{table}", batch_id)
+            rows = 0
+        else:
+            write_batches(stamp(raw, batch_id, F.lit(name)), f"{bronze}/{table}")
+            # the batch's own files only; their footers hold the count
+            rows = spark.read.parquet(f"{bronze}/{table}/_batch_id={batch_id}").count()
+        counts.append(spark.range(1).select(
+            F.lit(table).alias("table_name"), F.lit(batch_id).alias("batch_id"), F.lit(rows).cast("long").alias("rows")))
     if not counts:
         raise FileNotFoundError(f"no file in {folder}")
     out = counts[0]

@@ -77,23 +77,24 @@ def append_incidents(incidents: DataFrame, path: str) -> None:
 
 
 def decided_incidents(
-    incidents: DataFrame, dataset: str, table_name: str, limit: int = 200
+    incidents: DataFrame, dataset: str, table_name: str, limit: int | None = None
 ) -> DataFrame:
-    """What a person has decided about a table, newest first."""
-    return (
+    """What a person has decided about a table, newest first; all of it unless a limit is asked for."""
+    rows = (
         incidents.where(
             (F.col("dataset") == dataset) & (F.col("table_name") == table_name)
             & F.col("human_decision").isNotNull()
         )
         .orderBy(F.desc("run_ts"), F.desc("incident_id"))
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def journal(
     incidents: DataFrame, dataset: str, table_name: str | None = None, layer: str | None = None,
-    since: str | None = None, limit: int = 500,
+    since: str | None = None, limit: int | None = None,
 ) -> DataFrame:
+    """Incidents newest first; all of them unless a limit is asked for."""
     rows = incidents.where(F.col("dataset") == dataset)
     if table_name is not None:
         rows = rows.where(F.col("table_name") == table_name)
@@ -101,7 +102,8 @@ def journal(
         rows = rows.where(F.col("layer") == layer)
     if since is not None:
         rows = rows.where(F.col("batch_id") >= since)
-    return rows.orderBy(F.desc("run_ts"), F.desc("incident_id")).limit(limit)
+    rows = rows.orderBy(F.desc("run_ts"), F.desc("incident_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def decode_json(column: str, schema) -> "F.Column":

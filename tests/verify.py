@@ -8,7 +8,7 @@ import time
 sys.path[:0] = [str(pathlib.Path(__file__).resolve().parent.parent), str(pathlib.Path(__file__).resolve().parent)]
 
 import __spark_entry__ as entry  # noqa: E402
-from limpid.session import build_session  # noqa: E402
+from limpid.session import build_session, release_stages  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from oracle import connect, differences  # noqa: E402
 
@@ -44,6 +44,7 @@ def main() -> int:
         print(f"{state:6} {name} {time.time() - start:.1f}s", flush=True)
         for x in diff:
             print("      ", x, flush=True)
+    release_stages(spark)
     print("failing:", bad)
     return bad
 
