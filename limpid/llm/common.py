@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,7 +21,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK = "\t\n\x0b\x0c\r "
 
 # bytes of text that a task holds as Python strings at a time (a longer text is a batch of its own)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,25 @@ def byte_slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> I
         yield batch.slice(start)
 
 
+def _give_back() -> None:
+    """Return what a task has freed; a Python worker lives on and would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` that leaves its worker small."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def map_texts(
     df: DataFrame, text: str, outputs: list[StructField], fn: Callable[[], Callable[[list[str]], list]],
 ) -> DataFrame:
@@ -77,4 +98,4 @@ def map_texts(
                 arrays += [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep_names, *(f.name for f in outputs)])
 
-    return df.select(*(f"`{c}`" for c in keep_names)).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in keep_names)).mapInArrow(tidy(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from limpid.llm.common import LOWER, UPPER, WORD, byte_slices, lower_ascii
+from limpid.llm.common import LOWER, UPPER, WORD, byte_slices, lower_ascii, tidy
 from limpid.session import stage
 
 K1, B = 1.2, 0.75
@@ -204,8 +204,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "d
         F.count(F.lit(1)), F.avg(F.regexp_count(lower_ascii(F.col(text)), F.lit(WORD))), F.sum(F.octet_length(text)),
     ).first()
     shards = max(1, -(-(size or 0) // SHARD_TEXT))
-    df = corpus.select("text").mapInArrow(_document_frequencies(), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    terms = asked.mapInArrow(_query_terms(), "query_id long, query_row long, term long, n long")
+    df = corpus.select("text").mapInArrow(tidy(_document_frequencies()), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    terms = asked.mapInArrow(tidy(_query_terms()), "query_id long, query_row long, term long, n long")
     idf = F.log(1 + (F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").groupBy("query_id", "query_row").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("n") * idf).alias("w")))).alias("t"))
     held = stage(weighted, "search-queries")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from limpid.llm.common import fresh_name, map_texts
+from limpid.llm.common import fresh_name, map_texts, tidy
 from limpid.llm.components import components
 from limpid.session import stage
 
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int =
     )
     meeting = plain.select("fp", "part", "variant", "own").unionByName(split)
     sorted_ = meeting.repartition("part", "variant").sortWithinPartitions("part", "variant", "fp")
-    return sorted_.mapInArrow(_links_of_buckets(radius), "u long, v long").distinct()
+    return sorted_.mapInArrow(tidy(_links_of_buckets(radius)), "u long, v long").distinct()
 
 
 def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:

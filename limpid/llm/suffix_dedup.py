@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from limpid.llm.common import byte_slices, fresh_name
+from limpid.llm.common import byte_slices, fresh_name, tidy
 from limpid.llm.induced import suffix_order, words_at
 from limpid.session import stage
 
@@ -311,18 +311,16 @@ def covered_ranges(docs: DataFrame, id_column: str, text: str, row: str, width:
         raise ValueError(f"strings of {SEED_BYTES + 8} bytes at least")
     able = docs.where(F.col(id_column).isNotNull() & (F.octet_length(text) >= width))
     buckets = max(1, -(-(able.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_TEXT))
-    blocks = able.select(F.col(text).alias("text"), F.col(row).alias(ROW)).mapInArrow(
-        _seed_blocks(width, buckets), "bucket int, hashes binary, rows binary, places binary"
+    blocks = able.select(F.col(text).alias("text"), F.col(row).alias(ROW)).mapInArrow(tidy(_seed_blocks(width, buckets)), "bucket int, hashes binary, rows binary, places binary"
     )
-    seeds = blocks.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_seeds(), f"{ROW} long, first array<int>")
+    seeds = blocks.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shared_seeds()), f"{ROW} long, first array<int>")
     shared = stage(seeds.groupBy(ROW).agg(F.flatten(F.collect_list("first")).alias("places")), "dedup-seeds")
     stretch = (shared.agg(F.sum(F.size("places"))).first()[0] or 0) * (width + 18)
     shards = max(1, -(-stretch // SHARD_BYTES))
     # all rows in the caller's form, so that this shuffle of the texts also serves the join with the ranges
     met = docs.join(shared.withColumnRenamed(ROW, row), row).select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(row).alias(ROW), "places")
-    held = met.mapInArrow(_stretch_blocks(width, shards), "shard int, sizes binary, ids binary, rows binary, at binary, body binary")
-    found = held.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(
-        _covered(width), f"{ROW} long, first array<int>, last array<int>"
+    held = met.mapInArrow(tidy(_stretch_blocks(width, shards)), "shard int, sizes binary, ids binary, rows binary, at binary, body binary")
+    found = held.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_covered(width)), f"{ROW} long, first array<int>, last array<int>"
     )
     return found.groupBy(F.col(ROW).alias(row)).agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
 
@@ -370,7 +368,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width
                     [part.column(id_column), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
                     names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(docs.select(id_column, text), id_column, text, width, "first", "last").select(id_column, text, "first", "last").mapInArrow(run, schema)
+    return _with_ranges(docs.select(id_column, text), id_column, text, width, "first", "last").select(id_column, text, "first", "last").mapInArrow(tidy(run), schema)
 
 
 def cut_text(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -403,4 +401,4 @@ def cut(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: i
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if n == text else part.column(n) for n in names], names=names)
 
-    return ranged.select(*(f"`{c}`" for c in names), first, last).mapInArrow(run, schema)
+    return ranged.select(*(f"`{c}`" for c in names), first, last).mapInArrow(tidy(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from limpid.llm.common import byte_slices
+from limpid.llm.common import byte_slices, tidy
 from limpid.llm.prefix_bpe import NARROW, spelled_out
 from limpid.llm.repair import END, Block, pack
 from limpid.session import scratch_path
@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_column: s
     placed = docs.select(F.col(id_column), F.col(text), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_place"))
     order = [F.col(id_column).asc_nulls_first(), F.col("_hash"), F.col("_place")]
     sorted_ = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    blocks = sorted_.select(id_column, text).mapInArrow(run, "range int, number int, n_tokens long, no_id array<int>, data binary")
+    blocks = sorted_.select(id_column, text).mapInArrow(tidy(run), "range int, number int, n_tokens long, no_id array<int>, data binary")
     # blocks are compressed already
     blocks.write.option("compression", "none").parquet(path)
 
@@ -148,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())],
                     names=["range", "number", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    docs = blocks.select("range", "number", "no_id", "data").mapInArrow(run, "range int, number int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = blocks.select("range", "number", "no_id", "data").mapInArrow(tidy(run), "range int, number int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     before = lambda *by: Window.partitionBy(*by).orderBy(*(["number"] if by else ["range"])).rowsBetween(Window.unboundedPreceding, -1)
     # running counts of blocks inside their range, then of whole ranges: small rows, few of them
     counts = blocks.select("range", "number", "n_tokens")

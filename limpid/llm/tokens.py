@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from limpid.llm.common import map_texts
+from limpid.llm.common import map_texts, tidy
 from limpid.llm.prefix_bpe import encoder
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -48,4 +48,4 @@ def decode(rows: DataFrame, ranks: str | None = None, pattern: str | None = None
             made = pa.array([unpack(x or b"") for x in batch.column(ids).to_pylist()], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [made], names=[*names, output])
 
-    return rows.select(*(f"`{c}`" for c in names)).mapInArrow(run, schema)
+    return rows.select(*(f"`{c}`" for c in names)).mapInArrow(tidy(run), schema)

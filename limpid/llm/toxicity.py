@@ -31,7 +31,7 @@ SAMPLE_BYTES = 12_000
 THRESHOLD = 0.7
 SPAN_THRESHOLD = 0.5
 # word emissions that a task remembers
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _TABLE = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(WORD)
