@@ -5,73 +5,76 @@ reads ``gpl 3 0``. A family has a label, the names it goes by (regular expressio
 over words) and its versions. Every family gives rules of four kinds, from the
 strongest: identifier lines, names with a version, grants ("licensed under ..."),
 bare names. Smaller tiers suppress larger ones that lie inside them.
+
+Every name is gated by the first keyword of its family that stands in all its spellings.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-# label, keyword without which no rule of the family can match, names, versions
+# label, keywords (without the one it holds, no rule of a name can match), names, versions
 FAMILIES = [
-    ("agpl", " affero ", ["(gnu )?affero general public license", "(gnu )?affero gpl"], ["1 0", "2 0", "3 0", "3"]),
-    ("agpl", " agpl", ["agpl", "agplv3", "agpl 3"], ["1 0", "3 0", "3"]),
-    ("apache", " apache ", ["apache license", "apache software license", "apache public license", "asf license"], ["1 0", "1 1", "2 0", "2"]),
-    ("apache", " apache2 ", ["apache2", "apache2 license"], ["0"]),
-    ("artistic", " artistic ", ["artistic license", "perl artistic license", "clarified artistic license"], ["1 0", "2 0"]),
-    ("bsd", " bsd ", ["bsd license", "bsd style license", "berkeley software distribution", "modified bsd license", "new bsd license", "simplified bsd license"], ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"]),
-    ("boost", " boost ", ["boost software license", "boost license"], ["1 0"]),
-    ("cc-by", " cc ", ["cc by"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", " cc ", ["cc by sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", " cc ", ["cc by nc"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nd", " cc ", ["cc by nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-sa", " cc ", ["cc by nc sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-nd", " cc ", ["cc by nc nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc0", " cc0 ", ["cc0", "cc0 universal"], ["1 0"]),
-    ("cc", " creative commons ", ["creative commons license", "creative commons public license"], ["2 0", "3 0", "4 0"]),
-    ("cc-by", " creative commons ", ["creative commons attribution( license| international| unported| generic)?"], ["2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", " creative commons ", ["creative commons attribution share ?alike"], ["2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", " creative commons ", ["creative commons attribution non ?commercial"], ["2 0", "2 5", "3 0", "4 0"]),
-    ("cc0", " creative commons ", ["creative commons zero"], ["1 0"]),
-    ("cddl", " cddl ", ["cddl"], ["1 0", "1 1"]),
-    ("cddl", " common development ", ["common development and distribution license"], ["1 0", "1 1"]),
-    ("cpl", " common public ", ["common public license"], ["0 5", "1 0"]),
-    ("epl", " eclipse ", ["eclipse public license", "eclipse distribution license"], ["1 0", "2 0"]),
-    ("eupl", " european union ", ["european union public licen[cs]e"], ["1 0", "1 1", "1 2"]),
-    ("gfdl", " gnu free ", ["gnu free documentation license"], ["1 1", "1 2", "1 3"]),
-    ("gpl", " gnu general ", ["gnu general public license"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("gpl", " gpl", ["gpl", "gnu gpl", "gplv2", "gplv3"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("gpl", " general public ", ["general public license"], ["1", "2", "3"]),
-    ("isc", " isc ", ["isc license", "isc style license", "internet systems consortium license"], []),
-    ("lgpl", " lesser ", ["(gnu )?lesser general public license"], ["2 1", "3", "3 0"]),
-    ("lgpl", " library general ", ["(gnu )?library general public license"], ["2", "2 0"]),
-    ("lgpl", " lgpl", ["lgpl", "gnu lgpl", "lgplv2", "lgplv3"], ["2", "2 0", "2 1", "3", "3 0"]),
-    ("mit", " mit ", ["mit license", "mit style license", "mit x11 license", "x11 mit license", "expat mit license"], []),
-    ("mit-0", " mit ", ["mit no attribution( license)?", "mit 0"], []),
-    ("mpl", " mozilla ", ["mozilla public license"], ["1 0", "1 1", "2 0", "2"]),
-    ("mpl", " mpl ", ["mpl"], ["1 0", "1 1", "2 0", "2"]),
-    ("ms-pl", " microsoft ", ["microsoft public license", "microsoft permissive license"], []),
-    ("ms-rl", " microsoft ", ["microsoft reciprocal license"], []),
-    ("ncsa", " ncsa ", ["university of illinois ncsa open source license", "ncsa license"], []),
-    ("odbl", " open ", ["open database license", "open data commons open database license"], ["1 0"]),
-    ("ofl", " open ", ["sil open font license", "open font license"], ["1 0", "1 1"]),
-    ("osl", " open ", ["open software license"], ["1 0", "2 0", "2 1", "3 0"]),
-    ("openssl", " openssl ", ["openssl license", "openssl ssleay license"], []),
-    ("postgresql", " postgresql ", ["postgresql license", "postgresql licence"], []),
-    ("psf", " python ", ["python software foundation license", "psf license", "python license"], ["2", "2 0"]),
-    ("public-domain", " public domain ", ["released into the public domain", "dedicated to the public domain", "placed in the public domain", "is in the public domain", "public domain dedication"], []),
-    ("ruby", " ruby ", ["ruby license", "ruby s license"], []),
-    ("unlicense", " unlicense ", ["the unlicense", "unlicense"], []),
-    ("vim", " vim ", ["vim license", "vim charityware"], []),
-    ("w3c", " w3c ", ["w3c software notice and license", "w3c license", "w3c software license"], []),
-    ("wtfpl", " wtfpl ", ["wtfpl"], ["2", "2 0"]),
-    ("zlib", " zlib ", ["zlib license", "zlib libpng license"], []),
-    ("zpl", " zope ", ["zope public license"], ["1 1", "2 0", "2 1"]),
-    ("proprietary", " all rights ", ["all rights reserved"], []),
-    ("proprietary", " proprietary ", ["proprietary license", "proprietary and confidential", "confidential and proprietary"], []),
-    ("permission-notice", " permission is ", ["permission is hereby granted free of charge to any person", "permission to use copy modify and or distribute this software"], []),
-    ("redistribution", " redistribution ", ["redistribution and use in source and binary forms"], []),
-    ("warranty", " warranty ", ["without warranty of any kind", "provided as is without warranty"], []),
-    ("license", " license ", ["open source license", "free software license", "public license", "software license agreement", "end user license agreement", "under the terms of the license", "see the license for details", "license file"], ["1 0", "2 0", "3 0"]),
+    ("agpl", [" affero "], ["(gnu )?affero general public license", "(gnu )?affero gpl"], ["1 0", "2 0", "3 0", "3"]),
+    ("agpl", [" agpl"], ["agpl", "agplv3", "agpl 3"], ["1 0", "3 0", "3"]),
+    ("apache", [" apache ", " asf "], ["apache license", "apache software license", "apache public license", "asf license"], ["1 0", "1 1", "2 0", "2"]),
+    ("apache", [" apache2 "], ["apache2", "apache2 license"], ["0"]),
+    ("artistic", [" artistic "], ["artistic license", "perl artistic license", "clarified artistic license"], ["1 0", "2 0"]),
+    ("bsd", [" bsd ", " berkeley "], ["bsd license", "bsd style license", "berkeley software distribution", "modified bsd license", "new bsd license", "simplified bsd license"], ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"]),
+    ("boost", [" boost "], ["boost software license", "boost license"], ["1 0"]),
+    ("cc-by", [" cc "], ["cc by"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-sa", [" cc "], ["cc by sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc", [" cc "], ["cc by nc"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nd", [" cc "], ["cc by nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc-sa", [" cc "], ["cc by nc sa"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc-nd", [" cc "], ["cc by nc nd"], ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    ("cc0", [" cc0 "], ["cc0", "cc0 universal"], ["1 0"]),
+    ("cc", [" creative commons "], ["creative commons license", "creative commons public license"], ["2 0", "3 0", "4 0"]),
+    ("cc-by", [" creative commons "], ["creative commons attribution( license| international| unported| generic)?"], ["2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-sa", [" creative commons "], ["creative commons attribution share ?alike"], ["2 0", "2 5", "3 0", "4 0"]),
+    ("cc-by-nc", [" creative commons "], ["creative commons attribution non ?commercial"], ["2 0", "2 5", "3 0", "4 0"]),
+    ("cc0", [" creative commons "], ["creative commons zero"], ["1 0"]),
+    ("cddl", [" cddl "], ["cddl"], ["1 0", "1 1"]),
+    ("cddl", [" common development "], ["common development and distribution license"], ["1 0", "1 1"]),
+    ("cpl", [" common public "], ["common public license"], ["0 5", "1 0"]),
+    ("epl", [" eclipse "], ["eclipse public license", "eclipse distribution license"], ["1 0", "2 0"]),
+    ("eupl", [" european union "], ["european union public licen[cs]e"], ["1 0", "1 1", "1 2"]),
+    ("gfdl", [" gnu free "], ["gnu free documentation license"], ["1 1", "1 2", "1 3"]),
+    ("gpl", [" gnu general "], ["gnu general public license"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("gpl", [" gpl"], ["gpl", "gnu gpl", "gplv2", "gplv3"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("gpl", [" general public "], ["general public license"], ["1", "2", "3"]),
+    ("isc", [" isc ", " internet systems "], ["isc license", "isc style license", "internet systems consortium license"], []),
+    ("lgpl", [" lesser "], ["(gnu )?lesser general public license"], ["2 1", "3", "3 0"]),
+    ("lgpl", [" library general "], ["(gnu )?library general public license"], ["2", "2 0"]),
+    ("lgpl", [" lgpl"], ["lgpl", "gnu lgpl", "lgplv2", "lgplv3"], ["2", "2 0", "2 1", "3", "3 0"]),
+    ("mit", [" mit "], ["mit license", "mit style license", "mit x11 license", "x11 mit license", "expat mit license"], []),
+    ("mit-0", [" mit "], ["mit no attribution( license)?", "mit 0"], []),
+    ("mpl", [" mozilla "], ["mozilla public license"], ["1 0", "1 1", "2 0", "2"]),
+    ("mpl", [" mpl "], ["mpl"], ["1 0", "1 1", "2 0", "2"]),
+    ("ms-pl", [" microsoft "], ["microsoft public license", "microsoft permissive license"], []),
+    ("ms-rl", [" microsoft "], ["microsoft reciprocal license"], []),
+    ("ncsa", [" ncsa "], ["university of illinois ncsa open source license", "ncsa license"], []),
+    ("odbl", [" open "], ["open database license", "open data commons open database license"], ["1 0"]),
+    ("ofl", [" open "], ["sil open font license", "open font license"], ["1 0", "1 1"]),
+    ("osl", [" open "], ["open software license"], ["1 0", "2 0", "2 1", "3 0"]),
+    ("openssl", [" openssl "], ["openssl license", "openssl ssleay license"], []),
+    ("postgresql", [" postgresql "], ["postgresql license", "postgresql licence"], []),
+    ("psf", [" python ", " psf "], ["python software foundation license", "psf license", "python license"], ["2", "2 0"]),
+    ("public-domain", [" public domain "], ["released into the public domain", "dedicated to the public domain", "placed in the public domain", "is in the public domain", "public domain dedication"], []),
+    ("ruby", [" ruby "], ["ruby license", "ruby s license"], []),
+    ("unlicense", [" unlicense "], ["the unlicense", "unlicense"], []),
+    ("vim", [" vim "], ["vim license", "vim charityware"], []),
+    ("w3c", [" w3c "], ["w3c software notice and license", "w3c license", "w3c software license"], []),
+    ("wtfpl", [" wtfpl "], ["wtfpl"], ["2", "2 0"]),
+    ("zlib", [" zlib "], ["zlib license", "zlib libpng license"], []),
+    ("zpl", [" zope "], ["zope public license"], ["1 1", "2 0", "2 1"]),
+    ("proprietary", [" all rights "], ["all rights reserved"], []),
+    ("proprietary", [" proprietary "], ["proprietary license", "proprietary and confidential", "confidential and proprietary"], []),
+    ("permission-notice", [" permission is ", " permission to use "], ["permission is hereby granted free of charge to any person", "permission to use copy modify and or distribute this software"], []),
+    ("redistribution", [" redistribution "], ["redistribution and use in source and binary forms"], []),
+    ("warranty", [" warranty "], ["without warranty of any kind", "provided as is without warranty"], []),
+    ("license", [" license "], ["open source license", "free software license", "public license", "software license agreement", "end user license agreement", "under the terms of the license", "see the license for details", "license file"], ["1 0", "2 0", "3 0"]),
 ]
 # fixed values: the phrases of the contract and their labels
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -94,11 +97,27 @@ def _whole(words: str) -> str:
     return f"(?<= )(?:{words})(?= )"
 
 
+def spellings(name: str) -> list[str]:
+    """All strings that the pattern of a name stands for."""
+    m = re.search(r"\(([^()]*)\)\?|\[(\w+)\]|(.)\?", name)
+    if m is None:
+        return [name]
+    options = list(m[2]) if m[2] else ["", *(m[1] or m[3]).split("|")]
+    return [s for o in options for s in spellings(name[:m.start()] + o + name[m.end():])]
+
+
+def _keyword(name: str, keywords: list[str]) -> str:
+    held = [k for k in keywords if all(k in f" {s} " for s in spellings(name))]
+    if not held:
+        raise ValueError(f"no keyword of {keywords} stands in every spelling of {name!r}")
+    return held[0]
+
+
 def build_rules() -> list[Rule]:
     rules = [Rule(f"base {phrase}", label, 0, f" {phrase} ", _whole(phrase), True) for phrase, label in BASE]
-    for n, (label, keyword, names, versions) in enumerate(FAMILIES):
+    for n, (label, keywords, names, versions) in enumerate(FAMILIES):
         for k, name in enumerate(names):
-            at = f"{label} {n} {k}"
+            at, keyword = f"{label} {n} {k}", _keyword(name, keywords)
             rules.append(Rule(f"{at} identifier", label, 1, " spdx ", _whole(f"spdx license identifier {name}(?: [0-9]+)*(?: only| or later)?")))
             for version in versions:
                 spelled = f"(?:{name})(?: license)?(?: version| v)? v?{version}(?: or (?:any )?later(?: version)?)?(?! [0-9])"
