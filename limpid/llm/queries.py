@@ -127,7 +127,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_files.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True)
 
 
 @query

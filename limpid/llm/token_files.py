@@ -47,18 +47,21 @@ class Encoder:
 
     In Latin texts (no code point from U+0180 on, no dotted capital I) the normal
     form changes nothing but case, so pieces can be cut here and only new ones go
-    to the library's model. All other texts go through the whole library.
+    to the library's model. All other texts go through the whole library, and so
+    do texts that hold an added token ("<|endoftext|>") if ``added`` is set: then
+    it has its own id, as the library has it by default; else it is read as text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
         self.model = self.library.model
         self.cut = re.compile(spelled_out(PIECES, NARROW)).findall
-        self.other = re.compile("[^\0-\u017f]|\u0130").search
+        held = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.other = re.compile("|".join(["[^\0-\u017f]|\u0130", *held])).search
         # byte-level spelling: bytes that print stand for themselves, the others for letters from 256 on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
@@ -82,19 +85,19 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_column: str = "doc_id", text: str = "text", end: int = END) -> None:
-    """Encode all texts and write their blocks below ``path``."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_column: str = "doc_id", text: str = "text", end: int = END, added: bool = False) -> None:
+    """Encode all texts and write their blocks below ``path``; ``added`` as in ``Encoder``."""
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     used = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, -(-used // RANGE_BYTES))
     close = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_all, part = encoder(tokenizer).pack_all, TaskContext.get().partitionId()
+        pack_all, part = encoder(tokenizer, added).pack_all, TaskContext.get().partitionId()
         held, ids, n, number = [], [], 0, 0
 
         def block() -> pa.RecordBatch:
