@@ -1,7 +1,9 @@
 """Re-Pair grammars of token ids: a compact block with random access.
 
 Frequent pairs of neighbouring symbols are replaced by new symbols, round after
-round, until no pair pays. No pair starts at a document's end id, so documents
+round, until no pair pays or no symbol is free. A round takes the most frequent
+pairs and a share of the symbols that are left, so that later rounds can join what
+earlier ones made: the depth of a rule has no limit of its own. No pair starts at a document's end id, so documents
 begin at symbols. A block stores its rules with the length of what they expand
 to, the symbols in 16 bits, and where each document begins.
 
@@ -21,7 +23,8 @@ import numpy as np
 
 MAGIC = b"RPR1"
 END = 1
-ROUNDS = 5
+# a round takes this part of the symbols that are left, or so many
+SHARE, FEWEST = 5, 256
 # a rule takes eight bytes, so a pair pays from this many places
 LEAST = 8
 _BITS = 21
@@ -40,7 +43,7 @@ def _frequent(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], slot
 
 
-def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_free: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): symbols of 16 bits; rule k of (left, right) makes symbol ``first_free + k``."""
     if len(ids) and int(ids.max()) >= first_free or first_free > 1 << 16:
         raise ValueError("ids must lie below the first free symbol, and both below 65536")
@@ -48,12 +51,10 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, end: int =
     closes = np.zeros(1 << 16, bool)  # symbols whose last id is the end
     closes[end] = True
     free = first_free
-    for _ in range(rounds):
-        if len(seq) < 2 or free >= 1 << 16:
-            break
+    while len(seq) > 1 and free < 1 << 16:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
         able = np.flatnonzero(~closes[seq[:-1]])
-        codes, slot = _frequent(pairs[able], min((1 << 16) - free, -(-((1 << 16) - first_free) // rounds)))
+        codes, slot = _frequent(pairs[able], min((1 << 16) - free, max(FEWEST, ((1 << 16) - free) // SHARE)))
         if not len(codes):
             break
         # the most frequent pair of a slot is taken this round, others may be in the next
@@ -78,9 +79,6 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, end: int =
         rules.append(codes[used])
         closes[free:free + len(used)] = closes[codes[used] & np.uint32(0xFFFF)]
         free += len(used)
-        if len(at) < 0.01 * len(seq):
-            seq = seq[keep]
-            break
         seq = seq[keep]
     made = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
     return seq.astype("<u2"), np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)]).astype("<u2")
