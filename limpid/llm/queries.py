@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import chat, decontaminate, licenses, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
+from limpid.llm import chat, decontaminate, licenses, line_runs, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op13_line_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT r, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM doc)),
+often AS (SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+told AS (SELECT r, i, line, often.key IS NOT NULL AS gone FROM line LEFT JOIN often USING (key)),
+done AS (SELECT r, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM told GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM doc JOIN done USING (r)
+"""
