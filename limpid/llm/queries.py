@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import chat, decontaminate, licenses, line_runs, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
+from limpid.llm import chat, decontaminate, divergence, licenses, line_runs, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,34 @@ told AS (SELECT r, i, line, often.key IS NOT NULL AS gone FROM line LEFT JOIN of
 done AS (SELECT r, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM told GROUP BY r)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM doc JOIN done USING (r)
 """
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLE["op11_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM tok SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+        1 + CAST(CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 2) // (g.n + 2 * v.v) AS BIGINT) AS p,
+        1 + CAST(CAST(1000000000 AS HUGEINT) * (k.total + 2) // (v.n + 2 * v.v) AS BIGINT) AS q
+    FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+two AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(two.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM cell WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM part QUALIFY part = 'pair' OR rank <= 10
+"""
