@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limpid.llm import chat, decontaminate, divergence, licenses, line_runs, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
+from limpid.llm import chat, collocations, decontaminate, divergence, licenses, line_runs, search, sharding, simhash, suffix_dedup, token_files, tokens, toxicity
 from limpid.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +183,31 @@ part AS (
 SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM part QUALIFY part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+ORACLE["op12_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+said AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, 1 AS n, unnest(w) AS phrase FROM said
+    UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM said WHERE len(w) > 1
+    UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM said WHERE len(w) > 2),
+words AS (SELECT lang, count(*) AS n FROM gram WHERE n = 1 GROUP BY lang),
+f AS (SELECT lang, n, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM gram GROUP BY lang, n, phrase HAVING count(*) >= 10),
+cut AS (SELECT lang, n, phrase, a, 1 AS k, w[1] AS lf, array_to_string(w[2:], ' ') AS rt FROM f WHERE n > 1
+    UNION ALL SELECT lang, n, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM f WHERE n = 3),
+scored AS (SELECT cut.lang, cut.n, cut.phrase, cut.a, k, x.a AS l, y.a AS r,
+        CAST(CAST(1000000 AS HUGEINT) * cut.a * cut.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.lf JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rt),
+weak AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM f WHERE n = 3),
+longer AS (SELECT lang, phrase, max(a) AS a FROM inside GROUP BY lang, phrase),
+kept AS (SELECT weak.* FROM weak LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * weak.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, words.n, score
+FROM kept JOIN words ON words.lang = kept.lang QUALIFY rank <= 2000
+"""
