@@ -64,9 +64,11 @@ def _by_lang(part: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], pa.Record
         yield lang.as_py(), some.column("text").cast(pa.binary()).to_pylist(), some
 
 
-def _rows(blocks: dict[tuple[str, int], Block], width: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+def _rows(blocks: dict[tuple[str, int], Block], width: int) -> Iterator[pa.RecordBatch]:
     """Cut sorted blocks by ranges of fingerprints."""
     for (lang, n), block in blocks.items():
+        if not len(block):
+            continue
         at = np.flatnonzero(np.diff(block.prints // np.uint64(width), prepend=np.uint64(1 << 63)))
         ends, made = np.append(at[1:], len(block)), []
         for a, b in zip(at, ends, strict=True):

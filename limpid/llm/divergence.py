@@ -173,7 +173,7 @@ def probabilities(docs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFram
     return known.select("lang", "source", "place", "v", _smoothed(F.lit(0), F.col("n"), F.col("v")).alias("p0")), each
 
 
-def _block_sums(table: pa.Table) -> pa.Table:
+def _block_sums(table: pa.Table, stripe_size: int) -> pa.Table:
     """Partial sums of one block of terms and two stripes of sources, for every pair in it."""
     cols = {c: table.column(c).to_numpy() for c in ("place", "a", "b", "p")}
     terms = table.column("term")
@@ -188,7 +188,7 @@ def _block_sums(table: pa.Table) -> pa.Table:
     has = np.zeros(p.shape, bool)
     p[at[~absent], number[~absent]] = cols["p"][~absent]
     has[at[~absent], number[~absent]] = True
-    stripe = places // STRIPE
+    stripe = places // stripe_size
     total, count = np.zeros((len(places), len(places)), np.int64), np.zeros((len(places), len(places)), np.int64)
     for i in range(len(places)):
         mine = np.flatnonzero(has[i])
@@ -208,18 +208,18 @@ def _block_sums(table: pa.Table) -> pa.Table:
     })
 
 
-def pairs(groups: DataFrame, each: DataFrame, terms: int) -> DataFrame:
+def pairs(groups: DataFrame, each: DataFrame, terms: int, stripe: int = STRIPE) -> DataFrame:
     """(lang, source, item, value) for every ordered pair of sources of a language.
 
     ``terms`` is the number of kept terms of all languages; it sets the number of blocks.
     """
     blocks = terms // BLOCK + 1
-    last = F.floor(F.max("place").over(Window.partitionBy("lang")) / STRIPE)
+    last = F.floor(F.max("place").over(Window.partitionBy("lang")) / stripe)
     striped = groups.withColumn("last", last)
 
     def sided(df: DataFrame) -> DataFrame:
         """Every row for each pair of stripes (a <= b) that its source takes part in."""
-        own = F.floor(F.col("place") / STRIPE)
+        own = F.floor(F.col("place") / stripe)
         other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))
         return df.select("*", own.alias("own"), other.alias("other")).select(
             "lang", "place", "term", "p", "block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
@@ -230,7 +230,7 @@ def pairs(groups: DataFrame, each: DataFrame, terms: int) -> DataFrame:
                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")).where("p IS NOT NULL")
     rows = sided(have.drop("source")).unionByName(sided(lack))
     schema = "lang string, s bigint, t bigint, value bigint, met bigint"
-    sums = rows.groupBy("lang", "block", "a", "b").applyInArrow(_block_sums, schema)
+    sums = rows.groupBy("lang", "block", "a", "b").applyInArrow(lambda t: _block_sums(t, stripe), schema)
     summed = sums.groupBy("lang", "s", "t").agg(F.sum("value").alias("value"), F.sum("met").alias("met"))
     summed = summed.unionByName(summed.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "value", "met"))
     left = groups.select("lang", F.col("place").cast("bigint").alias("s"), "source", F.col("p0").alias("p"), "v")
@@ -241,13 +241,13 @@ def pairs(groups: DataFrame, each: DataFrame, terms: int) -> DataFrame:
     return every.select("lang", "source", "item", (F.coalesce("value", F.lit(0)) + rest).alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, stripe: int = STRIPE) -> DataFrame:
     """(lang, source, part, item, value, rank): the distance to every other source, and the terms that mark a source."""
     kept = stage(kept_terms(stage(term_counts(docs), "divergence-terms"), min_docs), "divergence-kept")
     groups, each = probabilities(docs, kept)
     each = stage(each, "divergence-each")
     terms = each.select("lang", "term").distinct().count()
-    apart = pairs(groups, each, terms)
+    apart = pairs(groups, each, terms, stripe)
     marks = each.where(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     found = apart.select("lang", "source", F.lit("pair").alias("part"), "item", "value", rank.alias("rank"))
