@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from limpid.catalogue import query
 from limpid.catalogue import tables as t
 from limpid.functions import ranks, text
-from limpid.operators import detect, profile as P
+from limpid.operators import detect, inclusion, profile as P
 from limpid.session import stage
 
 TABLES = {
@@ -312,36 +312,44 @@ def reference_depth(spark, d):
     return detect.reference_depth(P.profile_metrics(facts), "2024-01-20").select("table_name", "depth")
 
 
-_FK_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS table_name, '{cc}' AS column_name, '{p}' AS parent_table, '{pc}' AS parent_column, "
-    f"'foreign_key' AS role WHERE NOT EXISTS (SELECT 1 FROM {c} WHERE {cc} IS NOT NULL AND {cc} NOT IN (SELECT {pc} FROM {p}))"
-    for c, cc, p, pc in (
-        ("orders", "o_custkey", "customer", "c_custkey"),
-        ("customer", "c_nationkey", "nation", "n_nationkey"),
-        ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    )
-)
+# the comparable columns of every table: whole numbers, texts, moments
+_COMPARABLE = {
+    "w": "benchmark.item_id conversations.conv_id conversations.turn customer.c_custkey customer.c_nationkey documents.doc_id "
+         "documents.n_chars embeddings.vec_id embeddings.label events.event_id events.user_id labels.doc_id labels.quality "
+         "labels.toxic lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber nation.n_nationkey "
+         "nation.n_regionkey orders.o_orderkey orders.o_custkey pages.page_id part.p_partkey part.p_size region.r_regionkey "
+         "supplier.s_suppkey supplier.s_nationkey",
+    "t": "benchmark.text conversations.role conversations.text customer.c_name customer.c_mktsegment documents.text documents.lang "
+         "documents.source events.event_type events.props lineitem.l_returnflag lineitem.l_linestatus nation.n_name "
+         "orders.o_orderstatus orders.o_orderpriority pages.url pages.html part.p_name part.p_brand part.p_type region.r_name "
+         "supplier.s_name",
+    "m": "events.ts lineitem.l_shipdate orders.o_orderdate",
+}
+_CELLS = [(k, *x.split(".")) for k, names in _COMPARABLE.items() for x in names.split()]
+_SQL_SHARED = "WITH cell AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{t_}' AS t, '{c}' AS c, '{k}' AS k, CAST({c} AS VARCHAR) AS v FROM {t_} WHERE {c} IS NOT NULL" for k, t_, c in _CELLS
+) + """), size AS (SELECT t, c, count(*) AS n FROM cell GROUP BY t, c),
+shared AS (SELECT a.t, a.c, b.t AS pt, b.c AS pc, count(*) AS n FROM cell a JOIN cell b ON a.k = b.k AND a.v = b.v
+    WHERE a.t <> b.t OR a.c <> b.c GROUP BY ALL),
+held AS (SELECT shared.t AS table_name, shared.c AS column_name, pt AS parent_table, pc AS parent_column, s.n AS "values", p.n AS parent_values
+    FROM shared JOIN size s ON s.t = shared.t AND s.c = shared.c JOIN size p ON p.t = pt AND p.c = pc WHERE shared.n = s.n)
+"""
+_EVERY_TABLE = sorted({t_ for _, t_, _ in _CELLS})
 
 
-@query("foreign_keys", _FK_SQL)
+@query("inclusions", _SQL_SHARED + "SELECT * FROM held")
+def inclusions(spark, d):
+    """All inclusions between all comparable columns of all tables."""
+    return inclusion.inclusions(spark, {x: t.read(spark, d, x) for x in _EVERY_TABLE})
+
+
+@query("foreign_keys", _SQL_SHARED + ", fact AS (" + " UNION ALL ".join(
+    f"SELECT '{t_}' AS t, '{c}' AS c, count(*) = count({c}) AND count(DISTINCT {c}) >= 0.99 * count(*) AS key FROM {t_}" for _, t_, c in _CELLS
+) + """) SELECT table_name, column_name, parent_table, parent_column, 'foreign_key' AS role
+FROM held JOIN fact ON fact.t = parent_table AND fact.c = parent_column WHERE key AND table_name <> parent_table""")
 def foreign_keys(spark, d):
-    """Which of three declared references hold, by values."""
-    frames = {x: t.read(spark, d, x) for x in ("orders", "customer", "lineitem", "nation")}
-    wanted = {
-        "orders": ["o_custkey", "o_orderkey"], "customer": ["c_nationkey", "c_custkey"],
-        "nation": ["n_nationkey"], "lineitem": ["l_orderkey"],
-    }
-    facts = []
-    for name, columns in wanted.items():
-        f = P.with_distinct(
-            P.column_bounds(frames[name], columns), P.frequency_table(frames[name], columns)
-        )
-        facts.append(f.withColumn("table_name", F.lit(name)))
-    found = P.foreign_keys(frames, P.classify(reduce(DataFrame.unionByName, facts)))
-    pairs = [("orders", "o_custkey", "customer"), ("customer", "c_nationkey", "nation"),
-             ("lineitem", "l_orderkey", "orders")]
-    declared = spark.createDataFrame(pairs, "table_name string, column_name string, parent_table string")
-    return found.join(declared, ["table_name", "column_name", "parent_table"], "left_semi")
+    """Which columns refer to identifiers of other tables, found by values among all tables."""
+    return inclusion.foreign_keys(spark, {x: t.read(spark, d, x) for x in _EVERY_TABLE})
 
 
 @query("percentile_ranks_lineitem", """

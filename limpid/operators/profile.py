@@ -8,8 +8,6 @@ coverage, medians and spelling collisions all follow.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from limpid import vocabulary as V
@@ -491,67 +489,6 @@ def profile_metrics(profile: DataFrame, run_batch: Column | None = None) -> Data
     return table_rows.unionByName(long)
 
 
-def foreign_keys(tables: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
-    """Columns whose values all occur among the identifiers of another table.
-
-    Candidate pairs are pruned by type and bounds before any values are joined.
-    ``profiles`` holds the whole-table facts of all ``tables``.
-    """
-    wide = profiles.select(
-        "table_name", "column_name", "type", "role", "distinct",
-        F.col("min").try_cast("double").alias("lo"), F.col("max").try_cast("double").alias("hi"),
-        "min", "max",
-    )
-    child = wide.where(
-        ~F.col("role").isin("temporal", "unknown") & ~F.col("type").isin("double", "float", "boolean")
-    )
-    parent = wide.where(F.col("role") == "identifier")
-    c, p = child.alias("c"), parent.alias("p")
-    same_type = F.regexp_replace("c.type", "^int$", "bigint") == F.regexp_replace(
-        "p.type", "^int$", "bigint"
-    )
-    inside = F.when(
-        F.col("c.lo").isNotNull() & F.col("p.lo").isNotNull(),
-        (F.col("c.lo") >= F.col("p.lo")) & (F.col("c.hi") <= F.col("p.hi")),
-    ).otherwise((F.col("c.min") >= F.col("p.min")) & (F.col("c.max") <= F.col("p.max")))
-    # catalogue metadata: one row per column, so the driver may loop over it
-    pairs = (
-        c.join(p, same_type & inside & (F.col("c.table_name") != F.col("p.table_name"))
-               & (F.col("c.distinct") <= F.col("p.distinct")))
-        .select(
-            F.col("c.table_name").alias("ct"), F.col("c.column_name").alias("cc"),
-            F.col("p.table_name").alias("pt"), F.col("p.column_name").alias("pc"),
-        )
-        .collect()
-    )
-    found = []
-    for r in pairs:
-        orphans = orphan_values(tables[r["ct"]], r["cc"], tables[r["pt"]], r["pc"])
-        found.append(
-            orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
-                F.lit(r["ct"]).alias("table_name"), F.lit(r["cc"]).alias("column_name"),
-                F.lit(r["pt"]).alias("parent_table"), F.lit(r["pc"]).alias("parent_column"),
-                "orphans",
-            )
-        )
-    if not found:
-        return profiles.sparkSession.createDataFrame(
-            [], "table_name string, column_name string, parent_table string, parent_column string, role string"
-        )
-    return (
-        reduce(DataFrame.unionByName, found)
-        .where(F.col("orphans") == 0)
-        .select("table_name", "column_name", "parent_table", "parent_column",
-                F.lit("foreign_key").alias("role"))
-    )
-
-
-def orphan_values(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Distinct non-null child values that the parent does not hold."""
-    values = child.select(_quoted(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return values.join(parent.select(_quoted(parent_column).alias("value")), "value", "left_anti")
-
-
 def as_profile(facts: DataFrame, table_name: str, dataset: str = "") -> DataFrame:
     """Measured facts in the profile schema; what was not measured is NULL."""
     from limpid import schemas
