@@ -135,11 +135,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def kept_terms(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of terms that stand in enough documents of their language, with ``total``, their count in the language.
 
-    The totals come from an aggregate that is joined back, so that a term of very
-    many sources is no window partition.
+    One shuffle; the window runs over the sources of a term, one row each, and spills.
     """
-    often = counted.groupBy("lang", "term").agg(F.sum("docs").alias("d"), F.sum("count").alias("total")).where(F.col("d") >= min_docs)
-    return counted.join(often.drop("d"), ["lang", "term"]).select("lang", "source", "term", "count", "total")
+    term = Window.partitionBy("lang", "term")
+    summed = counted.select("*", F.sum("docs").over(term).alias("d"), F.sum("count").over(term).alias("total"))
+    return summed.where(F.col("d") >= min_docs).select("lang", "source", "term", "count", "total")
 
 
 def _smoothed(count, n, v):
