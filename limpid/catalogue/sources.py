@@ -26,7 +26,7 @@ def csv_missing_tokens(spark, d):
         "c_custkey", F.when(segment == "BUILDING", "N/A").when(segment == "FURNITURE", "null").otherwise(segment)
         .alias("c_mktsegment"),
     ).write.option("header", True).csv(path)
-    return batches.read_text_table(spark, path, splittable=True).groupBy("c_mktsegment").agg(
+    return batches.read_text_table(spark, path).groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_key")
     )
 

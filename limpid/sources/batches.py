@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from limpid import vocabulary as V
+from limpid.session import stage
+from limpid.sources import quoted
 
 META = ("_batch_id", "_source", "_ingested_at")
 
@@ -39,20 +41,22 @@ def null_tokens_to_null(df: DataFrame, tokens: tuple[str, ...] = V.NULL_TOKENS)
     return df.select(*out)
 
 
-def read_text_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None,
-    keep_tokens: bool = False, splittable: bool = False,
-) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, schema: T.StructType | None = None, keep_tokens: bool = False) -> DataFrame:
     """CSV with a header, every column a string, missing tokens NULL.
 
-    Quoted line breaks are honoured, which reads each file in one task. Files
-    known to have none may be read ``splittable``.
+    Quoted line breaks are honoured, and a file is read in as many tasks as it has
+    ranges all the same (``quoted``). A first pass, whose result is written, decides
+    whether the lines are the records.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
-    reader = reader.option("multiLine", not splittable)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
+    head = spark.read.option("header", True).option("escape", '"')
+    # only the first record is read for the names
+    columns = schema.fieldNames() if schema is not None else head.option("multiLine", True).csv(path).columns
+    ranges = stage(quoted.range_maps(spark, path), "text-ranges")
+    if ranges.agg(quoted.needs_records().alias("needed")).first()["needed"]:
+        df = quoted.read_records(spark, path, columns, ranges)
+    else:
+        texts = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        df = head.option("multiLine", False).schema(texts).csv(path)
     return df if keep_tokens else null_tokens_to_null(df)
 
 
