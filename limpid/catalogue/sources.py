@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from limpid.catalogue import query
 from limpid.catalogue import tables as t
@@ -77,6 +77,66 @@ def loaded_batches(spark, d):
     return out.select("batch_id", "table_name", "rows")
 
 
+@query("raw_batches_emptied", """
+SELECT o_orderstatus AS batch_id, count(*) AS "rows" FROM orders WHERE o_orderstatus <> 'P' AND (o_orderstatus <> 'F' OR o_orderkey % 3 = 0) GROUP BY 1
+""")
+def raw_batches_emptied(spark, d):
+    """Batches delivered again: one shorter, one with a header and no rows."""
+    root = scratch_path(spark, "incoming")
+    o = t.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    first, again = f"{root}/first", f"{root}/again"
+    for status in ("F", "O", "P"):
+        o.where(F.col("o_orderstatus") == status).write.option("header", True).csv(f"{first}/{status}/orders.csv")
+        batches.load_batch(spark, first, status, f"{root}/bronze")
+    o.where("o_orderstatus = 'F' AND o_orderkey % 3 = 0").write.option("header", True).csv(f"{again}/F/orders.csv")
+    o.where("o_orderstatus = '-'").coalesce(1).write.option("header", True).csv(f"{again}/P/orders.csv")
+    for status in ("F", "P"):
+        batches.load_batch(spark, again, status, f"{root}/bronze")
+    return batches.read_batches(spark, f"{root}/bronze/orders").groupBy(F.col(t.BATCH).alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def _drifting(spark, d) -> str:
+    """Events by day; from the 20th on ``value`` arrives as ``amount``, and ``props`` is new."""
+    path = scratch_path(spark, "bronze")
+    e = t.events_by_day(spark, d).select("event_id", F.col("value").cast("string").alias("value"), "props", t.BATCH)
+    late = F.col(t.BATCH) >= "2024-01-20"
+    batches.write_batches(e.where(~late).drop("props"), path)
+    batches.write_batches(e.where(late).withColumnRenamed("value", "amount"), path)
+    return path
+
+
+@query("raw_table_as_of", f"""
+WITH {t.SQL_EVENTS}, c AS (SELECT '2024-01-19' AS upto UNION ALL SELECT '2024-01-25')
+SELECT upto, count(*) AS "rows", CASE WHEN upto < '2024-01-20' THEN 'event_id,value,_batch_id' ELSE 'event_id,value,amount,props,_batch_id' END AS columns
+FROM c JOIN ev ON b <= upto GROUP BY upto
+""")
+def raw_table_as_of(spark, d):
+    """A raw table as it was known at two batches: rows and columns of the deliveries until then."""
+    path, out = _drifting(spark, d), None
+    for upto in ("2024-01-19", "2024-01-25"):
+        rows = batches.read_batches(spark, path, upto)
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(upto).alias("upto"), "rows", F.lit(",".join(rows.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("schema_history_read", """
+SELECT s AS batch_id, 'orders' AS table_name, c AS column_name, CAST(p AS INTEGER) AS ordinal_position
+FROM (SELECT DISTINCT o_orderstatus AS s FROM orders), (VALUES ('O_ORDERKEY', 1), ('O_TOTALPRICE', 2)) v(c, p)
+""")
+def schema_history_read(spark, d):
+    """What loading noted about the columns of every batch; loaded twice, noted once."""
+    root = scratch_path(spark, "incoming")
+    for n in _write_incoming(spark, d, root):
+        batch = n.split("=")[1]
+        spark.read.option("header", True).csv(f"{root}/by_status/{n}").write.option("header", True).csv(f"{root}/{batch}/orders.csv")
+        for _ in range(2):
+            batches.load_batch(spark, root, batch, f"{root}/bronze")
+    log = batches.read_batches(spark, f"{root}/bronze/_schema_history")
+    return log.select("batch_id", "table_name", "column_name", "ordinal_position")
+
+
 @query("stored_metrics_replaced", f"""
 WITH {t.SQL_EVENTS} SELECT b AS batch_id, CAST(count(*) AS DOUBLE) AS value FROM ev GROUP BY 1
 """)
@@ -95,14 +155,19 @@ def stored_metrics_replaced(spark, d):
 
 
 @query("sorted_daily_files", f"""
-WITH {t.SQL_EVENTS} SELECT b AS batch_id, count(*) AS "rows", min(event_id) AS first_id, max(event_id) AS last_id FROM ev GROUP BY 1
+WITH {t.SQL_EVENTS} SELECT b AS batch_id, count(*) AS "rows", min(event_id) AS first_id, max(event_id) AS last_id, 0 AS descents FROM ev GROUP BY 1
 """)
 def sorted_daily_files(spark, d):
+    """Daily files: all rows of the day, and in none of them a row below the one before it."""
     path = scratch_path(spark, "days")
     batches.write_days(t.events_by_day(spark, d).select("event_id", "event_type", t.BATCH), path)
-    return batches.read_batches(spark, path).groupBy(F.col(t.BATCH).alias("batch_id")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
-    )
+    stored = spark.read.schema(f"event_id bigint, event_type string, {t.BATCH} string").parquet(path)
+    place = Window.partitionBy("file").orderBy("at")
+    rows = stored.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    fell = F.struct("event_id", "event_type") < F.lag(F.struct("event_id", "event_type")).over(place)
+    return rows.withColumn("fell", F.coalesce(fell, F.lit(False)).cast("int")).groupBy(F.col(t.BATCH).alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"),
+        F.sum("fell").cast("int").alias("descents"))
 
 
 @query("gold_view", """
@@ -201,25 +266,77 @@ def windowed_event_metrics(spark, d):
     return rows.select("batch_id", "row_count", "null_count__event_type")
 
 
+_CLOSED = "CAST(b AS DATE) + 2 <= (SELECT max(ts) FROM events)"
+
+
+def _watched(spark, d) -> tuple[str, str]:
+    """The damaged events as a stream: metrics and anomalies of the days that are closed."""
+    folder, store, found, state = (scratch_path(spark, x) for x in ("stream-in", "stream-metrics", "stream-found", "stream-state"))
+    source = ramped_events(spark, d).drop(t.BATCH)
+    source.write.parquet(folder)
+    # events of the first day that come after it was closed: dropped
+    stream = spark.readStream.schema(source.schema).parquet(folder)
+    metrics.watch(stream, "ts", ["event_type"], "shop", "RAW.EVENTS", store, found, state).awaitTermination()
+    source.where("ts < TIMESTAMP '2024-01-02'").limit(50).write.mode("append").parquet(folder)
+    metrics.watch(stream, "ts", ["event_type"], "shop", "RAW.EVENTS", store, found, state).awaitTermination()
+    return store, found
+
+
 @query("streamed_event_metrics", f"""
-WITH {t.SQL_EVENTS} SELECT b AS batch_id, count(*) AS row_count, count(*) - count(event_type) AS null_count__event_type FROM ev GROUP BY 1
+WITH {SQL_RAMPED}, m AS (SELECT b, count(*) AS n, count(*) - count(event_type) AS f FROM ramped WHERE {_CLOSED} GROUP BY 1)
+SELECT b AS batch_id, CAST(NULL AS VARCHAR) AS column_name, 'row_count' AS metric, CAST(n AS DOUBLE) AS value FROM m
+UNION ALL SELECT b, 'event_type', 'null_count', CAST(f AS DOUBLE) FROM m
 """)
 def streamed_event_metrics(spark, d):
-    """The same windows over a stream; results are replaced as windows grow."""
-    folder, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    source = t.events_by_day(spark, d)
-    source.write.parquet(folder)
-    stream = spark.readStream.schema(source.schema).parquet(folder)
-    rows = metrics.windowed_metrics(stream, "ts", ["event_type"])
+    """Metrics of a stream, stored once per closed day; rows that come too late change nothing."""
+    store, _ = _watched(spark, d)
+    return batches.read_batches(spark, store).where("metric <> 'distinct'").select("batch_id", "column_name", "metric", "value")
+
+
+@query("streamed_statistical", f"""
+WITH {SQL_RAMPED}, m AS (SELECT b, count(*) AS n, count(*) - count(event_type) AS f FROM ramped WHERE {_CLOSED} GROUP BY 1),
+v AS (SELECT b, CAST(NULL AS VARCHAR) AS c, 'row_count' AS metric, CAST(n AS DOUBLE) AS v FROM m UNION ALL SELECT b, 'event_type', 'null_count', CAST(f AS DOUBLE) FROM m),
+no AS (SELECT b, row_number() OVER (ORDER BY b) AS r FROM m), vv AS (SELECT v.*, r FROM v JOIN no USING (b)),
+ref AS (SELECT x.b, x.c, x.metric, x.v, count(*) AS batches, median(y.v) AS med, mad(y.v) AS mad
+    FROM vv x JOIN vv y ON x.metric = y.metric AND y.r BETWEEN x.r - 30 AND x.r - 1 GROUP BY ALL)
+SELECT b AS batch_id, c AS column_name, metric, v AS observed,
+    CASE WHEN mad = 0 THEN 'rupture_de_constante' ELSE 'derive_statistique' END AS type,
+    round(CASE WHEN mad = 0 THEN abs(v - med) ELSE abs(0.6745::DOUBLE * (v - med) / mad) END, 6) AS magnitude
+FROM ref WHERE batches >= 15 AND CASE WHEN mad = 0 THEN v <> med ELSE abs(0.6745::DOUBLE * (v - med) / mad) > 3.5 END
+""")
+def streamed_statistical(spark, d):
+    """Closed days of a stream against the days before them, judged as they close."""
+    _, found = _watched(spark, d)
+    rows = batches.read_batches(spark, found).withColumn("metric", F.col("details")["metric"]).where("metric <> 'distinct'")
+    return rows.select("batch_id", "column_name", "metric", F.col("observed_num").alias("observed"), "type", F.round("magnitude", 6).alias("magnitude"))
 
-    def replace(df, _epoch):
-        # complete mode: one row per window, all windows each time
-        df.write.mode("overwrite").parquet(out)
 
-    rows.writeStream.outputMode("complete").foreachBatch(replace).option(
-        "checkpointLocation", scratch_path(spark, "stream-state")
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("batch_id", "row_count", "null_count__event_type")
+@query("streamed_redelivery", """
+SELECT o_orderstatus AS batch_id, count(*) AS "rows", max(o_orderkey) AS last_key FROM orders
+WHERE o_orderstatus <> 'P' AND (o_orderstatus <> 'F' OR o_orderkey % 3 = 0) GROUP BY 1
+""")
+def streamed_redelivery(spark, d):
+    """A stream that gets one batch again with fewer rows, and one with none, beside a batch of the daily load."""
+    root, state = scratch_path(spark, "stream-batches"), scratch_path(spark, "stream-state")
+    o = t.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    columns = ["o_orderkey", "o_orderstatus"]
+
+    def put(rows, folder):
+        rows.write.option("header", True).csv(folder)
+
+    def run():
+        ingest.ingest(spark, f"{root}/in", "part-*", columns, f"{root}/bronze/orders", state).awaitTermination()
+
+    for status in ("F", "P"):
+        put(o.where(F.col("o_orderstatus") == status), f"{root}/in/{status}/1")
+    put(o.where("o_orderstatus = 'O'"), f"{root}/load/O/orders.csv")
+    run()
+    batches.load_batch(spark, f"{root}/load", "O", f"{root}/bronze")
+    put(o.where("o_orderstatus = 'F' AND o_orderkey % 3 = 0"), f"{root}/in/F/2")
+    put(o.where("o_orderstatus = '-'").coalesce(1), f"{root}/in/P/2")
+    run()
+    return batches.read_batches(spark, f"{root}/bronze/orders").groupBy(F.col(t.BATCH).alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.col("o_orderkey").cast("long")).alias("last_key"))
 
 
 @query("streamed_ingestion", """

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from limpid import vocabulary as V
 from limpid.session import stage
-from limpid.sources import quoted
+from limpid.sources import ledger, quoted
 
 META = ("_batch_id", "_source", "_ingested_at")
 
@@ -73,36 +73,20 @@ def stamp(df: DataFrame, batch_id: Column | str, source: Column | str) -> DataFr
 def write_batches(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace exactly the batches present in ``df``; other batches stay.
 
-    Loading a batch twice leaves the same rows. New columns simply appear in
-    the new files and are merged when the table is read. The rebalance keeps
-    files of a sensible size: small batches share a task, adaptive execution
-    splits one that holds most of the rows.
+    Loading a batch twice leaves the same rows. New columns appear in the table as
+    soon as a batch has them. See ``ledger`` for how a batch is switched at once.
     """
-    by = partitions or ("_batch_id",)
-    (
-        df.hint("rebalance", *by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
-    )
+    ledger.deliver(df, path, partitions or ("_batch_id",))
 
 
-def drop_batch(spark: SparkSession, path: str, batch_id: str, partition: str = "_batch_id") -> None:
+def drop_batch(spark: SparkSession, path: str, batch_id: str) -> None:
     """Remove the rows of one batch, as an empty delivery asks for."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path, f"{partition}={batch_id}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    ledger.drop(spark, path, (batch_id,))
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The raw table with the union of all columns its batches ever had."""
-    keep = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", keep)
+def read_batches(spark: SparkSession, path: str, upto: str | None = None) -> DataFrame:
+    """The raw table with the union of all columns its batches ever had; ``upto`` a batch, if given."""
+    return ledger.read(spark, path, upto)
 
 
 def schema_rows(
@@ -121,12 +105,8 @@ def schema_rows(
 
 
 def write_schema_history(rows: DataFrame, path: str) -> None:
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "table_name")
-        .parquet(path)
-    )
+    """Replace the columns noted for a batch and table."""
+    ledger.deliver(rows, path, ("batch_id", "table_name"))
 
 
 def load_batch(spark: SparkSession, incoming: str, batch_id: str, bronze: str) -> DataFrame:
@@ -144,13 +124,9 @@ def load_batch(spark: SparkSession, incoming: str, batch_id: str, bronze: str) -
         table = name[: -len(".csv")]
         raw = read_text_table(spark, f"{folder}/{name}")
         write_schema_history(schema_rows(spark, batch_id, table, raw.columns), f"{bronze}/_schema_history")
-        if raw.isEmpty():  # a dynamic overwrite leaves partitions that get no row
-            drop_batch(spark, f"{bronze}/{table}", batch_id)
-            rows = 0
-        else:
-            write_batches(stamp(raw, batch_id, F.lit(name)), f"{bronze}/{table}")
-            # the batch's own files only; their footers hold the count
-            rows = spark.read.parquet(f"{bronze}/{table}/_batch_id={batch_id}").count()
+        # an empty file is a delivery too
+        made = ledger.deliver(stamp(raw, batch_id, F.lit(name)), f"{bronze}/{table}", ("_batch_id",), [(batch_id,)])
+        rows = made.rows[batch_id,]
         counts.append(spark.range(1).select(
             F.lit(table).alias("table_name"), F.lit(batch_id).alias("batch_id"), F.lit(rows).cast("long").alias("rows")))
     if not counts:
