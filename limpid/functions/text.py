@@ -90,24 +90,25 @@ def number_or_null(value: Column) -> Column:
     return F.when(F.translate(plain, NUMBER_LETTERS, "") == "", plain.try_cast("double"))
 
 
-def _moment_shapes() -> list[str]:
-    """What follows a day, with 9 for every digit and for any run of decimals."""
-    clocks = [c + f for c in ("99:99", "99:99:99") for f in ("", ".9")]
-    zones = ["", "Z"] + [sign + z for sign in "+-" for z in ("99:99", "9999")]
-    return ["", *(gap + c + z for gap in " T" for c in clocks for z in zones)]
-
+def day_or_null(value: Column) -> Column:
+    """The calendar day that a text begins with, if all of it is a day or a moment.
 
-def reads_as_date(value: Column) -> Column:
-    """An ISO day, alone or with a clock time and a zone, judged by its shape."""
-    shape = F.translate(F.trim(value), "012345678", "9" * 9)
-    rest = F.regexp_replace(F.substr(shape, F.lit(11)), r"\.9+", ".9")
-    return F.coalesce((F.substring(shape, 1, 10) == "9999-99-99") & rest.isin(_moment_shapes()), F.lit(False))
+    Spark's own reading decides what a moment is; it also takes years, months and
+    one-digit parts for days, which the length of the day and its dashes exclude.
+    """
+    text = F.trim(value)
+    head, rest = F.substring(text, 1, 10), F.substr(text, F.lit(11))
+    day = F.when((F.substring(head, 5, 1) == "-") & (F.substring(head, 8, 1) == "-"), head.try_cast("date"))
+    # Spark wants seconds before a zone; a clock of hours alone is no moment
+    full = F.concat(F.substring(text, 1, 16), F.lit(":00"), F.substr(text, F.lit(17)))
+    read = F.coalesce(text.try_cast("timestamp"), full.try_cast("timestamp"))
+    clock = F.substring(rest, 1, 1).isin(" ", "T") & F.contains(rest, F.lit(":")) & read.isNotNull()
+    return F.when((rest == "") | clock, day)
 
 
-def day_or_null(value: Column) -> Column:
-    """The calendar day of an ISO date or timestamp text."""
-    text = F.trim(value)
-    return F.when(reads_as_date(text), F.substring(text, 1, 10).try_cast("date"))
+def reads_as_date(value: Column) -> Column:
+    """A day of the calendar, alone or with a clock time and a zone."""
+    return F.coalesce(day_or_null(value).isNotNull(), F.lit(False))
 
 
 def has_fraction(value: Column) -> Column:

@@ -342,14 +342,17 @@ def semantic(profile: DataFrame) -> DataFrame:
     )
 
 
-def semantic_full(frequencies: DataFrame, facts: DataFrame, table_name: str) -> DataFrame:
+def semantic_full(frequencies: DataFrame, facts: DataFrame, table_name: str | None = None) -> DataFrame:
     """The same over all values, from the frequency table of the profile.
 
     All spellings of a cluster are counted, the most frequent hundred are shown.
+    Without a ``table_name`` both frames carry it, for any number of tables.
     """
     from limpid.operators.collisions import collision_clusters, spellings
 
-    keys = ["batch_id", "column_name"]
+    if table_name is not None:
+        frequencies, facts = (df.withColumn("table_name", F.lit(table_name)) for df in (frequencies, facts))
+    keys = ["table_name", "batch_id", "column_name"]
     scope = facts.where(F.col("role") == "categorical").select(*keys)
     counts = frequencies.join(scope, keys, "left_semi")
     order = Window.partitionBy(*keys, "form").orderBy(F.desc("n"), F.asc("value"))
@@ -357,8 +360,7 @@ def semantic_full(frequencies: DataFrame, facts: DataFrame, table_name: str) ->
     shown = head.groupBy(*keys, "form").agg(F.sort_array(F.collect_list("value")).alias("shown"))
     clusters = collision_clusters(counts, keys).join(shown, [*keys, "form"])
     return anomaly(
-        clusters.withColumn("table_name", F.lit(table_name)),
-        "semantic", "collision_semantique", "coherence", column=F.col("column_name"),
+        clusters, "semantic", "collision_semantique", "coherence", column=F.col("column_name"),
         observed=F.to_json("shown"), reference=F.col("form"),
         observed_values=F.col("shown"), magnitude=F.col("rows"),
         details={"coverage": F.lit(1.0), "rows": F.col("rows"), "spellings": F.col("spellings")},
@@ -367,12 +369,15 @@ def semantic_full(frequencies: DataFrame, facts: DataFrame, table_name: str) ->
 
 # --- external verdicts -------------------------------------------------------
 
-def external(verdicts: DataFrame, batch_id: str, table_name: str | None = None) -> DataFrame:
-    """Failing verdicts of another tool in the common form."""
+def external(verdicts: DataFrame, batch_id: str, *tables: str) -> DataFrame:
+    """Failing verdicts of another tool in the common form, of some tables if any are named.
+
+    A verdict that names no table is one about each of them.
+    """
     rows = verdicts
-    if table_name is not None:
-        rows = rows.where(F.col("table_name").isNull() | (F.col("table_name") == table_name))
-        rows = rows.withColumn("table_name", F.lit(table_name))
+    if tables:
+        own = F.when(F.col("table_name").isNull(), F.array(*map(F.lit, tables))).otherwise(F.array("table_name"))
+        rows = rows.withColumn("table_name", F.explode(own)).where(F.col("table_name").isin(*tables))
     return anomaly(
         rows.withColumn("batch_id", F.lit(batch_id)), "external", "test_dbt_echoue",
         F.coalesce("dama", F.lit("exactitude")), column=F.col("column_name"),

@@ -8,6 +8,8 @@ coverage, medians and spelling collisions all follow.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from limpid import vocabulary as V
@@ -155,9 +157,9 @@ def column_bounds(
     )
 
 
-def with_distinct(bounds: DataFrame, freq: DataFrame) -> DataFrame:
-    counted = freq.groupBy("batch_id", "column_name").agg(F.count(F.lit(1)).alias("distinct"))
-    return bounds.join(counted, ["batch_id", "column_name"], "left").withColumn(
+def with_distinct(bounds: DataFrame, freq: DataFrame, keys: tuple[str, ...] = ("batch_id", "column_name")) -> DataFrame:
+    counted = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"))
+    return bounds.join(counted, list(keys), "left").withColumn(
         "distinct", F.coalesce("distinct", F.lit(0).cast("long"))
     )
 
@@ -283,9 +285,9 @@ def top_values(
     )
 
 
-def _collected_top(ranked: DataFrame, k: Column) -> DataFrame:
+def _collected_top(ranked: DataFrame, k: Column, keys: tuple[str, ...] = ("batch_id", "column_name")) -> DataFrame:
     kept = ranked.where(F.col("rank") <= k)
-    return kept.groupBy("batch_id", "column_name").agg(
+    return kept.groupBy(*keys).agg(
         F.sum("n").alias("covered"),
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "value", "n"))),
@@ -294,7 +296,7 @@ def _collected_top(ranked: DataFrame, k: Column) -> DataFrame:
     )
 
 
-def _written_numbers(freq: DataFrame, stats: DataFrame) -> DataFrame:
+def _written_numbers(freq: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Numeric reading of the frequency table; typed columns need no pattern."""
     typed = F.col("value").try_cast("double")
     read = F.when(F.col("type_class") == "number", typed).otherwise(
@@ -302,10 +304,8 @@ def _written_numbers(freq: DataFrame, stats: DataFrame) -> DataFrame:
     )
     return (
         freq.join(
-            stats.where(F.col("type_class").isin("number", "text")).select(
-                "batch_id", "column_name", "type_class"
-            ),
-            ["batch_id", "column_name"],
+            stats.where(F.col("type_class").isin("number", "text")).select(*keys, "type_class"),
+            keys,
         )
         .withColumn("v", F.when(~F.isnan(read), read))
         .drop("type_class")
@@ -416,25 +416,46 @@ def profile_table(
     df: DataFrame, table_name: str = "", dataset: str = "", batch_column: str | None = None,
     batch_id: str | None = None,
 ) -> DataFrame:
-    """The full record of every column and batch (schema ``PROFILE_COLUMN``).
+    """The full record of every column and batch (schema ``PROFILE_COLUMN``)."""
+    return profile_tables({table_name: (batch_filter(df, batch_column, batch_id), batch_column)}, dataset)[0]
+
 
-    The frequency table and the roles are written once; frequent values are then
-    taken only of categorical columns and robust statistics only of numeric ones.
+def profile_tables(
+    tables: dict[str, tuple[DataFrame, str | None]], dataset: str = "", also: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The records of any number of tables from one frequency table, and that table's values.
+
+    ``tables`` gives rows and batch column by name. The frequency table and the
+    roles are written once for all of them, so the number of jobs does not depend
+    on the number of tables; frequent values are then taken only of categorical
+    columns and robust statistics only of numeric ones. The second frame holds
+    ``(table_name, batch_id, column_name, value, n)`` of the categorical columns
+    and of those that ``also`` (``table_name, column_name``) names.
     """
-    rows = batch_filter(df, batch_column, batch_id)
-    keys = ["batch_id", "column_name"]
-    freq = stage(frequency_table(rows, None, batch_column, DIGEST_OVER), "frequency")
-    facts = with_distinct(column_bounds(rows, None, batch_column), freq)
-    facts = stage(freshness(classify(facts)), "facts")
-    # measured columns with long texts are counted by the texts themselves
-    long = facts.where(
-        F.col("role").isin("categorical", "numeric") & (F.col("max_length") > DIGEST_OVER)
-    ).select("column_name").distinct()
-    names = [r["column_name"] for r in long.collect()]
-    if names:
-        freq = freq.where(~F.col("column_name").isin(names)).unionByName(
-            frequency_table(rows, names, batch_column)
-        )
+    keys = ["table_name", "batch_id", "column_name"]
+    tagged = lambda df, name: df.withColumn("table_name", F.lit(name))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    freq = stage(union([tagged(frequency_table(rows, None, by, DIGEST_OVER), n) for n, (rows, by) in tables.items()]), "frequency")
+    bounds = union([tagged(column_bounds(rows, None, by), n) for n, (rows, by) in tables.items()])
+    facts = stage(freshness(classify(with_distinct(bounds, freq, tuple(keys)))), "facts")
+
+    listed = None
+    if also is not None:
+        listed = also.select(F.upper("table_name").alias("_t"), F.upper("column_name").alias("_c")).distinct()
+    named = (F.upper("table_name") == F.col("_t")) & (F.upper("column_name") == F.col("_c"))
+    judged = facts.where(F.col("role") == "categorical").select(*keys)
+    if listed is not None:
+        judged = judged.unionByName(facts.join(listed, named, "left_semi").select(*keys)).distinct()
+    # columns that are judged or measured by their values, not by digests of long texts
+    by_value = judged.unionByName(facts.where(F.col("role") == "numeric").select(*keys)).distinct()
+    long = facts.where(F.col("max_length") > DIGEST_OVER).join(by_value, keys, "left_semi").select("table_name", "column_name").distinct()
+    again: dict[str, list[str]] = {}
+    for r in long.collect():
+        again.setdefault(r["table_name"], []).append(r["column_name"])
+    if again:
+        counted = reduce(Column.__or__, [(F.col("table_name") == n) & F.col("column_name").isin(c) for n, c in again.items()])
+        freq = union([freq.where(~counted), *[
+            tagged(frequency_table(tables[n][0], c, tables[n][1]), n) for n, c in again.items()]])
 
     categorical = facts.where(F.col("role") == "categorical").select(
         *keys, adaptive_k(F.col("distinct")).cast("int").alias("k")
@@ -442,21 +463,21 @@ def profile_table(
     ranked = ranked_values(
         freq.join(categorical.select(*keys), keys, "left_semi"), keys, V.ENUMERABLE_MAX
     )
-    top = _collected_top(ranked.join(categorical, keys), F.col("k"))
+    top = _collected_top(ranked.join(categorical, keys), F.col("k"), tuple(keys))
 
     numeric = facts.where(F.col("role") == "numeric")
-    numbers = _written_numbers(freq, numeric)
+    numbers = _written_numbers(freq, numeric, keys)
     robust = robust_frame(numbers, keys, _bounded(numeric)).drop("non_null_count")
 
     measure = F.when(F.col("role") == "categorical", "top_values").when(
         F.col("role") == "numeric", "robust_stats"
     )
-    return (
+    profile = (
         facts.join(categorical, keys, "left")
         .join(top, keys, "left")
         .join(robust, keys, "left")
         .select(
-            F.lit(dataset).alias("dataset"), F.lit(table_name).alias("table_name"), "batch_id",
+            F.lit(dataset).alias("dataset"), "table_name", "batch_id",
             "column_name", "type", "position", "row_count", "null_count", "null_rate",
             "distinct", "min", "max", "role", measure.alias("measure"), "k",
             F.when(F.col("role") == "categorical", text.rate(F.col("covered"), F.col("non_null_count")))
@@ -465,6 +486,7 @@ def profile_table(
             "numeric_max", "amplitude_jours", "retard_jours", "dates_futures",
         )
     )
+    return profile, freq.join(judged, keys, "left_semi").select(*keys, "value", "n")
 
 
 def profile_metrics(profile: DataFrame, run_batch: Column | None = None) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from limpid import schemas, vocabulary as V
 from limpid.functions import text
 from limpid.operators import contracts as C, corrections, detect as D, impact, memory
-from limpid.operators.profile import batch_filter, category_values, profile_metrics, profile_table
+from limpid.operators.profile import batch_filter, profile_metrics, profile_tables
 from limpid.session import stage
 from limpid.sources.batches import read_batches, write_batches
+from limpid.sources.history import latest_series
 
 APPLIED = "batch_id string, rows_before bigint, rows_after bigint, changed bigint, quarantined bigint"
 
@@ -42,9 +43,8 @@ def discover(
     for r in registry.where(F.col("dataset") == dataset).collect():
         name = r["table_name"]
         try:
-            rows = resolve(name)
-            facts = stage(profile_table(rows, name, dataset), "profile")
-            c, w = C.propose(facts, values=category_values(rows, facts, name))
+            facts, values = profile_tables({name: (resolve(name), None)}, dataset)
+            c, w = C.propose(stage(facts, "profile"), values=values)
         except Exception as exc:  # noqa: BLE001 - reported
             failures.append(f"{name}: {type(exc).__name__}: {exc}")
             continue
@@ -56,84 +56,82 @@ def discover(
     return union(clauses), union(warnings), failures
 
 
-def profile_batch(
-    df: DataFrame, table_name: str, dataset: str, batch_column: str | None, batch_id: str
-) -> DataFrame:
-    """Profile of one batch, keyed by the batch of the run.
-
-    A table without batches is profiled as a whole.
-    """
-    p = profile_table(df, table_name, dataset, batch_column, batch_id if batch_column else None)
-    return stage(p.withColumn("batch_id", F.lit(batch_id)), "profile")
-
-
-def batch_values(
-    df: DataFrame, profile: DataFrame, table_name: str, batch_column: str | None, batch_id: str,
-    contracts: DataFrame | None,
-) -> DataFrame:
-    """All values of the columns that the profile or a signed clause judges by their values."""
-    rows = batch_filter(df, batch_column, batch_id if batch_column else None)
-    listed = None
-    if contracts is not None:
-        listed = contracts.where((F.upper("table_name") == table_name.upper()) & (F.col("clause") == "accepted_values"))
-    found = category_values(rows, profile, table_name, also=listed)
-    return stage(found.withColumn("batch_id", F.lit(batch_id)), "values")
+def _signed(refs: References) -> DataFrame | None:
+    return C.in_force(refs.contracts) if refs.contracts is not None else None
 
 
-def detect_batch(
-    spark: SparkSession, profile: DataFrame, table_name: str, dataset: str, batch_id: str,
-    registry: DataFrame, refs: References, values: DataFrame | None = None, with_inventory: bool = True,
-) -> tuple[DataFrame, list[str]]:
-    """All families on one profiled batch, with signatures.
+def profile_batch(
+    tables: dict[str, tuple[DataFrame, str | None]], dataset: str, batch_id: str, refs: References | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Profiles of one batch of some tables, keyed by the batch of the run, and their values.
 
-    ``values`` (see ``batch_values``) lets accepted values and spellings be judged
-    on all values. A sweep takes the inventory once, for all of its tables.
+    ``tables`` gives rows and batch column; a table without batches is profiled as
+    a whole. Values are those of the columns that the profile or a signed clause
+    judges by values, from the frequency table of the profile.
     """
-    def same_table(df: DataFrame) -> DataFrame:
-        return df.where(F.upper("table_name") == table_name.upper())
-
-    signed = same_table(C.in_force(refs.contracts)) if refs.contracts is not None else None
-
+    rows = {n: (batch_filter(df, by, batch_id if by else None), by) for n, (df, by) in tables.items()}
+    signed = _signed(refs) if refs is not None else None
+    also = signed.where(F.col("clause") == "accepted_values") if signed is not None else None
+    found, values = profile_tables(rows, dataset, also)
+    keyed = lambda df: df.withColumn("batch_id", F.lit(batch_id))
+    return stage(keyed(found), "profile"), stage(keyed(values), "values")
+
+
+def families(
+    spark: SparkSession, profile: DataFrame, values: DataFrame, names: list[str], dataset: str, batch_id: str, refs: References,
+) -> list[tuple[str, Callable[[], DataFrame | None]]]:
+    """The families that look at profiles, for all tables of ``names`` at once."""
     def schema():
         today = profile.select("table_name", "batch_id", "column_name")
         batches = today.select("table_name", "batch_id").distinct()
         history = spark.createDataFrame([], "table_name string, batch_id string, column_name string")
         if refs.schema_history is not None:
-            h = refs.schema_history
-            key = text.last_segment(F.col("table_name")) == text.last_segment(F.lit(table_name))
-            past = h.where(key & (F.col("batch_id") < batch_id))
-            latest = past.agg(F.max("batch_id").alias("batch_id"))
-            history = past.join(latest, "batch_id", "left_semi").select(
-                F.lit(table_name).alias("table_name"), F.lit(batch_id).alias("batch_id"), "column_name"
-            )
-        return D.schema_drift(today, D.schema_reference(history, signed, batches))
+            # the history names tables by their last segment
+            last = lambda df: df.withColumn("_last", text.last_segment(F.col("table_name")))
+            past = last(refs.schema_history.where(F.col("batch_id") < batch_id)).drop("table_name")
+            latest = past.groupBy("_last").agg(F.max("batch_id").alias("batch_id"))
+            history = past.join(latest, ["_last", "batch_id"], "left_semi").join(last(batches).select("table_name", "_last"), "_last").select(
+                "table_name", F.lit(batch_id).alias("batch_id"), "column_name")
+        return D.schema_drift(today, D.schema_reference(history, _signed(refs), batches))
 
     def contract():
-        return D.contract_violations(profile, signed, values) if signed is not None else None
+        return D.contract_violations(profile, _signed(refs), values) if refs.contracts is not None else None
 
     def statistical():
         if refs.metrics is None:
             return None
-        from limpid.sources.history import metric_history
-
-        series = metric_history(refs.metrics, dataset, table_name, before=batch_id)
-        return D.statistical(D.compare_to_series(profile_metrics(profile), series))
+        return D.statistical(D.compare_to_series(profile_metrics(profile), latest_series(refs.metrics, dataset, batch_id)))
 
     def semantic():
-        return D.semantic(profile) if values is None else D.semantic_full(values, profile, table_name)
+        return D.semantic_full(values, profile)
 
     def external():
-        if refs.verdicts is None:
-            return None
-        return D.external(refs.verdicts, batch_id, table_name)
-
-    families = [
-        ("schema", schema), ("contract", contract), ("statistical", statistical),
-        ("semantic", semantic), ("external", external),
-    ]
-    if with_inventory:
-        families.insert(0, ("inventory", lambda: sweep_inventory(registry, batch_id, refs)))
-    found, failures = D.detect(families, spark)
+        return D.external(refs.verdicts, batch_id, *names) if refs.verdicts is not None else None
+
+    return [("schema", schema), ("contract", contract), ("statistical", statistical), ("semantic", semantic), ("external", external)]
+
+
+def detect_batch(
+    spark: SparkSession, profile: DataFrame, values: DataFrame, names: list[str], dataset: str, batch_id: str,
+    registry: DataFrame, refs: References,
+) -> tuple[DataFrame, list[str]]:
+    """All families on one profiled batch of some tables, with signatures.
+
+    A family that fails is tried again table by table, so that one table's data
+    cost no other table its judgement.
+    """
+    found, failures = D.detect([
+        ("inventory", lambda: sweep_inventory(registry, batch_id, refs)),
+        *families(spark, profile, values, names, dataset, batch_id, refs),
+    ], spark)
+    failed = {f.split(":", 1)[0] for f in failures} - {"inventory"}
+    if failed and len(names) > 1:
+        failures = [f for f in failures if f.startswith("inventory:")]
+        for name in names:
+            own = F.col("table_name") == name
+            one = families(spark, profile.where(own), values.where(own), [name], dataset, batch_id, refs)
+            more, wrong = D.detect([f for f in one if f[0] in failed], spark)
+            found, failures = found.unionByName(more), failures + [f"{name}: {w}" for w in wrong]
     return D.with_signature(found), failures
 
 
@@ -162,34 +160,41 @@ def check_layer(
     spark: SparkSession, dataset: str, layer: str, batch_id: str, registry: DataFrame,
     resolve: Callable[[str], DataFrame], refs: References,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Profile and judge every declared table of a layer.
+    """Profile and judge every declared table of a layer, all of them in one plan.
 
     Returns profiles, anomalies and failures. The inventory is taken once and
     speaks for tables that are not there; a table that fails is reported and the
-    sweep goes on; a layer without tables is an error.
+    sweep goes on; a layer without tables is an error. If the common plan fails,
+    the tables are profiled one by one to find out which of them does.
     """
     tables = registry.where((F.col("dataset") == dataset) & (F.col("layer") == layer)).collect()
     if not tables:
         raise ValueError(f"no table declared in layer {layer!r} of {dataset!r}")
-    own = registry.where(F.col("dataset") == dataset)
-    found, failures = D.detect([("inventory", lambda: sweep_inventory(own, batch_id, refs))], spark)
-    profiles, anomalies = [], [D.with_signature(found)]
+    failures, rows = [], {}
     for t in tables:
-        name = t["table_name"]
         try:
-            rows = resolve(name)
-            p = profile_batch(rows, name, dataset, t["batch_column"], batch_id)
-            signed = C.in_force(refs.contracts) if refs.contracts is not None else None
-            values = batch_values(rows, p, name, t["batch_column"], batch_id, signed)
-            a, failed = detect_batch(spark, p, name, dataset, batch_id, registry, refs, values, with_inventory=False)
+            df = resolve(t["table_name"])
+            batch_filter(df, t["batch_column"], batch_id)
+            rows[t["table_name"]] = df, t["batch_column"]
         except Exception as exc:  # noqa: BLE001 - reported
-            failures.append(f"{name}: {type(exc).__name__}: {exc}")
-            continue
-        profiles.append(p)
-        anomalies.append(a)
-        failures += [f"{name}: {f}" for f in failed]
-    union = lambda fs, s: reduce(DataFrame.unionByName, fs) if fs else spark.createDataFrame([], s)
-    return union(profiles, schemas.PROFILE_COLUMN), union(anomalies, None), failures
+            failures.append(f"{t['table_name']}: {type(exc).__name__}: {exc}")
+    profiled = []
+    try:
+        profiled = [profile_batch(rows, dataset, batch_id, refs)] if rows else []
+    except Exception:  # noqa: BLE001 - found and reported below
+        for name, one in list(rows.items()):
+            try:
+                profiled.append(profile_batch({name: one}, dataset, batch_id, refs))
+            except Exception as exc:  # noqa: BLE001 - reported
+                del rows[name]
+                failures.append(f"{name}: {type(exc).__name__}: {exc}")
+    own = registry.where(F.col("dataset") == dataset)
+    if not profiled:
+        found, wrong = D.detect([("inventory", lambda: sweep_inventory(own, batch_id, refs))], spark)
+        return spark.createDataFrame([], schemas.PROFILE_COLUMN), D.with_signature(found), failures + wrong
+    profiles, values = (reduce(DataFrame.unionByName, frames) for frames in zip(*profiled))
+    anomalies, wrong = detect_batch(spark, profiles, values, list(rows), dataset, batch_id, own, refs)
+    return profiles, anomalies, failures + wrong
 
 
 def proposals(
@@ -308,8 +313,6 @@ def verify_batch(
     batch_column: str | None, batch_id: str, registry: DataFrame, refs: References,
 ) -> DataFrame:
     """Measure and judge the corrected batch again, against the same references."""
-    p = profile_batch(corrected, table_name, dataset, batch_column, batch_id)
-    signed = C.in_force(refs.contracts) if refs.contracts is not None else None
-    values = batch_values(corrected, p, table_name, batch_column, batch_id, signed)
-    after, _ = detect_batch(spark, p, table_name, dataset, batch_id, registry, refs, values)
+    p, values = profile_batch({table_name: (corrected, batch_column)}, dataset, batch_id, refs)
+    after, _ = detect_batch(spark, p, values, [table_name], dataset, batch_id, registry, refs)
     return corrections.verify(before, after)

@@ -35,14 +35,18 @@ def configured_folder(spark: SparkSession) -> str | None:
 
 
 def use_folder(path: str) -> None:
-    """Name the shared folder for sessions that are started without ``spark.checkpoint.dir``, as tests are."""
+    """Name the folder for local sessions that are started without ``spark.checkpoint.dir``, as tests are.
+
+    A cluster's session is never given one: it has to name a folder that all executors reach.
+    """
     global _FOLDER
     _FOLDER = path
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder shared by all executors: the cluster's setting, else what ``use_folder`` named."""
-    shared = configured_folder(spark) or _FOLDER
+    """Folder shared by all executors: the cluster's setting, else, within one machine, what ``use_folder`` named."""
+    local = spark.sparkContext.master.startswith("local")
+    shared = configured_folder(spark) or (_FOLDER if local else None)
     if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return os.path.join(shared, "limpid", spark.sparkContext.applicationId)

@@ -67,6 +67,18 @@ def metric_history(
     )
 
 
+def latest_series(metrics: DataFrame, dataset: str, before: str, batches: int = V.HISTORY_WINDOW) -> DataFrame:
+    """``metric_history`` of all tables at once: each by its own latest batches before one.
+
+    The window runs over the batches of a table, one row each.
+    """
+    rows = metrics.where((F.col("dataset") == dataset) & (F.col("batch_id") < before))
+    newest = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc("batch_id")))
+    kept = rows.select("table_name", "batch_id").distinct().withColumn("no", newest).where(F.col("no") <= batches).drop("no")
+    return rows.join(kept, ["table_name", "batch_id"], "left_semi").groupBy("dataset", "table_name", "column_name", "metric").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("batch_id", "value"))), lambda s: s["value"]).alias("series"))
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Replace the metrics of the batches written, never append to them."""
     write_batches(metrics, path, "dataset", "table_name", "batch_id")

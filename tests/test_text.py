@@ -45,6 +45,9 @@ def test_number_and_date_readers(spark):
     dates = ["2018-04-29", "2018-04-29 10:56:33", "2018-04-29T10:56", "2018-04-29T10:56:33.000Z",
              "2018-04-29 10:56:33+01:00", "20180429", "2018-04", "N/A", None, " 2018-04-29 "]
     assert results(column(spark, dates), text.reads_as_date(F.col("v"))) == [True] * 5 + [False] * 4 + [True]
+    more = ["2018-04-29 10:56:33.5-0230", "2018-04-29 10:56Z", "2018-04-29 10", "2018-04-29T", "2018-4-29", "2018-13-01",
+            "2018-04-29x10:56", "2018-04-29 25:00", "18-04-2018 ", "12018-04-29", "2018-04-29 10:56 tomorrow"]
+    assert results(column(spark, more), text.reads_as_date(F.col("v"))) == [True, True] + [False] * 9
 
 
 def test_fraction_looks_at_the_value(spark):
