@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from limpid.catalogue import (  # noqa: F401
-        corruption, detection, governance, marts, profiles, sources, spelling,
+        corruption, detection, governance, marts, profiles, rounds, sources, spelling,
     )

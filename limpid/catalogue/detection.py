@@ -299,20 +299,3 @@ def semantic_full_by_source(spark, d):
     return D.semantic_full(freq, facts.withColumn("role", F.lit("categorical")), "RAW.DOCUMENTS").select(
         "batch_id", "reference", "magnitude"
     )
-
-
-@query("anomalies_by_family", f"""
-WITH {SQL_DAMAGED}
-SELECT 'contract' AS family, count(*) AS anomalies FROM viol
-UNION ALL SELECT 'semantic', count(*) FROM (
-  SELECT b FROM (SELECT DISTINCT b, event_type FROM dm WHERE event_type IS NOT NULL)
-  GROUP BY b, {t.sql_fold('event_type')} HAVING count(*) > 1) HAVING count(*) > 0
-""")
-def anomalies_by_family(spark, d):
-    """The contract and the spelling family on the same daily profiles."""
-    p = damaged_profile(spark, d)
-    found, _ = D.detect([
-        ("contract", lambda: D.contract_violations(p, event_contract(spark, d))),
-        ("semantic", lambda: D.semantic(p)),
-    ], spark)
-    return D.count_by_family(found)

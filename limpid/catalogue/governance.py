@@ -392,16 +392,24 @@ def system_overview(spark, d):
 
 
 @query("run_evidence", f"""
-WITH {SQL_SIGNED} SELECT b AS batch_id, max(n) AS row_count, CAST(5 AS BIGINT) AS "columns",
-  CAST(count(*) AS INTEGER) AS anomalies, CAST(1 AS INTEGER) AS contract_version FROM sg GROUP BY 1
+WITH {SQL_SIGNED}, past AS (
+  SELECT x.b, y.b AS p, {SQL_DECISION.replace("b <", "y.b <")} AS decision FROM (SELECT DISTINCT b, signature FROM sg) x
+  JOIN (SELECT DISTINCT b, signature FROM sg) y ON x.signature = y.signature AND y.b < x.b),
+near AS (SELECT DISTINCT b, p, decision FROM past WHERE decision IS NOT NULL),
+three AS (SELECT b, string_agg(p || ':' || decision || ':steward', ',' ORDER BY p DESC) AS told FROM (
+  SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC) AS r FROM near) WHERE r <= 3 GROUP BY b)
+SELECT sg.b AS batch_id, max(n) AS row_count, CAST(5 AS BIGINT) AS "columns", '_batch_id,event_id,event_type,user_id,value' AS column_names,
+  string_agg(signature, ',' ORDER BY signature) AS anomalies, CAST(1 AS INTEGER) AS contract_version, any_value(told) AS past_decisions
+FROM sg LEFT JOIN three ON three.b = sg.b GROUP BY 1
 """)
 def run_evidence(spark, d):
-    p = damaged_profile(spark, d)
-    contract = event_contract(spark, d)
-    a = D.with_signature(D.contract_violations(p, contract))
-    return M.evidence(a, p, contract).select(
-        "batch_id", "row_count", "columns", F.size("anomalies").alias("anomalies"), "contract_version"
-    )
+    """All that a reader of a run gets, with the newest decisions about the same signatures."""
+    found = signed_anomalies(spark, d)
+    told = M.evidence(found, damaged_profile(spark, d), event_contract(spark, d), incidents=incidents(spark, d, found))
+    return told.select(
+        "batch_id", "row_count", "columns", F.array_join("column_names", ",").alias("column_names"),
+        F.array_join(F.transform("anomalies", lambda a: a["signature"]), ",").alias("anomalies"), "contract_version",
+        F.array_join(F.transform("similar", lambda s: F.concat_ws(":", s["batch_id"], s["human_decision"], s["decided_by"])), ",").alias("past_decisions"))
 
 
 # --- impact ------------------------------------------------------------------
@@ -529,25 +537,30 @@ def unobserved_targets(spark, d):
 
 @query("refused_corrections", """
 WITH v AS (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)
-SELECT upper(event_type) AS target, 'invented' AS reason FROM v
+SELECT upper(event_type) AS target, 'normaliser' AS gesture, 'the value was never observed in the column' AS reason FROM v
+UNION ALL SELECT event_type, 'remplacer', 'not one of the permitted gestures' FROM v
+UNION ALL SELECT event_type, 'mettre_a_null', 'a correction acts on rows; a column is transformed in its model' FROM v
 """)
 def refused_corrections(spark, d):
-    """Per event type: one honest target, one invented, one by a person."""
-    p = damaged_profile(spark, d)
-    found = D.contract_violations(p, event_contract(spark, d))
+    """Per event type one correction of every kind that is refused, beside honest ones and one by a person."""
+    found = signed_anomalies(spark, d)
     values = t.read(spark, d, "events").select("event_type").where(F.col("event_type").isNotNull()).distinct()
-    base = values.select(
+    honest = values.select(
         F.lit("RAW.EVENTS").alias("table_name"), F.lit("event_type").alias("column_name"),
         F.lit("normaliser").alias("gesture"), F.col("event_type").alias("target"),
         F.lit(False).alias("whole_column"), F.lit(False).alias("by_person"),
     )
-    invented = base.withColumn("target", F.upper("target"))
-    wanted = base.unionByName(invented).unionByName(invented.withColumn("by_person", F.lit(True)))
-    observed = values.select(
-        F.lit("RAW.EVENTS").alias("table_name"), F.lit("event_type").alias("column_name"),
-        F.col("event_type").alias("value"),
-    )
-    return K.refusals(wanted, found, observed).select("target", F.lit("invented").alias("reason"))
+    invented = honest.withColumn("target", F.upper("target"))
+    wanted = honest
+    for more in (
+        invented, invented.withColumn("by_person", F.lit(True)), honest.withColumn("gesture", F.lit("remplacer")),
+        honest.withColumn("gesture", F.lit("mettre_a_null")), honest.withColumn("gesture", F.lit("mettre_a_null")).withColumn("whole_column", F.lit(True)),
+        # a column that no anomaly names is marked, not written
+        invented.withColumn("column_name", F.lit("props")),
+    ):
+        wanted = wanted.unionByName(more)
+    observed = honest.select("table_name", "column_name", F.col("target").alias("value"))
+    return K.refusals(wanted, found, observed).select("target", "gesture", "reason")
 
 
 @query("default_gestures", f"""

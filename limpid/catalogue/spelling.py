@@ -135,11 +135,12 @@ def declared_repair(spark, d):
     )
 
 
-@query("hidden_duplicates_words", f"""
-WITH {t.SQL_WORDS}, c AS (SELECT word AS value, count(*) AS n FROM w GROUP BY 1),
-s AS (SELECT value, trim(regexp_replace(value, '[^\\x00-\\x7F]', '', 'g'), ' ') AS stripped, n FROM c
-      WHERE regexp_matches(value, '[^\\x00-\\x7F]'))
-SELECT s.value, s.stripped, s.n FROM s JOIN c ON s.stripped = c.value
+@query("hidden_duplicates_words", """
+SELECT value, stripped, CAST(sum(n) FILTER (own) AS BIGINT) AS n FROM (
+  SELECT word AS value, trim(regexp_replace(word, '[^\\x00-\\x7F]', '', 'g'), ' ') AS stripped, true AS own, count(*) AS n
+  FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS word FROM documents) WHERE regexp_matches(word, '[^\\x00-\\x7F]') GROUP BY 1
+  UNION ALL SELECT NULL, word, false, 1 FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS word FROM documents) WHERE word <> '')
+GROUP BY GROUPING SETS ((stripped, value)) QUALIFY value IS NOT NULL AND bool_or(value IS NULL) OVER (PARTITION BY stripped)
 """)
 def hidden_duplicates_words(spark, d):
     return collisions.hidden_duplicates(collisions.value_counts(t.words(spark, d), "word"))

@@ -180,13 +180,39 @@ def overview(
     )
 
 
+def past_of_runs(anomalies: DataFrame, incidents: DataFrame, maximum: int = 3) -> DataFrame:
+    """(table_name, batch_id, similar): per run the newest decided incidents before it that share a signature.
+
+    The join is by signature, each once per run and once per incident; of the
+    incidents of a run no more than ``maximum`` are kept before they are collected.
+    """
+    keys = ["table_name", "batch_id"]
+    decided = incidents.where(F.col("human_decision").isNotNull())
+    said = decided.select(
+        "incident_id", "run_ts", F.col("batch_id").alias("_past"), "human_decision", "decided_by",
+        shorten(F.get_json_object("diagnosis", "$.root_cause")).alias("root_cause"), shorten(F.col("proposed_fix")).alias("proposed_fix"),
+    )
+    shared = anomalies.select(*keys, "signature").distinct().join(
+        decided.select("incident_id", F.col("batch_id").alias("_past"), F.explode(F.array_distinct("signatures")).alias("signature")), "signature"
+    ).where(F.col("_past") < F.col("batch_id")).select(*keys, "incident_id").distinct()
+    newest = Window.partitionBy(*keys).orderBy(F.desc("run_ts"), F.desc("incident_id"))
+    ranked = shared.join(said, "incident_id").withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= maximum)
+    one = F.struct("_rn", F.col("_past").alias("batch_id"), "root_cause", "proposed_fix", "human_decision", "decided_by")
+    return ranked.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(one)), lambda s: s.dropFields("_rn")).alias("similar"))
+
+
 def evidence(
-    anomalies: DataFrame, profile: DataFrame, contracts: DataFrame, layer: str = "bronze"
+    anomalies: DataFrame, profile: DataFrame, contracts: DataFrame, layer: str = "bronze", incidents: DataFrame | None = None,
 ) -> DataFrame:
-    """What a reader of one run gets: aggregates only, chosen field by field."""
+    """What a reader of one run gets: aggregates only, chosen field by field.
+
+    With ``incidents`` also what was decided before about the same signatures.
+    """
     keys = ["table_name", "batch_id"]
     shape = profile.groupBy(*keys).agg(
-        F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("columns")
+        F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("columns"),
+        F.sort_array(F.collect_set("column_name")).alias("column_names"),
     )
     found = anomalies.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("signature", "family", "observed", "reference", "dama"))).alias("anomalies")
@@ -194,8 +220,5 @@ def evidence(
     version = contracts.where(F.col("status") == "approved").groupBy("table_name").agg(
         F.max("version").alias("contract_version")
     )
-    return (
-        found.join(shape, keys)
-        .join(version, "table_name", "left")
-        .withColumn("layer", F.lit(layer))
-    )
+    out = found.join(shape, keys).join(version, "table_name", "left").withColumn("layer", F.lit(layer))
+    return out if incidents is None else out.join(past_of_runs(anomalies, incidents), keys, "left")
