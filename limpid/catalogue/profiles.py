@@ -52,10 +52,7 @@ def _sql_facts(table: str, batch: str = "'*'", source: str | None = None) -> str
 
 def _facts(df: DataFrame, table: str, batch_column: str | None = None) -> DataFrame:
     columns = [c.split(":")[0] for c in TABLES[table]]
-    freq = P.frequency_table(df, columns, batch_column, P.DIGEST_OVER)
-    return P.with_distinct(P.column_bounds(df, columns, batch_column), freq).withColumn(
-        "table_name", F.lit(table)
-    )
+    return P.measured(df, columns, batch_column).withColumn("table_name", F.lit(table))
 
 
 def _shown(facts: DataFrame) -> DataFrame:
@@ -216,7 +213,7 @@ def robust_stats_written_numbers(spark, d):
 
 
 def _sql_role() -> str:
-    rows = " UNION ALL ".join(_sql_facts(x) for x in TABLES if x != "documents")
+    rows = " UNION ALL ".join(_sql_facts(x) for x in TABLES)
     number = lambda x: f"(translate({x}, '0123456789+-.eE', '') = '' AND TRY_CAST({x} AS DOUBLE) IS NOT NULL)"
     date = lambda x: f"(TRY_CAST({x} AS TIMESTAMP) IS NOT NULL AND {x}[5] = '-' AND length({x}) >= 10)"
     return f"""
@@ -235,7 +232,7 @@ SQL_ROLES = _sql_role()
 
 @query("roles", SQL_ROLES)
 def roles(spark, d):
-    facts = [_facts(t.read(spark, d, x), x) for x in TABLES if x != "documents"]
+    facts = [_facts(t.read(spark, d, x), x) for x in TABLES]
     return P.classify(reduce(DataFrame.unionByName, facts)).select("table_name", "column_name", "role")
 
 

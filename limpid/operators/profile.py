@@ -164,6 +164,38 @@ def with_distinct(bounds: DataFrame, freq: DataFrame, keys: tuple[str, ...] = ("
     )
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None) -> DataFrame:
+    """``(batch_id, column_name, distinct)`` of all columns, by 128 bits of hash per value.
+
+    Where only the number of values counts, as for keys and free texts, no value is
+    spelled out or shuffled: a value is two whole numbers, whatever its length, and
+    one row per distinct value and task. Both zeros are one value.
+    """
+    columns = columns or list(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def value(c: str) -> str:
+        name = _sql_name(c)
+        if isinstance(types[c], (T.DoubleType, T.FloatType)):
+            return f"IF({name} = 0, CAST(0 AS {types[c].simpleString()}), {name})"
+        return name if isinstance(types[c], T.AtomicType) else f"CAST({name} AS STRING)"
+
+    entries = ", ".join(
+        f"struct({i + 1} AS _c, {_sql_name(c)} IS NOT NULL AS _filled, xxhash64({value(c)}) AS _h1, xxhash64(1L, {value(c)}) AS _h2)"
+        for i, c in enumerate(columns))
+    cells = df.select(_batch(df, batch_column).alias("batch_id"), F.expr(f"inline(array({entries}))")).where("_filled")
+    names = F.array(*[F.lit(c) for c in columns])
+    found = cells.select("batch_id", "_c", "_h1", "_h2").distinct().groupBy("batch_id", "_c").agg(F.count(F.lit(1)).alias("distinct"))
+    return found.select("batch_id", F.element_at(names, F.col("_c")).alias("column_name"), "distinct")
+
+
+def measured(df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None) -> DataFrame:
+    """Counts, bounds and exact distinct counts of columns: all that their roles need."""
+    counted = distinct_counts(df, columns, batch_column)
+    return column_bounds(df, columns, batch_column).join(counted, ["batch_id", "column_name"], "left").withColumn(
+        "distinct", F.coalesce("distinct", F.lit(0).cast("long")))
+
+
 def approximate_distinct(
     df: DataFrame, columns: list[str] | None = None, batch_column: str | None = None,
     error: float = 0.05,
@@ -425,37 +457,33 @@ def profile_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """The records of any number of tables from one frequency table, and that table's values.
 
-    ``tables`` gives rows and batch column by name. The frequency table and the
-    roles are written once for all of them, so the number of jobs does not depend
-    on the number of tables; frequent values are then taken only of categorical
-    columns and robust statistics only of numeric ones. The second frame holds
+    ``tables`` gives rows and batch column by name. Roles are found and written
+    once for all of them, so the number of jobs does not depend on the number of
+    tables; values are then counted of categorical and numeric columns only, for
+    frequent values and robust statistics. The second frame holds
     ``(table_name, batch_id, column_name, value, n)`` of the categorical columns
     and of those that ``also`` (``table_name, column_name``) names.
     """
     keys = ["table_name", "batch_id", "column_name"]
     tagged = lambda df, name: df.withColumn("table_name", F.lit(name))
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    freq = stage(union([tagged(frequency_table(rows, None, by, DIGEST_OVER), n) for n, (rows, by) in tables.items()]), "frequency")
-    bounds = union([tagged(column_bounds(rows, None, by), n) for n, (rows, by) in tables.items()])
-    facts = stage(freshness(classify(with_distinct(bounds, freq, tuple(keys)))), "facts")
+    facts = union([tagged(measured(rows, None, by), n) for n, (rows, by) in tables.items()])
+    facts = stage(freshness(classify(facts)), "facts")
 
-    listed = None
+    judged = facts.where(F.col("role") == "categorical").select(*keys)
     if also is not None:
         listed = also.select(F.upper("table_name").alias("_t"), F.upper("column_name").alias("_c")).distinct()
-    named = (F.upper("table_name") == F.col("_t")) & (F.upper("column_name") == F.col("_c"))
-    judged = facts.where(F.col("role") == "categorical").select(*keys)
-    if listed is not None:
+        named = (F.upper("table_name") == F.col("_t")) & (F.upper("column_name") == F.col("_c"))
         judged = judged.unionByName(facts.join(listed, named, "left_semi").select(*keys)).distinct()
-    # columns that are judged or measured by their values, not by digests of long texts
-    by_value = judged.unionByName(facts.where(F.col("role") == "numeric").select(*keys)).distinct()
-    long = facts.where(F.col("max_length") > DIGEST_OVER).join(by_value, keys, "left_semi").select("table_name", "column_name").distinct()
-    again: dict[str, list[str]] = {}
-    for r in long.collect():
-        again.setdefault(r["table_name"], []).append(r["column_name"])
-    if again:
-        counted = reduce(Column.__or__, [(F.col("table_name") == n) & F.col("column_name").isin(c) for n, c in again.items()])
-        freq = union([freq.where(~counted), *[
-            tagged(frequency_table(tables[n][0], c, tables[n][1]), n) for n, c in again.items()]])
+    # the driver reads column names; keys, moments and free texts are never spelled out
+    spelled = judged.select("table_name", "column_name").unionByName(
+        facts.where(F.col("role") == "numeric").select("table_name", "column_name")).distinct()
+    wanted: dict[str, list[str]] = {}
+    for r in spelled.collect():
+        wanted.setdefault(r["table_name"], []).append(r["column_name"])
+    counted = [tagged(frequency_table(tables[n][0], sorted(c), tables[n][1]), n) for n, c in wanted.items()]
+    nothing = facts.sparkSession.createDataFrame([], "batch_id string, column_name string, value string, n bigint, table_name string")
+    freq = stage(union(counted), "frequency") if counted else nothing
 
     categorical = facts.where(F.col("role") == "categorical").select(
         *keys, adaptive_k(F.col("distinct")).cast("int").alias("k")
