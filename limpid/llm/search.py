@@ -2,7 +2,8 @@
 
 Documents are dealt to shards of a fixed text size. A shard's index has, per term,
 postings in document order cut into blocks of ``BLOCK_DOCS`` documents, each with
-its largest impact. For a query, the summed block maxima bound what any document
+its largest impact (32 bits, rounded up; scores are computed in 64 from counts and
+lengths). For a query, the summed block maxima bound what any document
 of a block can score; blocks are scored from the highest bound down, and those
 whose bound is below the k-th best score so far are skipped. Every shard returns
 its best k by global statistics (documents, mean length, document frequencies),
@@ -12,8 +13,8 @@ Terms are words of the shared word rule, held as 64-bit hashes (XXH64). A query
 a whole text; a term counts as often as the query has it. Ties in score go to the
 smaller id, a null id first.
 
-Defined cases: null and empty texts have no terms, are found by no query and find
-nothing; repeated documents are found each; queries that repeat id and text are
+Defined cases: null, empty and wordless texts have no terms, are found by no query
+and find nothing, also where a shard holds no others; repeated documents are found each; queries that repeat id and text are
 one query; fewer than k documents with a common term give fewer rows; an empty
 table gives an empty result; only the id and the text are read.
 """
@@ -97,30 +98,37 @@ class ShardIndex:
     def __init__(self, mean_words: float):
         self.mean = mean_words
         self.ids: list[int] = []
+        self.lengths: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, ids: list[int], counted: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
         base, sizes = len(self.ids), [len(t) for t, _, _ in counted]
         self.ids += ids
-        tf = np.concatenate([n for _, n, _ in counted]).astype(np.float64)
-        length = np.repeat([w for _, _, w in counted], sizes)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+        self.lengths += [w for _, _, w in counted]
         doc = np.repeat(np.arange(base, base + len(ids), dtype=np.int32), sizes)
-        self.parts.append((np.concatenate([t for t, _, _ in counted]), doc, impact.astype(np.float32)))
+        self.parts.append((np.concatenate([t for t, _, _ in counted]), doc, np.concatenate([n for _, n, _ in counted]).astype(np.int32)))
+
+    def impacts(self, doc: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """What each posting adds to a score, per unit of the query's weight."""
+        return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def close(self) -> "ShardIndex":
-        term, doc, impact = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        term, doc, tf = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
         self.parts = []
+        self.norm = K1 * (1 - B + B * np.array(self.lengths, dtype=np.float64) / self.mean)
+        self.id_array = np.array(self.ids, dtype=np.int64)
         order = np.argsort(term, kind="stable")  # documents stay in order inside a term
-        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        term, self.doc, self.tf = term[order], doc[order], tf[order]
         block = self.doc // BLOCK_DOCS
-        new_term = np.concatenate([[True], term[1:] != term[:-1]])
-        entry = np.flatnonzero(new_term | np.concatenate([[True], block[1:] != block[:-1]]))
+        changed = lambda x: np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
+        new_term = changed(term)
+        entry = np.flatnonzero(new_term | changed(block))
         self.entry_at = np.append(entry, len(term))  # postings of an entry (term and block)
-        self.entry_block, self.entry_max = block[entry], np.maximum.reduceat(self.impact, entry)
+        largest = np.maximum.reduceat(self.impacts(self.doc, self.tf), entry) if len(entry) else np.zeros(0)
+        self.entry_block, self.entry_max = block[entry], np.nextafter(largest.astype(np.float32), np.float32(np.inf))
         starts = np.flatnonzero(new_term)
         self.terms, self.term_at = term[starts], np.append(np.searchsorted(entry, starts), len(entry))
-        self.id_array, self.blocks = np.array(self.ids, dtype=np.int64), int(block.max()) + 1
+        self.blocks = int(block.max(initial=-1)) + 1
         return self
 
     @staticmethod
@@ -129,6 +137,8 @@ class ShardIndex:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k documents."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         here = self.terms[at] == terms
@@ -154,7 +164,8 @@ class ShardIndex:
             e = entries[pick]
             size = self.entry_at[e + 1] - self.entry_at[e]
             posting = self._ranges(self.entry_at[e], size)
-            total = np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight[pick], size), minlength=0)
+            doc = self.doc[posting]
+            total = np.bincount(doc, weights=self.impacts(doc, self.tf[posting]) * np.repeat(weight[pick], size))
             hit = np.flatnonzero(total > 0)
             found, scores = np.concatenate([found, self.id_array[hit]]), np.concatenate([scores, total[hit]])
             best = np.lexsort((found, -scores))[:k]
@@ -172,7 +183,8 @@ def _search_shards(mean_words: float, k: int):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for part in byte_slices(batch, "text", 4 << 20):
-                rows = part.to_pydict()
+                # the terms of a query stay in their buffers
+                rows, asked, weights = part.select(["shard", "kind", "id", "row", "text"]).to_pydict(), part.column("terms"), part.column("weights")
                 cut = [i for i in range(part.num_rows) if i == 0 or (rows["shard"][i], rows["kind"][i]) != (rows["shard"][i - 1], rows["kind"][i - 1])]
                 for a, b in zip(cut, [*cut[1:], part.num_rows]):
                     if rows["shard"][a] != shard:
@@ -184,7 +196,7 @@ def _search_shards(mean_words: float, k: int):
                         index.close()
                         closed = True
                     for i in range(a, b) if closed else ():
-                        ids, scores = index.search(np.array(rows["terms"][i], dtype=np.int64).view(np.uint64), np.array(rows["weights"][i]), k)
+                        ids, scores = index.search(asked[i].values.to_numpy().view(np.uint64), weights[i].values.to_numpy(), k)
                         out[0] += [rows["id"][i]] * len(ids)
                         out[1] += [rows["row"][i]] * len(ids)
                         out[2] += [None if x == NO_ID else x for x in ids.tolist()]
