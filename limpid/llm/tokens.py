@@ -1,7 +1,8 @@
 """Byte-level BPE of whole texts, and back.
 
 ``encode`` appends the ids as packed little-endian unsigned 32-bit integers,
-``decode`` turns packed ids into bytes. Both are maps without a shuffle; a task
+``decode`` turns packed ids into bytes, ``encode_and_decode`` does both in one
+pass. All are maps without a shuffle; a task
 holds a few megabytes of texts at a time and a bounded memory of pieces.
 Appends and edits of single texts: ``prefix_bpe.EncodedText``.
 
@@ -37,6 +38,24 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     return map_texts(docs, text, [StructField(output, BinaryType())], start)
 
 
+def encode_and_decode(
+    docs: DataFrame, ranks: str | None = None, pattern: str | None = None, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+) -> DataFrame:
+    """The packed ids of every text, and the bytes that these give back."""
+    ranks, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+
+    def start():
+        made = encoder(ranks, pattern)
+
+        def both(texts: list[str]) -> list[list[bytes]]:
+            packed = made.pack_all(texts)
+            return [packed, [made.unpack(x) for x in packed]]
+
+        return both
+
+    return map_texts(docs, text, [StructField(ids, BinaryType()), StructField(decoded, BinaryType())], start)
+
+
 def decode(rows: DataFrame, ranks: str | None = None, pattern: str | None = None, ids: str = "ids", output: str = "decoded") -> DataFrame:
     ranks, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
     kept = [f for f in rows.schema.fields if f.name.lower() != output.lower()]

@@ -77,6 +77,8 @@ def test_query_equals_the_library(spark, sf, docs, library):
 
 def test_edges(edge, nothing, library):
     rows = tokens.decode(tokens.encode(edge)).collect()
+    key = lambda r: (str(r.doc_id), str(r.text))
+    assert sorted(tokens.encode_and_decode(edge).collect(), key=key) == sorted(rows, key=key)
     assert len(rows) == edge.count()
     for r in rows:
         assert bytes(r.ids) == packed(library.encode_ordinary(r.text or "")) and bytes(r.decoded) == (r.text or "").encode()
