@@ -43,8 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids of every text, with the digest of what they decode to."""
-    coded = tokens.encode(docs.select("doc_id", "text")).drop("text")
-    return tokens.decode(coded).select(
+    return tokens.encode_and_decode(docs.select("doc_id", "text")).select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
