@@ -13,7 +13,9 @@ Every string of ``width`` bytes is judged; none crosses a document. Four steps:
    sorted by external induced sorting (``induced.py``); neighbours that agree in
    ``width`` bytes are one string, and the smallest document of a string decides
    for all its places.
-4. *Removal.* Covered ranges are gathered per row and cut out.
+4. *Removal.* Covered ranges are gathered per row and cut out. What buckets and
+   shards say of rows travels in packed blocks per range of rows, and one record
+   per row comes out.
 
 Work follows the text: a passage that a million documents hold is one stretch in
 its shard, with one small record per place. Buckets and shards grow in number,
@@ -45,6 +47,8 @@ SEED_BYTES = 16
 # text bytes per hash bucket and stretch bytes per shard, about
 BUCKET_TEXT = 16 << 20
 SHARD_BYTES = 3 << 19
+# text bytes whose seeds and ranges a task brings together by row, about
+PART_TEXT = 64 << 20
 # bytes of text for which a task holds rolling hashes at a time
 SLICE = 3 << 19
 # strings whose places are judged at a time
@@ -166,6 +170,33 @@ def _by_row(rows: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(rows[cuts]), *lists], names=[ROW, "first", "last"][:1 + len(columns)])
 
 
+def _by_part(rows: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch | None:
+    """One packed record per part of the rows, so that records do not grow as rows times groups."""
+    if not len(rows):
+        return None
+    part = (rows.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    blocks = [(k, *map(_packed, packed)) for k, *packed in _blocks(part, rows, *(c.astype(np.int32) for c in columns))]
+    names = ["part", "rows", "first", "last"][:2 + len(columns)]
+    return _batch(blocks, pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in names]))
+
+
+def _to_rows(*names: str):
+    """Blocks of a part to one record per row, with all that any group found of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in _grouped(batches, "part"):
+            made = _by_row(_plain(blocks, "rows", np.int64), *(_plain(blocks, n, np.int32) for n in names))
+            if made is not None:
+                yield made
+
+    return run
+
+
+def _gathered(blocks: DataFrame, parts: int, *names: str) -> DataFrame:
+    """(row, lists): the blocks of all groups brought together by row."""
+    met = blocks.repartition(min(parts, MOST_PARTS), "part").sortWithinPartitions("part")
+    return met.mapInArrow(tidy(_to_rows(*names)), ", ".join([f"{ROW} long", *(f"{n} array<int>" for n in names)]))
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
     """Blocks of one key after the other, from rows sorted by it."""
     held, now = [], None
@@ -180,7 +211,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def _shared_seeds():
+def _shared_seeds(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in _grouped(batches, "bucket"):
             raw = np.frombuffer(b"".join(b["hashes"] for b in blocks), np.uint8).reshape(-1, 5)
@@ -193,7 +224,7 @@ def _shared_seeds():
             cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             shared = np.minimum.reduceat(rows, cuts) != np.maximum.reduceat(rows, cuts)
             keep = np.repeat(shared, np.diff(np.append(cuts, len(h))))
-            made = _by_row(rows[keep], places[keep])
+            made = _by_part(rows[keep], parts, places[keep])
             if made is not None:
                 yield made
 
@@ -258,7 +289,7 @@ def string_owners(stretches: list[bytes], least_id: np.ndarray, width: int) -> t
     return of_place, starts
 
 
-def _covered(width: int):
+def _covered(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in _grouped(batches, "shard"):
             known: dict[bytes, int] = {}
@@ -298,7 +329,7 @@ def _covered(width: int):
                 after = np.concatenate([gone[1:], [False]]) & (inside + 1 < n[stretch])
                 begin, end = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
                 own = at[here].astype(np.int64)
-                made = _by_row(rows[here][stretch[begin]], own[stretch[begin]] + inside[begin], own[stretch[end]] + inside[end] + width)
+                made = _by_part(rows[here][stretch[begin]], parts, own[stretch[begin]] + inside[begin], own[stretch[end]] + inside[end] + width)
                 if made is not None:
                     yield made
 
@@ -310,19 +341,20 @@ def covered_ranges(docs: DataFrame, id_column: str, text: str, row: str, width:
     if width < SEED_BYTES + 8:
         raise ValueError(f"strings of {SEED_BYTES + 8} bytes at least")
     able = docs.where(F.col(id_column).isNotNull() & (F.octet_length(text) >= width))
-    buckets = max(1, -(-(able.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_TEXT))
+    held_bytes = able.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets, parts = (max(1, -(-held_bytes // size)) for size in (BUCKET_TEXT, PART_TEXT))
     blocks = able.select(F.col(text).alias("text"), F.col(row).alias(ROW)).mapInArrow(tidy(_seed_blocks(width, buckets)), "bucket int, hashes binary, rows binary, places binary"
     )
-    seeds = blocks.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shared_seeds()), f"{ROW} long, first array<int>")
-    shared = stage(seeds.groupBy(ROW).agg(F.flatten(F.collect_list("first")).alias("places")), "dedup-seeds")
+    seeds = blocks.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shared_seeds(parts)), "part int, rows binary, first binary")
+    shared = stage(_gathered(seeds, parts, "first").withColumnRenamed("first", "places"), "dedup-seeds")
     stretch = (shared.agg(F.sum(F.size("places"))).first()[0] or 0) * (width + 18)
     shards = max(1, -(-stretch // SHARD_BYTES))
     # all rows in the caller's form, so that this shuffle of the texts also serves the join with the ranges
     met = docs.join(shared.withColumnRenamed(ROW, row), row).select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(row).alias(ROW), "places")
     held = met.mapInArrow(tidy(_stretch_blocks(width, shards)), "shard int, sizes binary, ids binary, rows binary, at binary, body binary")
-    found = held.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_covered(width)), f"{ROW} long, first array<int>, last array<int>"
-    )
-    return found.groupBy(F.col(ROW).alias(row)).agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
+    found = held.repartition(min(shards, MOST_PARTS), "shard").sortWithinPartitions("shard").mapInArrow(
+        tidy(_covered(width, parts)), "part int, rows binary, first binary, last binary")
+    return _gathered(found, parts, "first", "last").withColumnRenamed(ROW, row)
 
 
 def _merged(first: list[int], last: list[int]) -> list[tuple[int, int]]:
