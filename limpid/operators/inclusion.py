@@ -65,7 +65,7 @@ def _ordered(name: str, kind: str) -> Column:
 
 
 def bounds(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, kind, low, high, filled, n) of every comparable column; one scan a table.
+    """(table_name, column_name, kind, low, high, short, long, filled, n) of every comparable column; one scan a table.
 
     Days and moments are counted from 1970, so that all but texts are whole numbers.
     """
@@ -77,16 +77,20 @@ def bounds(tables: dict[str, DataFrame]) -> DataFrame:
         measures = [F.count(F.lit(1)).alias("n")]
         for i, (c, kind) in enumerate(kinds.items()):
             v = _ordered(c, kind)
-            measures += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.count(v).alias(f"c{i}")]
+            size = F.octet_length(v) if kind == "text" else F.lit(0)
+            measures += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.min(size).alias(f"s{i}"), F.max(size).alias(f"l{i}"), F.count(v).alias(f"c{i}")]
         entries = [
             F.struct(
                 F.lit(c).alias("column_name"), F.lit(kind).alias("kind"),
                 *(F.col(f"{x}{i}").cast("string").alias(y) for x, y in (("lo", "low"), ("hi", "high"))),
-                F.col(f"c{i}").alias("filled"),
+                F.col(f"s{i}").alias("short"), F.col(f"l{i}").alias("long"), F.col(f"c{i}").alias("filled"),
             )
             for i, (c, kind) in enumerate(kinds.items())
         ]
         out.append(df.agg(*measures).select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)), "n"))
+    if not out:
+        nothing = "table_name string, column_name string, kind string, low string, high string, short int, long int, filled bigint, n bigint"
+        return next(iter(tables.values())).sparkSession.createDataFrame([], nothing)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -96,11 +100,11 @@ def _candidates(facts: list) -> set[tuple[str, str]]:
     for r in facts:
         if r["filled"]:
             read = str.encode if r["kind"] == "text" else int
-            keyed.append((r["kind"], read(r["low"]), read(r["high"]), (r["table_name"], r["column_name"])))
+            keyed.append((r["kind"], read(r["low"]), read(r["high"]), r["short"], r["long"], (r["table_name"], r["column_name"])))
     found = set()
-    for kind, low, high, name in keyed:
-        for other, lo, hi, parent in keyed:
-            if kind == other and name != parent and lo <= low and high <= hi:
+    for kind, low, high, short, long, name in keyed:
+        for other, lo, hi, least, most, parent in keyed:
+            if kind == other and name != parent and lo <= low and high <= hi and least <= short and long <= most:
                 found |= {name, parent}
     return found
 
@@ -129,13 +133,16 @@ def _masks(tables: dict[str, DataFrame], numbers: dict[tuple[str, str], int], ki
     return held.groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
 
 
-def inclusions(spark: SparkSession, tables: dict[str, DataFrame], bounded: bool = True) -> DataFrame:
+def inclusions(spark: SparkSession, tables: dict[str, DataFrame], bounded: bool = True, facts: list | None = None) -> DataFrame:
     """Every pair of columns (child, parent) of which all values of the child stand in the parent.
 
     Equal columns include each other; a column without values is included in none.
+    ``facts`` are collected ``bounds``, if they are at hand.
     """
     listed = [(t, f.name, _kind(f.dataType)) for t, df in tables.items() for f in df.schema.fields if _kind(f.dataType)]
-    kept = _candidates(bounds(tables).collect()) if bounded and listed else {(t, c) for t, c, _ in listed}
+    kept = {(t, c) for t, c, _ in listed}
+    if bounded and listed:
+        kept = _candidates(bounds(tables).collect() if facts is None else facts)
     names = [(t, c) for t, c, _ in listed if (t, c) in kept]
     if not names:
         return spark.createDataFrame([], INCLUSION)
@@ -167,9 +174,10 @@ def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], uniqueness:
     An identifier has a value in every row, and as many values as rows but for a
     hundredth; ``values`` and the row counts of the same pass decide.
     """
-    rows = bounds(tables).select(
-        F.col("table_name").alias("parent_table"), F.col("column_name").alias("parent_column"), "n", "filled")
-    found = inclusions(spark, tables).where(F.col("table_name") != F.col("parent_table"))
+    facts = bounds(tables).collect()
+    rows = spark.createDataFrame([(r["table_name"], r["column_name"], r["n"], r["filled"]) for r in facts],
+                                 "parent_table string, parent_column string, n bigint, filled bigint")
+    found = inclusions(spark, tables, facts=facts).where(F.col("table_name") != F.col("parent_table"))
     identifier = (F.col("n") == F.col("filled")) & (F.col("parent_values") >= F.col("n") * uniqueness)
     return found.join(rows, ["parent_table", "parent_column"]).where(identifier).select(
         "table_name", "column_name", "parent_table", "parent_column", F.lit("foreign_key").alias("role"))

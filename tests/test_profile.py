@@ -171,3 +171,27 @@ def test_long_texts_count_by_digest_and_show_whole(spark):
     assert p["body"]["distinct"] == 13 and p["body"]["max"] == max(r[1] for r in rows)
     digests = P.frequency_table(df, ["body"], None, P.DIGEST_OVER)
     assert digests.agg(F.max(F.length("value"))).first()[0] < 100 and digests.count() == 13
+
+
+def test_distinct_values_by_hash_are_those_by_value(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(0.0, "a", at, [1], "x" * 300, "d1"), (-0.0, "A", at, [1, 2], "x" * 300, "d1"), (float("nan"), "a ", None, [1], "x" * 299 + "y", None),
+            (float("nan"), "", at, None, "", None), (None, None, None, [], None, "d2"), (1.5, "a", at + datetime.timedelta(microseconds=1), [1], "x", "d1")]
+    df = spark.createDataFrame(rows, "v double, t string, at timestamp, many array<int>, long string, _batch_id string")
+    for by in (None, "_batch_id"):
+        by_hash = {(r["batch_id"], r["column_name"]): r["distinct"] for r in P.measured(df, None, by).collect()}
+        by_value = P.with_distinct(P.column_bounds(df, None, by), P.frequency_table(df, None, by))
+        assert by_hash == {(r["batch_id"], r["column_name"]): r["distinct"] for r in by_value.collect()}
+    assert by_hash[P.UNDATED, "v"] == 1 and by_hash["d1", "v"] == 2
+
+
+def test_tables_profiled_together_are_those_profiled_alone(spark, sf):
+    e = events(spark, sf)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    together, values = P.profile_tables({"E": (e, "_batch_id"), "O": (o, None)}, "d")
+    alone = P.profile_table(e, "E", "d", "_batch_id").unionByName(P.profile_table(o, "O", "d"))
+    assert as_set(together) == as_set(alone)
+    names = {(r["table_name"], r["column_name"]) for r in together.where("role = 'categorical'").collect()}
+    assert {(r["table_name"], r["column_name"]) for r in values.select("table_name", "column_name").distinct().collect()} == names
