@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from limpid.catalogue import query
 from limpid.catalogue import tables as t
@@ -138,23 +138,22 @@ SELECT '{table}' AS table_name, '{column}' AS column_name, value, n AS "count",
     ("orders", "o_orderstatus"), ("customer", "c_mktsegment"), ("documents", "lang"),
     ("documents", "source"))))
 def topk_adaptive(spark, d):
-    """Every value of an enumerable column, the head of a long one."""
-    out = []
-    for table, columns in {
-        "events": ["event_type", "props"], "orders": ["o_orderpriority", "o_orderstatus"],
-        "customer": ["c_mktsegment"], "documents": ["lang", "source"],
-    }.items():
-        freq = P.frequency_table(t.read(spark, d, table), columns)
-        sizes = freq.groupBy("column_name").agg(
-            F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total")
-        ).withColumn("k", P.adaptive_k(F.col("distinct")).cast("int"))
-        ranked = P.ranked_values(freq, ["batch_id", "column_name"], 100).join(sizes, "column_name")
-        kept = ranked.where(F.col("rank") <= F.col("k"))
-        covered = kept.groupBy("column_name").agg(F.sum("n").alias("covered"))
-        out.append(kept.join(covered, "column_name").select(
-            F.lit(table).alias("table_name"), "column_name", "value", F.col("n").alias("count"), "rank",
-            "k", text.rate(F.col("covered"), F.col("total")).alias("coverage")))
-    return reduce(DataFrame.unionByName, out)
+    """Every value of an enumerable column, the head of a long one; one frequency table for all tables."""
+    keys = ["table_name", "batch_id", "column_name"]
+    freq = stage(reduce(DataFrame.unionByName, [
+        P.frequency_table(t.read(spark, d, table), columns).withColumn("table_name", F.lit(table))
+        for table, columns in {
+            "events": ["event_type", "props"], "orders": ["o_orderpriority", "o_orderstatus"],
+            "customer": ["c_mktsegment"], "documents": ["lang", "source"],
+        }.items()]), "frequency")
+    sizes = freq.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total")
+    ).withColumn("k", P.adaptive_k(F.col("distinct")).cast("int"))
+    kept = P.ranked_values(freq, keys, 100).join(sizes, keys).where(F.col("rank") <= F.col("k"))
+    covered = F.sum("n").over(Window.partitionBy(*keys))
+    return kept.select(
+        "table_name", "column_name", "value", F.col("n").alias("count"), "rank", "k",
+        text.rate(covered, F.col("total")).alias("coverage"))
 
 
 def _sql_robust(table: str, column: str, batch: str = "'*'", source: str | None = None) -> str:
