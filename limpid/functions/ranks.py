@@ -19,9 +19,15 @@ SUB_BUCKETS = 1024
 WINDOW_LIMIT = 1_000_000
 """Rows per key up to which one task may order a key."""
 
+SAMPLE_WINDOW_LIMIT = 1_000
+"""The same for samples, whose other way reads the rows three times, whatever their number."""
+
 BUCKET_LIMIT = 1_000_000
 """Values in a bucket up to which one task may order the bucket."""
 
+SLICE_DIGITS = 3
+"""Hex digits by which digests are cut into slices at a time."""
+
 
 def coarse_key(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows.
@@ -183,11 +189,6 @@ def sampling_key(seed: int | str, *identity: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in identity]))
 
 
-def _digest_number(digest: Column) -> Column:
-    # 13 hex digits are 52 bits: exact in a double
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
-
-
 def _limit_number(
     rows: DataFrame, keys: list[str], wanted: DataFrame, number: str
 ) -> DataFrame:
@@ -208,24 +209,51 @@ def _limit_number(
     )
 
 
+def _slice_of_rank(counted: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Per key the slice ``_b`` of digests that holds the rank ``_rest``, and the rank within it.
+
+    ``counted`` holds rows per slice. Asking for more rows than there are means all of them.
+    """
+    of_key = Window.partitionBy(*keys)
+    running = counted.withColumn("_upto", F.sum(weight).over(of_key.orderBy("_b"))).withColumn(
+        "_rest", F.least("_rest", F.sum(weight).over(of_key)))
+    before = F.col("_upto") - F.col(weight)
+    inside = (F.col("_rest") >= 1) & (F.col("_upto") >= F.col("_rest")) & (before < F.col("_rest"))
+    return running.where(inside).select(*keys, "_b", (F.col("_rest") - before).alias("_rest"))
+
+
 def _last_digest(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """Per key the digest of the last row that belongs in.
 
     Also how many rows carry it and how many of those are needed; both are one
-    where digests tell rows apart. Reads ``keys`` and ``_digest`` only.
+    where digests tell rows apart. Reads ``keys`` and ``_digest`` only, twice:
+    rows are counted by the first digits of their digest, and the digests of
+    the slice that holds the rank, one in thousands, are written. A slice with
+    more than ``BUCKET_LIMIT`` digests is cut by further digits.
     """
-    numbered = rows.select(*keys, "_digest", _digest_number(F.col("_digest")).alias("_number"))
-    limit = _limit_number(numbered, keys, wanted, "_number")
-    # digests that share their first 52 bits with the boundary: usually one
-    ties = (
-        numbered.join(limit, keys)
-        .where(F.col("_number") == F.col("_limit"))
-        .groupBy(*keys, "_rest", "_digest")
-        .agg(F.count(F.lit(1)).alias("_copies"))
+    told = rows.select(*keys, "_digest")
+    start = lambda digits: F.substring("_digest", 1, digits)
+    digits = SLICE_DIGITS
+    counted = told.groupBy(*keys, start(digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    asked = wanted.select(*keys, F.col("_rank").alias("_rest"))
+    slices = stage(_slice_of_rank(counted.join(asked, keys), keys, "_n"), "digest-slice")
+    edge = stage(
+        told.join(slices, keys).where(start(digits) == F.col("_b"))
+        .groupBy(*keys, "_rest", "_digest").agg(F.count(F.lit(1)).alias("_copies")),
+        "edge-digests",
     )
+    # one number for the driver: digests of the widest slice
+    wide = lambda e: e.groupBy(*keys).count().agg(F.max("count").alias("w")).first()["w"] or 0
+    while digits < 32 and wide(edge) > BUCKET_LIMIT:
+        digits += SLICE_DIGITS
+        counted = edge.groupBy(*keys, "_rest", start(digits).alias("_b")).agg(F.sum("_copies").alias("_n"))
+        slices = stage(_slice_of_rank(counted, keys, "_n"), "digest-slice")
+        edge = stage(
+            edge.drop("_rest").join(slices, keys).where(start(digits) == F.col("_b")).drop("_b"), "edge-digests"
+        )
     upto = F.sum("_copies").over(Window.partitionBy(*keys).orderBy("_digest"))
     last = (
-        ties.withColumn("_upto", upto)
+        edge.withColumn("_upto", upto)
         .where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_copies") < F.col("_rest")))
         .select(
             *keys, F.col("_digest").alias("_last"), "_copies",
@@ -285,7 +313,7 @@ def mark_sample(
     key, if known.
     """
     rows = df.withColumn("_digest", digest)
-    if largest is not None and largest <= WINDOW_LIMIT:
+    if largest is not None and largest <= min(WINDOW_LIMIT, SAMPLE_WINDOW_LIMIT):
         return _mark_by_window(rows, keys, wanted, [F.col("_digest")], flag).drop("_digest")
     last = _last_digest(rows, keys, wanted)
     return _flag_up_to(rows, keys, last, flag, F.lit(False), F.lit(True)).drop("_digest")

@@ -134,3 +134,27 @@ def test_copies_across_the_boundary(spark, monkeypatch):
         assert (marked.where("hit").count(), marked.count()) == (n, 100) and set(marked.columns) == {"g", "id", "hit"}
         ordered = ranks.mark_first(df, ["g"], wanted, F.col("id"), ranks.sampling_key(5, F.col("id")), "hit", largest=100)
         assert (ordered.where("hit").count(), ordered.count()) == (n, 100)
+
+
+def _read_twice(spark, rows, limit, monkeypatch):
+    """Digests of a sample's rows, with the number of frames that were ordered by ``row_number``."""
+    monkeypatch.setattr(ranks, "BUCKET_LIMIT", limit)
+    windows = []
+    plain = ranks._mark_by_window
+    monkeypatch.setattr(ranks, "_mark_by_window", lambda *a: windows.append(1) or plain(*a))
+    wanted = spark.createDataFrame([("a", 1500), ("b", 3), ("c", 1)], "g string, _rank long")
+    marked = ranks.mark_sample(frame(spark, rows), ["g"], wanted, ranks.sampling_key(9, F.col("id")), "hit", 2_500)
+    return {(r["g"], r["id"]) for r in marked.where("hit").collect()}, len(windows)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 1_000_000])
+def test_slices_of_digests_hold_every_rank(spark, rows, limit, monkeypatch):
+    """A key of thousands of rows is not ordered in one task, and its slices are cut as often as need be."""
+    import hashlib
+
+    got, windows = _read_twice(spark, rows, limit, monkeypatch)
+    want = set()
+    for g, n in (("a", 1500), ("b", 3), ("c", 1)):
+        ids = sorted((r[0] for r in rows if r[1] == g), key=lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest())
+        want |= {(g, i) for i in ids[:n]}
+    assert got == want and windows == 0
