@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from limpid import schemas, vocabulary as V
 from limpid.operators.collisions import collision_clusters, value_counts
@@ -39,8 +39,24 @@ def no_semantic_collisions(df: DataFrame, column: str) -> DataFrame:
 
 
 def duplicated_rows(df: DataFrame) -> DataFrame:
-    """How many rows are later copies of a full row."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """How many rows are later copies of a full row.
+
+    A row is known by 128 bits of hash over its plain columns and which of them
+    are null, so that wide rows are neither kept nor shuffled; nested columns
+    are compared as they are. Both zeros are one value, as in a grouping.
+    """
+    plain, nested = [], []
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if not isinstance(f.dataType, T.AtomicType):
+            nested.append(c.alias(f"_c{len(nested)}"))
+            continue
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c)
+        plain += [c, c.isNull()]
+    hashes = [F.xxhash64(F.lit(0), *plain).alias("_h1"), F.xxhash64(F.lit(1), *plain).alias("_h2")]
+    told = df.select(*hashes, *nested)
+    copies = told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicated"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from limpid.functions import ranks
-from limpid.operators import corrupt, prepare, score
+from limpid.operators import checks, corrupt, prepare, score
 from limpid.plans import gold
 from limpid.sources.batches import row_position
 
@@ -130,3 +130,20 @@ def test_scoring(spark):
     f = spark.createDataFrame([("b",), ("c",), ("d",), ("d",)], "k string")
     r = score.precision_recall(score.score(e, f, ["k"])).first()
     assert (r["tp"], r["fp"], r["fn"]) == (2, 1, 1) and r["precision"] == r["recall"] == pytest.approx(2 / 3)
+
+
+def test_copies_of_rows_are_counted_by_hashes(spark):
+    """Nulls in other columns, both zeros, NaN and nested values count as a grouping of whole rows counts them."""
+    nan = float("nan")
+    data = [
+        (None, "a", 1.0, ["x", "y"]), ("a", None, 1.0, ["x", "y"]), ("a", None, 1.0, ["x, y"]), ("a", None, 1.0, ["x", "y"]),
+        ("b", "", 0.0, None), ("b", "", -0.0, None), ("b", None, 0.0, None), ("b", "", nan, []), ("b", "", nan, []),
+        ("b", "", nan, [None]), ("ab", "c", None, None), ("a", "bc", None, None), ("ab", "c", None, None),
+    ]
+    df = spark.createDataFrame(data, "`x.y` string, s string, v double, l array<string>")
+    got = checks.duplicated_rows(df)
+    assert got.first()["duplicated"] == 4
+    assert df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count().agg(F.sum(F.col("count") - 1)).first()[0] == 4
+    assert checks.duplicated_rows(df.limit(0)).first()["duplicated"] == 0
+    shuffled = checks.duplicated_rows(df.drop("l"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_h1" in shuffled
