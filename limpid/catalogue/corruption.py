@@ -9,6 +9,7 @@ from limpid.catalogue import tables as t
 from limpid.functions import ranks
 from limpid.operators import checks, collisions, corrupt, score
 from limpid.plans import gold
+from limpid.session import stage
 
 RAMP = [
     {"id": "ramp", "table": "events", "type": "inject_nulls", "from_day": 10,
@@ -41,6 +42,8 @@ SQL_RAMPED = (
 def ramped_events(spark, d):
     """Events whose type goes missing on more and more rows."""
     rates = corrupt.spread(spark, RAMP, "2024-01-01").select(F.col("batch_id").alias(t.BATCH), "rate")
+    # written, so that its size is known and no day of events is sorted in one task to meet it
+    rates = stage(rates, "rates")
     e = t.events_by_day(spark, d)
     inside = e.join(rates, t.BATCH, "left_semi")
     rest = e.join(rates, t.BATCH, "left_anti")

@@ -147,3 +147,15 @@ def test_copies_of_rows_are_counted_by_hashes(spark):
     assert checks.duplicated_rows(df.limit(0)).first()["duplicated"] == 0
     shuffled = checks.duplicated_rows(df.drop("l"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_h1" in shuffled
+
+
+def test_declared_rates_do_not_shuffle_the_events(spark, sf, monkeypatch):
+    """The few declared days have a known size; days of events are not sorted by one task each to meet them."""
+    from limpid.catalogue import corruption
+
+    seen = []
+    plain = corrupt.inject_nulls
+    monkeypatch.setattr(corrupt, "inject_nulls", lambda df, *a: seen.append(df) or plain(df, *a))
+    corruption.ramped_events.__wrapped__(spark, sf)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
