@@ -123,7 +123,11 @@ def column_bounds(
     """
     columns = columns or list(df.columns)
     schema = {f.name: f.dataType for f in df.schema.fields}
-    aggregates, entries = ["count(1) AS row_count"], []
+    # bounds of texts alone would have every task sort its rows by batch; beside an
+    # aggregate that is an object (an empty set) a few batches are kept by hash instead
+    sorts = batch_column and any(type_class(schema[c]) not in ("number", "date") for c in columns)
+    rows = "count(1) + size(collect_set(CAST(NULL AS INT)))" if sorts else "count(1)"
+    aggregates, entries = [f"{rows} AS row_count"], []
     for i, c in enumerate(columns):
         value, kind = _sql_name(c), type_class(schema[c])
         if not isinstance(schema[c], T.AtomicType):

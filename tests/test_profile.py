@@ -195,3 +195,15 @@ def test_tables_profiled_together_are_those_profiled_alone(spark, sf):
     assert as_set(together) == as_set(alone)
     names = {(r["table_name"], r["column_name"]) for r in together.where("role = 'categorical'").collect()}
     assert {(r["table_name"], r["column_name"]) for r in values.select("table_name", "column_name").distinct().collect()} == names
+
+
+def test_bounds_of_texts_do_not_sort_the_rows(spark):
+    """Text bounds per batch are kept by hash; counts and bounds are those of any plan."""
+    df = spark.createDataFrame([("b1", "x", 1), ("b1", "ä", 2), ("b2", None, 3), (None, "", None)], "b string, s string, n int")
+    found = P.column_bounds(df, ["s", "n"], "b")
+    rows = {(r["batch_id"], r["column_name"]): (r["row_count"], r["null_count"], r["min"], r["max"]) for r in found.collect()}
+    assert rows == {
+        ("b1", "s"): (2, 0, "x", "ä"), ("b1", "n"): (2, 0, "1", "2"), ("b2", "s"): (1, 1, None, None),
+        ("b2", "n"): (1, 0, "3", "3"), ("(none)", "s"): (1, 0, "", ""), ("(none)", "n"): (1, 1, None, None)}
+    assert dict(found.dtypes)["row_count"] == "bigint"
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
