@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from limpid.llm.common import byte_slices, tidy
+from limpid.llm.common import byte_slices, give_back, tidy
 from limpid.llm.ngram_prints import DIFFER, MODULI, Block, Prints, combine, read_words
 from limpid.session import stage
 
@@ -38,7 +38,8 @@ SIZES = (1, 2, 3)
 FREQUENT = 10
 TOP = 2000
 SCALE = 1_000_000
-SLICE = 1 << 20
+SLICE = 1 << 19
+TURNS = 4
 HELD = 6_000_000
 """n-grams that a task holds before it gives out blocks."""
 RANGE_BYTES = 8 << 20
@@ -70,17 +71,27 @@ def _rows(blocks: dict[tuple[str, int], Block], width: int) -> Iterator[pa.Recor
         if not len(block):
             continue
         at = np.flatnonzero(np.diff(block.prints // np.uint64(width), prepend=np.uint64(1 << 63)))
-        ends, made = np.append(at[1:], len(block)), []
-        for a, b in zip(at, ends, strict=True):
-            piece = block.slice(a, b)
-            words = int(piece.counts.sum()) if n == 1 else 0
-            made.append((int(piece.prints[0]) // width, lang, n, words, len(piece), piece.pack()))
-        for i in range(0, len(made), 64):
+        ends = np.append(at[1:], len(block))
+        for i in range(0, len(at), 64):
+            made = []
+            for a, b in zip(at[i:i + 64], ends[i:i + 64], strict=True):
+                piece = block.slice(a, b)
+                words = int(piece.counts.sum()) if n == 1 else 0
+                made.append((int(piece.prints[0]) // width, lang, n, words, len(piece), piece.pack()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*made[i:i + 64]), (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                [pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
                 names=["range", "lang", "n", "words", "size", "data"])
 
 
+def _let_go(held: dict[tuple[str, int], list[Block]], width: int) -> Iterator[pa.RecordBatch]:
+    """Give out all that is held, some ranges of one language and size after the other, so that little is held twice."""
+    for k in list(held):
+        blocks = held.pop(k)
+        for i in range(TURNS):
+            yield from _rows({k: combine([b.take(b.prints // np.uint64(width) % np.uint64(TURNS) == i) for b in blocks])}, width)
+    give_back()
+
+
 def _fingerprints(prints: Prints, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[Block]] = {}
@@ -90,12 +101,12 @@ def _fingerprints(prints: Prints, width: int):
                 for lang, texts, some in _by_lang(part):
                     words, key = read_words(texts), some.column("key").to_numpy().astype(np.uint32)
                     for n, (first, found, checks) in prints.of(words, SIZES).items():
-                        held.setdefault((lang, n), []).append(Block(found, checks, key[words.text[first]], np.ones(len(found), np.uint64)))
+                        held.setdefault((lang, n), []).append(Block(found, checks, key[words.text[first]], np.ones(len(found), np.uint8)))
                         total += len(found)
                 if total > HELD:
-                    yield from _rows({k: combine(held.pop(k)) for k in list(held)}, width)
+                    yield from _let_go(held, width)
                     total = 0
-        yield from _rows({k: combine(held.pop(k)) for k in list(held)}, width)
+        yield from _let_go(held, width)
 
     return run
 

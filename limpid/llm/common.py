@@ -51,7 +51,7 @@ def byte_slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> I
         yield batch.slice(start)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what a task has freed; a Python worker lives on and would keep it beside the next task's."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
@@ -65,7 +65,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 

@@ -23,7 +23,7 @@ MODULI = ((1 << 31) - 1, (1 << 31) - 19, (1 << 31) - 61)
 BASES = (1_000_003, 77_777_777, 1_234_577)
 DIFFER = 0xFFFFFFFF
 """In place of a check: n-grams with different checks have this fingerprint."""
-TABLE = 1 << 21
+TABLE = 1 << 20
 """Powers that a worker keeps; a longer stretch has its own."""
 
 _KIND = np.zeros(256, np.uint8)
@@ -131,6 +131,9 @@ class Block:
     def slice(self, a: int, b: int) -> "Block":
         return Block(self.prints[a:b], self.checks[a:b], self.keys[a:b], self.counts[a:b])
 
+    def take(self, chosen: np.ndarray) -> "Block":
+        return Block(self.prints[chosen], self.checks[chosen], self.keys[chosen], self.counts[chosen])
+
     def pack(self) -> bytes:
         steps = np.diff(self.prints, prepend=np.uint64(0))
         planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) for x in (steps, self.counts.astype(np.uint64))]
@@ -153,6 +156,12 @@ def combine(blocks: list[Block]) -> Block:
     order = np.argsort(prints)
     prints = prints[order]
     at = np.flatnonzero(np.diff(prints, prepend=prints[0] + np.uint64(1)))
-    checks, keys, counts = (np.concatenate([getattr(b, c) for b in blocks])[order] for c in ("checks", "keys", "counts"))
+    prints = prints[at]
+    # one column after the other, so that one is held twice at a time
+    column = lambda c: np.concatenate([getattr(b, c) for b in blocks])[order]
+    checks = column("checks")
     least, most = np.minimum.reduceat(checks, at), np.maximum.reduceat(checks, at)
-    return Block(prints[at], np.where(least == most, least, np.uint32(DIFFER)), np.minimum.reduceat(keys, at), np.add.reduceat(counts, at))
+    checks = np.where(least == most, least, np.uint32(DIFFER))
+    keys = np.minimum.reduceat(column("keys"), at)
+    # counts of single n-grams come as bytes
+    return Block(prints, checks, keys, np.add.reduceat(column("counts"), at, dtype=np.uint64))

@@ -2,11 +2,15 @@
 
 import contextlib
 import io
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from limpid.llm import decontaminate
+from limpid.llm import collocations, decontaminate
 from limpid.llm.common import WORD, lower_ascii
+from limpid.llm.ngram_prints import Prints
 
 
 def _plan(df) -> str:
@@ -26,3 +30,20 @@ def test_words_are_cut_as_the_word_rule_says(spark, edge):
     texts = edge.select("text").unionByName(odd)
     by_rule = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(f"({WORD})"), F.lit(1))
     assert texts.where(decontaminate.words(F.col("text")) != by_rule).count() == 0
+
+
+def test_fingerprints_are_held_about_once(monkeypatch):
+    held = 600_000
+    monkeypatch.setattr(collocations, "HELD", held)
+    monkeypatch.setattr(collocations, "SLICE", 1 << 16)
+    texts = [" ".join(f"w{i}x{k}" for k in range(900)) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["en"] * 500), pa.array(texts), pa.array(np.arange(500))], names=["lang", "text", "key"])
+    prints = Prints()
+    list(collocations._fingerprints(prints, prints.span)(iter([batch.slice(0, 5)])))  # tables of powers
+    tracemalloc.start()
+    rows = sum(r.num_rows for r in collocations._fingerprints(prints, prints.span // 8 + 1)(iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows >= 2 * 3 * 8
+    assert peak < 40 * held
