@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from limpid.llm.common import fresh_name, map_texts, tidy
-from limpid.llm.components import components
+from limpid.llm.components import FEWEST_TASKS, components, tasks_for
 from limpid.session import stage
 
 SHINGLE = 3
@@ -136,8 +136,8 @@ def _links_of_buckets(radius: int):
     return run
 
 
-def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Links (u > v) that join the distinct fingerprints within ``radius`` into their groups."""
+def _met(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Links (u > v) that join the distinct fingerprints within ``radius`` into their groups; some more than once."""
     if radius > RADIUS:
         raise ValueError("halves with one changed bit cover a radius of three")
     halves = distinct.select(F.col(fp).alias("fp"), F.explode(F.array(
@@ -149,27 +149,38 @@ def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int =
     variants = halves.select("fp", "part", "value", flip).select("fp", "part", variant, (F.col("flip") == 0).alias("own"))
     # a bucket gathers 33 values, so one above the limit has a value above its 33rd part
     crowded = halves.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot / 33)
-    hot_keys = stage(crowded.select("part", "value", flip).select("part", variant).distinct(), "simhash-hot")
+    crowded = stage(crowded.select("part", "value").coalesce(FEWEST_TASKS), "simhash-hot")
     # other half of a member, one key per byte: part 0 kept the high half, so the low bytes, and the other way round
     byte = F.posexplode(F.array(*(
         F.when(F.col("part") == 0, F.shiftrightunsigned("fp", 8 * k)).otherwise(F.shiftrightunsigned("fp", 32 + 8 * k)).bitwiseAND(255)
         for k in range(4)
     )))
-    plain = variants.join(hot_keys, ["part", "variant"], "left_anti")
-    split = variants.join(hot_keys, ["part", "variant"], "left_semi").select("fp", "part", "variant", "own", byte.alias("at", "byte")).select(
-        "fp", (F.col("part") + 2 + 2 * (F.col("at") * 256 + F.col("byte"))).cast("int").alias("part"), "variant", "own"
-    )
-    meeting = plain.select("fp", "part", "variant", "own").unionByName(split)
+    if crowded.isEmpty():
+        meeting = variants
+    else:
+        hot_keys = crowded.select("part", "value", flip).select("part", variant).distinct()
+        plain = variants.join(hot_keys, ["part", "variant"], "left_anti")
+        split = variants.join(hot_keys, ["part", "variant"], "left_semi").select("fp", "part", "variant", "own", byte.alias("at", "byte")).select(
+            "fp", (F.col("part") + 2 + 2 * (F.col("at") * 256 + F.col("byte"))).cast("int").alias("part"), "variant", "own"
+        )
+        meeting = plain.select("fp", "part", "variant", "own").unionByName(split)
     sorted_ = meeting.repartition("part", "variant").sortWithinPartitions("part", "variant", "fp")
-    return sorted_.mapInArrow(tidy(_links_of_buckets(radius)), "u long, v long").distinct()
+    return sorted_.mapInArrow(tidy(_links_of_buckets(radius)), "u long, v long")
+
+
+def links(distinct: DataFrame, fp: str = "fp", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Links (u > v) that join the distinct fingerprints within ``radius`` into their groups."""
+    return _met(distinct, fp, radius, hot).distinct()
 
 
 def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, digest, fp, root, component_id) of every row; the root is the group's smallest fingerprint."""
     named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
     held = stage(fingerprints(named, "text").select("id", "digest", "fp"), "simhash-fingerprints")
-    distinct = stage(held.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    member = components(links(distinct))
+    # a file costs a task more than small rows do
+    tasks = tasks_for(held.count())
+    distinct = stage(held.groupBy("fp").agg(F.min("id").alias("least")).coalesce(tasks), "simhash-distinct")
+    member = components(_met(distinct), tasks)
     rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return held.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
