@@ -4,13 +4,16 @@ The encoding of a prefix is determined by its last token: every prefix has
 exactly one token that may stand last, and what precedes it is the encoding of
 a shorter prefix. ``last[i]`` (token that ends at byte i) is therefore the whole
 state: appending continues the table, and after an edit only the positions near
-it are computed again.
+it are computed again. Which tokens end at a byte is told by an automaton over the
+tokens' prefixes (Aho-Corasick), whose steps are made when they are first taken.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -18,8 +21,10 @@ import numpy as np
 import regex
 
 INFINITE = 1 << 40
-# pieces, token pairs and splits that a process remembers
+# pieces that a process remembers of late, and as many from before
 CACHE_ENTRIES = 150_000
+# token pairs and automaton steps that a process remembers
+PAIR_ENTRIES = 400_000
 # texts below this code point (Latin scripts) are cut by the faster expression
 NARROW = 0x250
 
@@ -57,6 +62,14 @@ def spelled_out(pattern: str, below: int) -> str:
     return pattern
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PrefixEncoder:
     """Encoder for one rank table; ``pattern`` cuts a text into pieces that are encoded separately."""
 
@@ -70,6 +83,17 @@ class PrefixEncoder:
         self._spines: dict[int, tuple | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._size = {v: len(k) for k, v in ranks.items()}
+        # states of the automaton: the longest end of what was read that begins a token
+        self._prefixes = {k[:n] for k in ranks for n in range(len(k) + 1)} | {b""}
+        self._read, self._ends, self._states, self._steps = [b""], [()], {b"": 0}, {}
+        # all tokens' bytes in one run, and where each begins
+        order = sorted(self.bytes_of)
+        self._flat = np.frombuffer(b"".join(map(self.bytes_of.__getitem__, order)), dtype=np.uint8)
+        self._sizes = np.zeros(order[-1] + 1 if order else 0, dtype=np.int64)
+        self._sizes[order] = [self._size[t] for t in order]
+        self._begins = np.cumsum(self._sizes) - self._sizes
 
     # --- tokens and their derivations -------------------------------------------------
 
@@ -126,40 +150,71 @@ class PrefixEncoder:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > CACHE_ENTRIES:
+        if len(self._fits) > PAIR_ENTRIES:
             self._fits.clear()
         self._fits[key] = good
         return good
 
     # --- pieces -------------------------------------------------------------------------
 
-    def extend(self, piece: bytes, last: list[int], until: int | None = None) -> list[int]:
-        """Continue ``last`` (tokens that end at byte 1, 2, ...) up to byte ``until`` of ``piece``."""
-        ranks, longest, fits, spine, known = self.ranks, self.longest, self.fits, self._spine, self._fits
-        for end in range(len(last) + 1, (len(piece) if until is None else until) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    good = spine(token) is not None
+    def _step(self, key: int) -> int:
+        """The state after a byte, from ``state << 8 | byte``."""
+        read = self._read[key >> 8] + bytes([key & 255])
+        while read not in self._prefixes:
+            read = read[1:]
+        state = self._states.get(read)
+        if state is None:
+            state = self._states[read] = len(self._read)
+            self._read.append(read)
+            self._ends.append(tuple((self.ranks[read[i:]], len(read) - i) for i in range(len(read)) if read[i:] in self.ranks))
+        if len(self._steps) > PAIR_ENTRIES:
+            self._steps.clear()
+        self._steps[key] = state
+        return state
+
+    def _state(self, read: bytes) -> int:
+        state = 0
+        for byte in read:
+            state = self._steps.get(state << 8 | byte) or self._step(state << 8 | byte)
+        return state
+
+    def extend(self, piece: bytes, last: list[int], until: int | None = None, states: list[int] | None = None) -> list[int]:
+        """Continue ``last`` (tokens that end at byte 1, 2, ...) up to byte ``until`` of ``piece``, and with it ``states``, if given."""
+        steps, ends, fits, known = self._steps, self._ends, self.fits, self._fits
+        done = len(last)
+        if states is None:
+            state, keep = self._state(piece[max(0, done - self.longest):done]), None
+        else:
+            state, keep = states[-1] if states else 0, states.append
+        for at in range(done, len(piece) if until is None else until):
+            key = state << 8 | piece[at]
+            state = steps.get(key)
+            if state is None:
+                state = self._step(key)
+            for token, size in ends[state]:
+                if size > at:
+                    good = self._spine(token) is not None
                 else:
-                    good = known.get((last[start - 1], token))
+                    pair = (last[at - size], token)
+                    good = known.get(pair)
                     if good is None:
-                        good = fits(last[start - 1], token)
+                        good = fits(*pair)
                 if good:
                     last.append(token)
                     break
             else:
                 raise ValueError("the rank table lacks a single byte")
+            if keep:
+                keep(state)
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
         """Read the encoding off the table, from the end."""
-        out, end = [], len(last)
+        out, end, size = [], len(last), self._size
         while end:
-            out.append(last[end - 1])
-            end -= len(self.bytes_of[last[end - 1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -189,11 +244,17 @@ class PrefixEncoder:
         the prefix it has in common with the one before.
         """
         if len(self._pieces) > CACHE_ENTRIES:
-            self._pieces.clear()
-        known, wide, narrow, full = self._pieces, self._wide.search, self._narrow.findall, self.pattern.findall
-        cut = [full(t) if wide(t) else narrow(t) for t in texts]
-        fresh, longs, before, table = set().union(*cut).difference(known), {}, b"", []
-        for p, name in sorted((p.encode(), p) for p in fresh):
+            self._older, self._pieces = self._pieces, {}
+        known, older, wide, narrow, full = self._pieces, self._older, self._wide.search, self._narrow.findall, self.pattern.findall
+        cut = [full(t) if not t.isascii() and wide(t) else narrow(t) for t in texts]
+        fresh, longs, before, table, states = [], {}, b"", [], []
+        for name in set().union(*cut).difference(known):
+            packed = older.get(name)
+            if packed is None:
+                fresh.append((name.encode(), name))
+            else:
+                known[name] = packed
+        for p, name in sorted(fresh):
             whole = self.ranks.get(p)
             if whole is None:
                 same = 0
@@ -201,16 +262,22 @@ class PrefixEncoder:
                     if x != y:
                         break
                     same += 1
-                del table[same:]
-                ids, before = self.tokens(self.extend(p, table)), p
+                del table[same:], states[same:]
+                ids, before = self.tokens(self.extend(p, table, None, states)), p
             else:
                 ids = [whole]
-            (known if len(p) <= 64 else longs)[name] = np.array(ids, dtype="<u4").tobytes()
+            (known if len(p) <= 64 else longs)[name] = packed_ids(ids)
         get = (known | longs if longs else known).__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
     def unpack(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        ids = np.frombuffer(packed, dtype="<u4")
+        if not len(ids):
+            return b""
+        if int(ids.max()) >= len(self._sizes) or not (size := self._sizes[ids]).all():
+            raise KeyError("an id is not in the table")
+        shift = self._begins[ids] - (np.cumsum(size) - size)
+        return self._flat[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes()
 
 
 class EncodedText:

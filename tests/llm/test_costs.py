@@ -5,10 +5,11 @@ import io
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from limpid.llm import collocations, decontaminate
+from limpid.llm import collocations, decontaminate, prefix_bpe, tokens
 from limpid.llm.common import WORD, lower_ascii
 from limpid.llm.ngram_prints import Prints
 
@@ -47,3 +48,14 @@ def test_fingerprints_are_held_about_once(monkeypatch):
     tracemalloc.stop()
     assert rows >= 2 * 3 * 8
     assert peak < 40 * held
+
+
+def test_pieces_of_late_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(prefix_bpe, "CACHE_ENTRIES", 100)
+    first, second = (" ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for i in range(90)) for w in ("vx", "kw"))
+    made = prefix_bpe.PrefixEncoder(prefix_bpe.load_ranks(public_tokenizers.path(tokens.RANKS)), public_tokenizers.PATTERN)
+    given = [made.pack_all([first]), made.pack_all([second])]
+    done, calls = made.extend, []
+    monkeypatch.setattr(made, "extend", lambda *a: calls.append(a) or done(*a))
+    assert [made.pack_all([second]), made.pack_all([first])] == given[::-1]
+    assert not calls
