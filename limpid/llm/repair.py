@@ -27,20 +27,25 @@ END = 1
 SHARE, FEWEST = 5, 256
 # a rule takes eight bytes, so a pair pays from this many places
 LEAST = 8
-_BITS = 21
+_BITS = 18
+# rules up to this length are expanded by a table
+SHORT = 32
 
 
-def _frequent(pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` pairs that stand at ``LEAST`` places, from the most frequent down, and a slot number for every place."""
-    slot = ((pairs * np.uint32(2654435769)) >> np.uint32(32 - _BITS)).astype(np.int32)
-    held = np.bincount(slot, minlength=1 << _BITS)
-    # only slots that can hold one of the most frequent pairs are counted one by one
-    at_least = np.cumsum(np.bincount(np.minimum(held, 1 << 16), minlength=(1 << 16) + 1)[::-1])[::-1]
-    least = max(LEAST, int(np.argmax(at_least <= 2 * most)))
-    codes, counts = np.unique(pairs[(held >= least)[slot]], return_counts=True)
-    keep = np.flatnonzero(counts >= LEAST)
-    keep = keep[np.argsort(-counts[keep], kind="stable")][:most]
-    return codes[keep], slot
+def _frequent(pairs: np.ndarray, closes: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` pairs that stand at ``LEAST`` places and begin with no closing symbol, from the most frequent down."""
+    ordered = np.sort(pairs)
+    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    counts = np.diff(np.append(starts, len(ordered)))
+    often = counts >= LEAST
+    codes, counts = ordered[starts[often]], counts[often]
+    able = ~closes[codes >> np.uint32(16)]
+    codes, counts = codes[able], counts[able]
+    return codes[np.argsort(-counts, kind="stable")[:most]]
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(2654435769)) >> np.uint32(32 - _BITS)
 
 
 def compress(ids: np.ndarray, first_free: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -53,26 +58,25 @@ def compress(ids: np.ndarray, first_free: int, end: int = END) -> tuple[np.ndarr
     free = first_free
     while len(seq) > 1 and free < 1 << 16:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
-        able = np.flatnonzero(~closes[seq[:-1]])
-        codes, slot = _frequent(pairs[able], min((1 << 16) - free, max(FEWEST, ((1 << 16) - free) // SHARE)))
+        codes = _frequent(pairs, closes, min((1 << 16) - free, max(FEWEST, ((1 << 16) - free) // SHARE)))
         if not len(codes):
             break
         # the most frequent pair of a slot is taken this round, others may be in the next
-        home = ((codes * np.uint32(2654435769)) >> np.uint32(32 - _BITS)).astype(np.int32)
-        _, best = np.unique(home, return_index=True)
+        _, best = np.unique(_slots(codes), return_index=True)
         codes = codes[np.sort(best)]
-        table = np.full(1 << _BITS, -1, dtype=np.int32)
-        table[home[np.sort(best)]] = np.arange(len(codes))
-        rule = table[slot]
-        hit = rule >= 0
-        at, rule = able[hit], rule[hit]
+        table = np.full(1 << _BITS, -1, dtype=np.int16)
+        table[_slots(codes)] = np.arange(len(codes))
+        rule = table[_slots(pairs)]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at].astype(np.int64)
         same = codes[rule] == pairs[at]
         at, rule = at[same], rule[same]
         # of pairs that overlap in a row, every second is taken from the left
         begins = np.concatenate([[True], np.diff(at) > 1])
         inside = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         at, rule = at[inside % 2 == 0], rule[inside % 2 == 0]
-        used, rule = np.unique(rule, return_inverse=True)
+        taken = np.bincount(rule, minlength=len(codes)) > 0
+        used, rule = np.flatnonzero(taken), (np.cumsum(taken) - 1)[rule]
         seq[at] = free + rule.astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -97,18 +101,29 @@ def lengths_of(rules: np.ndarray, first_free: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_free: int) -> np.ndarray:
-    """The ids of a run of symbols."""
-    seq = symbols.astype(np.int64)
-    while len(seq) and int(seq.max()) >= first_free:
-        big = seq >= first_free
-        out = np.empty(len(seq) + int(big.sum()), dtype=np.int64)
+def _opened(seq: np.ndarray, rules: np.ndarray, first_free: int, long: np.ndarray) -> np.ndarray:
+    """Replace the symbols that are ``long`` by their halves until none is left."""
+    while (big := long[seq]).any():
         at = np.arange(len(seq)) + np.cumsum(big) - big
+        out = np.empty(len(seq) + int(big.sum()), dtype=np.int64)
         out[at] = seq
         out[at[big]] = rules[0, seq[big] - first_free]
         out[at[big] + 1] = rules[1, seq[big] - first_free]
         seq = out
-    return seq.astype("<u4")
+    return seq
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, first_free: int) -> np.ndarray:
+    """The ids of a run of symbols; long rules are opened step by step, short ones read from a table."""
+    length = lengths_of(rules, first_free)
+    seq = _opened(symbols.astype(np.int64), rules, first_free, length > SHORT)
+    short = np.flatnonzero(length <= SHORT)
+    flat = _opened(short, rules, first_free, np.arange(len(length)) >= first_free).astype("<u4")
+    begin = np.zeros(len(length), dtype=np.int64)
+    begin[short] = np.cumsum(length[short]) - length[short]
+    size = length[seq]
+    shift = begin[seq] - (np.cumsum(size) - size)
+    return flat[np.arange(int(size.sum())) + np.repeat(shift, size)]
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, first_free: int) -> bytes:

@@ -37,9 +37,10 @@ FIRST_FREE = 49_408
 # ids of a block and text bytes of a range, about
 BLOCK_IDS = 1 << 20
 RANGE_BYTES = 32 << 20
+# pieces that a process remembers of late, and as many from before
 CACHE_PIECES = 150_000
-# what the tokenizer's file cuts texts by, fixed value
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# what the tokenizer's file cuts texts by, fixed value; letters come first, as nothing else begins with one
+PIECES = r"[\p{L}]+|[\p{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
@@ -59,27 +60,32 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not added
         self.model = self.library.model
-        self.cut = re.compile(spelled_out(PIECES, NARROW)).findall
-        held = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()] if added else []
-        self.other = re.compile("|".join(["[^\0-\u017f]|\u0130", *held])).search
+        self.cut, self.cut_ascii = (re.compile(spelled_out(PIECES, below)).findall for below in (NARROW, 128))
+        self.held = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
+        self.foreign = re.compile("[^\0-\u012f\u0131-\u017f]").search
         # byte-level spelling: bytes that print stand for themselves, the others for letters from 256 on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def other(self, text: str) -> bool:
+        """Whether a text has to go through the whole library."""
+        return not text.isascii() and self.foreign(text) is not None or any(t in text for t in self.held)
+
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.spelling)
         return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def pack_all(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        cut = [None if self.other(t) else self.cut(t.lower()) for t in texts]
+            self.older, self.known = self.known, {}
+        cut = [None if self.other(t) else self.cut_ascii(t.lower()) if t.isascii() else self.cut(t.lower()) for t in texts]
         for piece in set().union(*(c for c in cut if c)).difference(self.known):
-            self.known[piece] = self._piece(piece)
+            self.known[piece] = self.older.get(piece) or self._piece(piece)
         get, whole = self.known.__getitem__, iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
         return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
 

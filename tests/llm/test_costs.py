@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from limpid.llm import collocations, decontaminate, prefix_bpe, tokens
+from limpid.llm import collocations, decontaminate, prefix_bpe, token_files, tokens
 from limpid.llm.common import WORD, lower_ascii
 from limpid.llm.ngram_prints import Prints
 
@@ -52,10 +52,14 @@ def test_fingerprints_are_held_about_once(monkeypatch):
 
 def test_pieces_of_late_are_not_encoded_again(monkeypatch):
     monkeypatch.setattr(prefix_bpe, "CACHE_ENTRIES", 100)
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 100)
     first, second = (" ".join(f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for i in range(90)) for w in ("vx", "kw"))
-    made = prefix_bpe.PrefixEncoder(prefix_bpe.load_ranks(public_tokenizers.path(tokens.RANKS)), public_tokenizers.PATTERN)
-    given = [made.pack_all([first]), made.pack_all([second])]
-    done, calls = made.extend, []
-    monkeypatch.setattr(made, "extend", lambda *a: calls.append(a) or done(*a))
-    assert [made.pack_all([second]), made.pack_all([first])] == given[::-1]
-    assert not calls
+    for made, work in (
+        (prefix_bpe.PrefixEncoder(prefix_bpe.load_ranks(public_tokenizers.path(tokens.RANKS)), public_tokenizers.PATTERN), "extend"),
+        (token_files.Encoder(public_tokenizers.path(token_files.TOKENIZER)), "_piece"),
+    ):
+        given = [made.pack_all([first]), made.pack_all([second])]
+        done, calls = getattr(made, work), []
+        monkeypatch.setattr(made, work, lambda *a, done=done, calls=calls: calls.append(a) or done(*a))
+        assert [made.pack_all([second]), made.pack_all([first])] == given[::-1]
+        assert not calls
