@@ -5,7 +5,9 @@ postings in document order cut into blocks of ``BLOCK_DOCS`` documents, each wit
 its largest impact (32 bits, rounded up; scores are computed in 64 from counts and
 lengths). For a query, the summed block maxima bound what any document
 of a block can score; blocks are scored from the highest bound down, and those
-whose bound is below the k-th best score so far are skipped. Every shard returns
+whose bound is below the k-th best score so far are skipped. Where most blocks
+remain after the first ones, the query's postings are read term by term instead,
+which costs less and gives the same sums. Every shard returns
 its best k by global statistics (documents, mean length, document frequencies),
 so merging by score gives the exact best k of all.
 
@@ -29,12 +31,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from limpid.llm.common import LOWER, UPPER, WORD, byte_slices, lower_ascii, tidy
+from limpid.llm.common import LOWER, UPPER, WORD, byte_slices, tidy
 from limpid.session import stage
 
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK_DOCS = 32
+# part of the blocks from which a query reads all its postings
+MANY = 0.25
 SHARD_TEXT = 64 << 20
 
 # stands for a null id inside an index
@@ -70,9 +74,11 @@ def _document_frequencies():
         hasher = TermHasher()
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                terms = [hasher.counts(t or "")[0] for t in part.column("text").to_pylist()]
-                values, n = np.unique(np.concatenate(terms), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "df"])
+                counted = [hasher.counts(t or "")[:2] for t in part.column("text").to_pylist()]
+                values, at, n = np.unique(np.concatenate([t for t, _ in counted]), return_inverse=True, return_counts=True)
+                # whole numbers below 2**53 are exact
+                words = np.bincount(at, weights=np.concatenate([c for _, c in counted]), minlength=len(values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(words)], names=["term", "df", "words"])
 
     return run
 
@@ -118,16 +124,18 @@ class ShardIndex:
         self.norm = K1 * (1 - B + B * np.array(self.lengths, dtype=np.float64) / self.mean)
         self.id_array = np.array(self.ids, dtype=np.int64)
         order = np.argsort(term, kind="stable")  # documents stay in order inside a term
-        term, self.doc, self.tf = term[order], doc[order], tf[order]
+        term, self.doc = term[order], doc[order]
+        self.impact = self.impacts(self.doc, tf[order])
         block = self.doc // BLOCK_DOCS
         changed = lambda x: np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
         new_term = changed(term)
         entry = np.flatnonzero(new_term | changed(block))
         self.entry_at = np.append(entry, len(term))  # postings of an entry (term and block)
-        largest = np.maximum.reduceat(self.impacts(self.doc, self.tf), entry) if len(entry) else np.zeros(0)
+        largest = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
         self.entry_block, self.entry_max = block[entry], np.nextafter(largest.astype(np.float32), np.float32(np.inf))
         starts = np.flatnonzero(new_term)
         self.terms, self.term_at = term[starts], np.append(np.searchsorted(entry, starts), len(entry))
+        self.term_edge = self.entry_at[self.term_at]  # postings of a term
         self.blocks = int(block.max(initial=-1)) + 1
         return self
 
@@ -154,6 +162,8 @@ class ShardIndex:
         order = order[bound[order] > 0]
         found, scores, least, wave, begin = np.zeros(0, np.int64), np.zeros(0), 0.0, 4, 0
         while begin < len(order) and (len(found) < k or bound[order[begin]] >= least):
+            if len(found) >= k and np.count_nonzero(bound[order[begin:]] >= least) > MANY * self.blocks:
+                return self._read_all(at, weights, k)
             taken = order[begin:begin + wave]
             if len(found) >= k:
                 taken = taken[bound[taken] >= least]
@@ -165,7 +175,7 @@ class ShardIndex:
             size = self.entry_at[e + 1] - self.entry_at[e]
             posting = self._ranges(self.entry_at[e], size)
             doc = self.doc[posting]
-            total = np.bincount(doc, weights=self.impacts(doc, self.tf[posting]) * np.repeat(weight[pick], size))
+            total = np.bincount(doc, weights=self.impact[posting] * np.repeat(weight[pick], size))
             hit = np.flatnonzero(total > 0)
             found, scores = np.concatenate([found, self.id_array[hit]]), np.concatenate([scores, total[hit]])
             best = np.lexsort((found, -scores))[:k]
@@ -173,6 +183,18 @@ class ShardIndex:
             least = scores[-1] if len(found) >= k else 0.0
         return found, scores
 
+    def _read_all(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k documents by all postings of the terms ``at``; each sum takes them in the order of ``search``."""
+        total = np.zeros(len(self.id_array))
+        begin, end = self.term_edge[at].tolist(), self.term_edge[at + 1].tolist()
+        for a, b, w in zip(begin, end, weights.tolist()):
+            total[self.doc[a:b]] += self.impact[a:b] * w
+        hit = np.flatnonzero(total > 0)
+        if len(hit) > k:  # the k-th best score, and what ties with it
+            hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
+        best = hit[np.lexsort((self.id_array[hit], -total[hit]))[:k]]
+        return self.id_array[best], total[best]
+
 
 def _search_shards(mean_words: float, k: int):
     """Streams rows sorted by shard, documents before queries."""
@@ -212,11 +234,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "d
     corpus = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
     asked = queries.select(F.col(id_column).cast("long").alias("query_id"), F.xxhash64(id_column, text).alias("query_row"), F.col(text).alias("text"))
     asked = asked.where(F.length("text") > 0).dropDuplicates(["query_id", "query_row"])
-    count, words, size = docs.agg(
-        F.count(F.lit(1)), F.avg(F.regexp_count(lower_ascii(F.col(text)), F.lit(WORD))), F.sum(F.octet_length(text)),
-    ).first()
+    count, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     shards = max(1, -(-(size or 0) // SHARD_TEXT))
-    df = corpus.select("text").mapInArrow(tidy(_document_frequencies()), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    told = corpus.select("text").mapInArrow(tidy(_document_frequencies()), "term long, df long, words long")
+    # the terms' counts also give the mean length, so that texts are cut into words once for both
+    df = stage(told.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "search-terms")
+    words = (df.agg(F.sum("words")).first()[0] or 0) / (count or 1)
+    df = df.select("term", "df")
     terms = asked.mapInArrow(tidy(_query_terms()), "query_id long, query_row long, term long, n long")
     idf = F.log(1 + (F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").groupBy("query_id", "query_row").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("n") * idf).alias("w")))).alias("t"))
