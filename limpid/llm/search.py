@@ -1,15 +1,15 @@
 """Exact top-k search by BM25 over shards of an inverted index, with block-max pruning.
 
 Documents are dealt to shards of a fixed text size. A shard's index has, per term,
-postings in document order cut into blocks of ``BLOCK_DOCS`` documents, each with
-its largest impact (32 bits, rounded up; scores are computed in 64 from counts and
-lengths). For a query, the summed block maxima bound what any document
-of a block can score; blocks are scored from the highest bound down, and those
-whose bound is below the k-th best score so far are skipped. Where most blocks
-remain after the first ones, the query's postings are read term by term instead,
-which costs less and gives the same sums. Every shard returns
-its best k by global statistics (documents, mean length, document frequencies),
-so merging by score gives the exact best k of all.
+postings in document order; the most frequent terms are laid out document by
+document as well, with the largest impact (32 bits, rounded up) of each block of
+``BLOCK_DOCS`` documents. A query reads the postings of its rarer terms; block maxima
+then bound what its frequent terms can add, and documents that stay below the k-th
+best score are skipped. Where many remain, the frequent terms are read for all
+documents, which costs less there. Those that reach the k-th best score but for
+rounding are scored in 64 bits, from counts and lengths. Every shard returns its best
+k by global statistics (documents, mean length, document frequencies), so merging by
+score gives the exact best k of all.
 
 Terms are words of the shared word rule, held as 64-bit hashes (XXH64). A query is
 a whole text; a term counts as often as the query has it. Ties in score go to the
@@ -23,62 +23,90 @@ table gives an empty result; only the id and the text are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from limpid.llm.common import LOWER, UPPER, WORD, byte_slices, tidy
+from limpid.llm.common import byte_slices, tidy
 from limpid.session import stage
 
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK_DOCS = 32
-# part of the blocks from which a query reads all its postings
-MANY = 0.25
+# terms of more than this part of the documents are laid out, the most frequent up to so many numbers
+FREQUENT = 1 / 16
+CELLS = 8 << 20
+# part of the documents from which a query reads its frequent terms for all
+MANY = 0.1
 SHARD_TEXT = 64 << 20
 
 # stands for a null id inside an index
 NO_ID = -(1 << 63)
 
-_WORD = re.compile(WORD)
-_TABLE = str.maketrans(UPPER, LOWER)
-# terms a task remembers with their hashes
-_CACHE = 200_000
+# bytes of text that are cut into words at a time, and postings held at a time
+SLICE = 4 << 20
+HELD = 1 << 20
+# the word rule byte by byte: letters in lower case, a space for what separates words
+_BYTES = bytes(ord(" ") if b < 128 and not chr(b).isalnum() else b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class TermHasher:
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        """XXH64 of words, none of which holds a space."""
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+        return np.fromiter(map(xxhash.xxh64_intdigest, line[0].as_buffer().to_pybytes().split(b" ")), np.uint64, len(words))
+
+    def _pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in order; number of text and hash, and count, of every distinct term; and the words of each text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])) if len(texts) and at[-1] > at[0] else b""
+        # what separates words becomes a space, byte by byte, so that texts begin where they did
+        plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[:1]).tobytes()), pa.py_buffer(bytes(data).translate(_BYTES)))
+        cut = pc.ascii_split_whitespace(plain)
+        words, of = cut.flatten().dictionary_encode(), np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+        hashes, number = self._hashes(words.dictionary), words.indices.to_numpy()
+        spelled = pc.binary_length(words.dictionary).to_numpy() > 0
+        if not spelled.all():  # what stands before a leading separator
+            kept = spelled[number]
+            of, number = of[kept], number[kept]
+        order = np.argsort(hashes)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        pairs, n = np.unique(of * len(order) + place[number], return_counts=True)
+        total = np.bincount(of, minlength=len(texts))
+        of, number = np.divmod(pairs, max(1, len(order)))
+        return hashes[order], of, number, n, total
+
+    def count_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text number, term hash and count of every distinct term, in the order of both; and the words of each text."""
+        hashes, of, number, n, total = self._pairs(texts)
+        return of, hashes[number], n, total
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Distinct term hashes in order, how often each stands there, and the number of words."""
-        words = _WORD.findall(text.lower() if text.isascii() else text.translate(_TABLE))
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        known, got = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            got.append(h)
-        terms, n = np.unique(np.array(got, dtype=np.uint64), return_counts=True)
-        return terms, n, len(words)
+        _, terms, n, words = self.count_all(pa.array([text]))
+        return terms, n, int(words[0])
 
 
 def _document_frequencies():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher()
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                counted = [hasher.counts(t or "")[:2] for t in part.column("text").to_pylist()]
-                values, at, n = np.unique(np.concatenate([t for t, _ in counted]), return_inverse=True, return_counts=True)
+            for part in byte_slices(batch, "text", SLICE):
+                hashes, _, number, n, _ = hasher._pairs(part.column("text"))
+                df = np.bincount(number, minlength=len(hashes))
                 # whole numbers below 2**53 are exact
-                words = np.bincount(at, weights=np.concatenate([c for _, c in counted]), minlength=len(values)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(words)], names=["term", "df", "words"])
+                words = np.bincount(number, weights=n, minlength=len(hashes)).astype(np.int64)
+                met = df > 0
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[met].view(np.int64)), pa.array(df[met]), pa.array(words[met])], names=["term", "df", "words"])
 
     return run
 
@@ -87,62 +115,116 @@ def _query_terms():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TermHasher()
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                got = [hasher.counts(t or "")[:2] for t in part.column("text").to_pylist()]
-                of = np.repeat(np.arange(len(got)), [len(t) for t, _ in got])
+            for part in byte_slices(batch, "text", SLICE):
+                of, terms, n, _ = hasher.count_all(part.column("text"))
                 yield pa.RecordBatch.from_arrays([
                     part.column("query_id").take(pa.array(of)), part.column("query_row").take(pa.array(of)),
-                    pa.array(np.concatenate([t for t, _ in got]).view(np.int64)), pa.array(np.concatenate([n for _, n in got]).astype(np.int64)),
+                    pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64)),
                 ], names=["query_id", "query_row", "term", "n"])
 
     return run
 
 
 class ShardIndex:
-    """Postings of one shard; documents are added, then ``close`` sorts them by term and cuts blocks."""
+    """Postings of one shard; documents are added, then ``close`` sorts them by term and lays out the frequent ones."""
 
     def __init__(self, mean_words: float):
         self.mean = mean_words
         self.ids: list[int] = []
-        self.lengths: list[int] = []
+        self.lengths: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, ids: list[int], counted: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
-        base, sizes = len(self.ids), [len(t) for t, _, _ in counted]
+        of = np.repeat(np.arange(len(ids)), [len(t) for t, _, _ in counted])
+        self.add_all(ids, of, np.concatenate([t for t, _, _ in counted]), np.concatenate([n for _, n, _ in counted]), np.array([w for _, _, w in counted]))
+
+    def add_all(self, ids: list[int], of: np.ndarray, terms: np.ndarray, n: np.ndarray, words: np.ndarray) -> None:
+        """Documents as ``TermHasher.count_all`` gives them."""
+        self.parts.append((terms, (of + len(self.ids)).astype(np.int32), n.astype(np.min_scalar_type(int(n.max(initial=0))))))
         self.ids += ids
-        self.lengths += [w for _, _, w in counted]
-        doc = np.repeat(np.arange(base, base + len(ids), dtype=np.int32), sizes)
-        self.parts.append((np.concatenate([t for t, _, _ in counted]), doc, np.concatenate([n for _, n, _ in counted]).astype(np.int32)))
+        self.lengths.append(words)
 
     def impacts(self, doc: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """What each posting adds to a score, per unit of the query's weight."""
         return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def close(self) -> "ShardIndex":
-        term, doc, tf = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        term = np.concatenate([t for t, _, _ in self.parts])
+        doc, self.doc_tf = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2))
         self.parts = []
-        self.norm = K1 * (1 - B + B * np.array(self.lengths, dtype=np.float64) / self.mean)
+        self.norm = K1 * (1 - B + B * np.concatenate(self.lengths).astype(np.float64) / self.mean)
         self.id_array = np.array(self.ids, dtype=np.int64)
+        # postings in the order they came in, document by document, then term by term
+        self.doc_at = np.searchsorted(doc, np.arange(len(self.ids) + 1, dtype=np.int32))
         order = np.argsort(term, kind="stable")  # documents stay in order inside a term
-        term, self.doc = term[order], doc[order]
-        self.impact = self.impacts(self.doc, tf[order])
-        block = self.doc // BLOCK_DOCS
-        changed = lambda x: np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
-        new_term = changed(term)
-        entry = np.flatnonzero(new_term | changed(block))
-        self.entry_at = np.append(entry, len(term))  # postings of an entry (term and block)
-        largest = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
-        self.entry_block, self.entry_max = block[entry], np.nextafter(largest.astype(np.float32), np.float32(np.inf))
-        starts = np.flatnonzero(new_term)
-        self.terms, self.term_at = term[starts], np.append(np.searchsorted(entry, starts), len(entry))
-        self.term_edge = self.entry_at[self.term_at]  # postings of a term
-        self.blocks = int(block.max(initial=-1)) + 1
+        term, self.doc, self.tf = term[order], doc[order], self.doc_tf[order]
+        del doc
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), term[1:] != term[:-1]]))
+        self.terms, self.term_edge = term[starts], np.append(starts, len(term))  # postings of a term
+        del term
+        self.doc_term = np.empty(len(order), dtype=np.int32)
+        self.doc_term[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.term_edge))
+        del order
+        exact = self.impacts(self.doc, self.tf)
+        self.impact = exact.astype(np.float32)
+        self._open(exact)
+        self.asked = np.zeros(len(self.terms), bool)  # the terms of the query at hand
+        self.weight = np.zeros(len(self.terms))
         return self
 
+    def _open(self, impact: np.ndarray) -> None:
+        """Lay out the most frequent terms document by document, with the largest impact of each block."""
+        df, documents = np.diff(self.term_edge), len(self.ids)
+        often = np.flatnonzero(df > FREQUENT * documents)
+        often = often[np.argsort(-df[often], kind="stable")[:max(1, CELLS // max(1, documents))]]
+        self.row = np.full(len(self.terms), -1, dtype=np.int32)
+        self.row[often] = np.arange(len(often))
+        blocks = -(-documents // BLOCK_DOCS)
+        self.cells, self.entry_max = np.zeros((len(often), documents), np.float32), np.zeros((len(often), blocks), np.float32)
+        for row, t in enumerate(often.tolist()):
+            span = slice(self.term_edge[t], self.term_edge[t + 1])
+            self.cells[row, self.doc[span]] = impact[span]
+            largest = np.zeros(blocks)
+            np.maximum.at(largest, self.doc[span] // BLOCK_DOCS, impact[span])
+            self.entry_max[row] = np.nextafter(largest.astype(np.float32), np.float32(np.inf))
+
     @staticmethod
     def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
 
+    @staticmethod
+    def _cuts(size: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of rows that hold about ``HELD`` postings each, one row at least."""
+        group = (np.cumsum(size) - size) // HELD
+        edges = np.flatnonzero(np.diff(group)) + 1
+        return list(zip([0, *edges.tolist()], [*edges.tolist(), len(size)])) if len(size) else []
+
+    def _read(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of the terms ``at`` give every document, rounded."""
+        total, begin, size = np.zeros(len(self.ids)), self.term_edge[at], self.term_edge[at + 1] - self.term_edge[at]
+        for a, b in self._cuts(size):
+            spans = [slice(x, x + n) for x, n in zip(begin[a:b].tolist(), size[a:b].tolist())]
+            impact = np.concatenate([self.impact[s] for s in spans]) * np.repeat(weights[a:b], size[a:b])
+            total += np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=impact, minlength=len(total))
+        return total
+
+    def _scores(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of ``docs`` for the query at hand, in 64 bits; each sum takes a document's terms in their order."""
+        begin, size, out = self.doc_at[docs], self.doc_at[docs + 1] - self.doc_at[docs], []
+        for a, b in self._cuts(size):
+            posting = self._ranges(begin[a:b], size[a:b])
+            term = self.doc_term[posting]
+            met = np.flatnonzero(self.asked[term])
+            of = np.repeat(np.arange(b - a), size[a:b])[met]
+            out.append(np.bincount(of, weights=self.impacts(docs[a:b][of], self.doc_tf[posting[met]]) * self.weight[term[met]], minlength=b - a))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _best(self, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        score = self._scores(docs)
+        docs, score = docs[score > 0], score[score > 0]
+        best = np.lexsort((self.id_array[docs], -score))[:k]
+        return self.id_array[docs[best]], score[best]
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best k documents."""
         if not len(self.terms):
@@ -153,47 +235,49 @@ class ShardIndex:
         at, weights = at[here], weights[here]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        size = self.term_at[at + 1] - self.term_at[at]
-        entries, weight = self._ranges(self.term_at[at], size), np.repeat(weights, size)
-        block = self.entry_block[entries]
-        # one rounding more or less must not hide a tie
-        bound = np.bincount(block, weights=self.entry_max[entries] * weight, minlength=self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, least, wave, begin = np.zeros(0, np.int64), np.zeros(0), 0.0, 4, 0
-        while begin < len(order) and (len(found) < k or bound[order[begin]] >= least):
-            if len(found) >= k and np.count_nonzero(bound[order[begin:]] >= least) > MANY * self.blocks:
-                return self._read_all(at, weights, k)
-            taken = order[begin:begin + wave]
-            if len(found) >= k:
-                taken = taken[bound[taken] >= least]
-            begin, wave = begin + len(taken), wave * 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[taken] = True
-            pick = chosen[block]
-            e = entries[pick]
-            size = self.entry_at[e + 1] - self.entry_at[e]
-            posting = self._ranges(self.entry_at[e], size)
-            doc = self.doc[posting]
-            total = np.bincount(doc, weights=self.impact[posting] * np.repeat(weight[pick], size))
-            hit = np.flatnonzero(total > 0)
-            found, scores = np.concatenate([found, self.id_array[hit]]), np.concatenate([scores, total[hit]])
-            best = np.lexsort((found, -scores))[:k]
-            found, scores = found[best], scores[best]
-            least = scores[-1] if len(found) >= k else 0.0
-        return found, scores
-
-    def _read_all(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents by all postings of the terms ``at``; each sum takes them in the order of ``search``."""
-        total = np.zeros(len(self.id_array))
-        begin, end = self.term_edge[at].tolist(), self.term_edge[at + 1].tolist()
-        for a, b, w in zip(begin, end, weights.tolist()):
-            total[self.doc[a:b]] += self.impact[a:b] * w
+        self.asked[at], self.weight[at] = True, weights
+        try:
+            return self._search(at, weights, k)
+        finally:
+            self.asked[at] = False
+
+    def _search(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        row, documents = self.row[at], len(self.ids)
+        total = self._read(at[row < 0], weights[row < 0])
+        row, weights = row[row >= 0], weights[row >= 0]
+        # sums of rounded numbers must not hide a document
+        self.slack = 1 + (len(at) + 8) * 2.0 ** -22
+        if documents > k:
+            leading = np.argpartition(total, documents - k)[documents - k:]
+            least = (total[leading] + weights @ self.cells[row[:, None], leading]).min()
+        else:
+            least = 0.0
+        ceiling = total + np.repeat(weights @ self.entry_max[row], BLOCK_DOCS)[:documents]
+        left = np.flatnonzero((ceiling > 0) & (ceiling * self.slack >= least))
+        if len(left) > MANY * documents:
+            return self._read_all(total, row, weights, k)
+        reached = total[left]
+        for r, w in zip(row.tolist(), weights.tolist()):
+            reached += self.cells[r][left] * w
+        return self._best(left, reached, k)
+
+    def _read_all(self, total: np.ndarray, row: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k documents, where ``total`` lacks the frequent terms ``row`` of every document."""
+        more, add = np.zeros((2, len(total)), np.float32)
+        for r, w in zip(row.tolist(), weights.tolist()):
+            more += np.multiply(self.cells[r], np.float32(w), out=add)
+        total += more
         hit = np.flatnonzero(total > 0)
-        if len(hit) > k:  # the k-th best score, and what ties with it
-            hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
-        best = hit[np.lexsort((self.id_array[hit], -total[hit]))[:k]]
-        return self.id_array[best], total[best]
+        return self._best(hit, total[hit], k)
+
+    def _best(self, docs: np.ndarray, reached: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of ``docs``, which have ``reached`` these scores but for rounding."""
+        if len(docs) > k:
+            docs = docs[reached * self.slack >= np.partition(reached, len(docs) - k)[len(docs) - k]]
+        score = self._scores(docs)
+        docs, score = docs[score > 0], score[score > 0]
+        best = np.lexsort((self.id_array[docs], -score))[:k]
+        return self.id_array[docs[best]], score[best]
 
 
 def _search_shards(mean_words: float, k: int):
@@ -204,15 +288,15 @@ def _search_shards(mean_words: float, k: int):
         hasher, index, shard, closed = TermHasher(), None, None, False
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for part in byte_slices(batch, "text", 4 << 20):
-                # the terms of a query stay in their buffers
-                rows, asked, weights = part.select(["shard", "kind", "id", "row", "text"]).to_pydict(), part.column("terms"), part.column("weights")
+            for part in byte_slices(batch, "text", SLICE):
+                # texts and the terms of a query stay in their buffers
+                rows, asked, weights = part.select(["shard", "kind", "id", "row"]).to_pydict(), part.column("terms"), part.column("weights")
                 cut = [i for i in range(part.num_rows) if i == 0 or (rows["shard"][i], rows["kind"][i]) != (rows["shard"][i - 1], rows["kind"][i - 1])]
                 for a, b in zip(cut, [*cut[1:], part.num_rows]):
                     if rows["shard"][a] != shard:
                         shard, index, closed = rows["shard"][a], ShardIndex(mean_words), False
                     if rows["kind"][a] == 0:
-                        index.add([NO_ID if x is None else x for x in rows["id"][a:b]], [hasher.counts(t or "") for t in rows["text"][a:b]])
+                        index.add_all([NO_ID if x is None else x for x in rows["id"][a:b]], *hasher.count_all(part.column("text").slice(a, b - a)))
                         continue
                     if not closed and index.parts:
                         index.close()
@@ -254,7 +338,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "d
         F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("row"), "text",
         F.lit(None).cast("array<bigint>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"),
     )
-    met = own.unionByName(ask).repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "kind", "id")
+    # each shard has a task of its own, which a hash of its number would not give
+    met = own.unionByName(ask).repartitionById(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "kind", "id")
     found = met.mapInArrow(_search_shards(float(words or 1.0) or 1.0, k), "query_id long, query_row long, doc_id long, score double")
     best = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
