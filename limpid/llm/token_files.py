@@ -14,6 +14,7 @@ the text are read.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -24,11 +25,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from limpid.llm.common import byte_slices, tidy
-from limpid.llm.prefix_bpe import NARROW, spelled_out
 from limpid.llm.repair import END, Block, pack
 from limpid.session import scratch_path
 
@@ -39,8 +41,48 @@ BLOCK_IDS = 1 << 20
 RANGE_BYTES = 32 << 20
 # pieces that a process remembers of late, and as many from before
 CACHE_PIECES = 150_000
-# what the tokenizer's file cuts texts by, fixed value; letters come first, as nothing else begins with one
-PIECES = r"[\p{L}]+|[\p{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+"
+# the tokenizer's file cuts texts by [\p{L}]+|[\p{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s\p{L}\p{N}]+, fixed value
+BLANK, LETTER, NUMBER, OTHER = range(4)
+SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
+# code points that are cut here lie below
+LATIN = 0x180
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    kinds = np.full(LATIN, OTHER, np.uint8)
+    for kind, member in ((BLANK, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        kinds[[c for c in range(LATIN) if regex.match(member, chr(c))]] = kind
+    return kinds
+
+
+def cut_pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of lower-case Latin texts, and where each text's begin, with the end of the last."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-16-le"), "<u2")
+    kind = _kinds()[codes]
+    begins = kind == NUMBER
+    begins[:1] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    # an apostrophe that begins a run takes an ending with it, and what follows that is a piece of its own
+    quote = np.flatnonzero(begins & (codes == ord("'")))
+    after = [np.where(quote + k < len(codes), codes[np.minimum(quote + k, len(codes) - 1)], 0) for k in (1, 2)]
+    long = np.any([(after[0] == ord(x[0])) & (after[1] == ord(x[1])) for x in LONG_ENDS], axis=0)
+    short = np.isin(after[0], [ord(x) for x in SHORT_ENDS])
+    begins[quote[short | long] + 1] = False
+    rest = np.concatenate([quote[short] + 2, quote[long] + 3])
+    rest = rest[rest < len(codes)]
+    begins[rest[kind[rest] == LETTER]] = True
+    kept = kind != BLANK
+    begins &= kept
+    # without blanks a piece ends where the next begins
+    of_text = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bounds = np.searchsorted(np.flatnonzero(begins), of_text)
+    codes = codes[kept]
+    at = np.append(np.flatnonzero(begins[kept]), len(codes))
+    data = codes.tobytes().decode("utf-16-le").encode()
+    if len(data) > len(codes):  # two bytes from U+0080 on
+        at = np.append(0, np.cumsum(1 + (codes >= 128)))[at]
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)), bounds
 
 
 class Encoder:
@@ -60,12 +102,12 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not added
         self.model = self.library.model
-        self.cut, self.cut_ascii = (re.compile(spelled_out(PIECES, below)).findall for below in (NARROW, 128))
         self.held = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.foreign = re.compile("[^\0-\u012f\u0131-\u017f]").search
-        # byte-level spelling: bytes that print stand for themselves, the others for letters from 256 on
+        # byte-level spelling: bytes that print stand for themselves, the others for letters from 256 on; no piece holds a space
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-        self.spelling = {b: 256 + k for k, b in enumerate(hidden)}
+        spelling = {b: chr(256 + k) for k, b in enumerate(hidden)} | {ord(" "): " "}
+        self.spelling = "".join(spelling.get(b, chr(b)) for b in range(256))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -76,18 +118,33 @@ class Encoder:
         """Whether a text has to go through the whole library."""
         return not text.isascii() and self.foreign(text) is not None or any(t in text for t in self.held)
 
-    def _piece(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.spelling)
+    def _piece(self, spelled: str) -> bytes:
         return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def _pack_latin(self, texts: list[str]) -> list[bytes]:
+        pieces, bounds = cut_pieces(texts)
+        if not len(pieces):
+            return [b""] * len(texts)
+        coded = pieces.dictionary_encode()
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")
+        spelled = codecs.charmap_decode(line[0].as_buffer().to_pybytes(), "strict", self.spelling)[0].split(" ")
+        number, packed = coded.indices.to_numpy(), list(map(self.known.get, spelled))
+        for k in [k for k, x in enumerate(packed) if x is None]:
+            packed[k] = self.known[spelled[k]] = self.older.get(spelled[k]) or self._piece(spelled[k])
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        ids, begin, size = np.frombuffer(b"".join(packed), "<u2"), (np.cumsum(size) - size)[number], size[number]
+        ends = np.cumsum(size)
+        out = ids[np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size)].tobytes()
+        edges = (2 * np.append(0, ends)[bounds]).tolist()
+        return [out[a:b] for a, b in zip(edges, edges[1:])]
+
     def pack_all(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, {}
-        cut = [None if self.other(t) else self.cut_ascii(t.lower()) if t.isascii() else self.cut(t.lower()) for t in texts]
-        for piece in set().union(*(c for c in cut if c)).difference(self.known):
-            self.known[piece] = self.older.get(piece) or self._piece(piece)
-        get, whole = self.known.__getitem__, iter(self._whole([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        other = [self.other(t) for t in texts]
+        whole = iter(self._whole([t for t, o in zip(texts, other) if o]))
+        latin = iter(self._pack_latin([t.lower() for t, o in zip(texts, other) if not o]))
+        return [next(whole) if o else next(latin) for o in other]
 
 
 @lru_cache(maxsize=2)
