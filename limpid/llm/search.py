@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from limpid.llm.common import byte_slices, tidy
+from limpid.llm.common import byte_slices, give_back, tidy
 from limpid.session import stage
 
 K1, B = 1.2, 0.75
@@ -149,30 +149,36 @@ class ShardIndex:
         return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def close(self) -> "ShardIndex":
-        term = np.concatenate([t for t, _, _ in self.parts])
-        doc, self.doc_tf = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2))
+        terms, docs, counts = zip(*self.parts)
         self.parts = []
         self.norm = K1 * (1 - B + B * np.concatenate(self.lengths).astype(np.float64) / self.mean)
         self.id_array = np.array(self.ids, dtype=np.int64)
         # postings in the order they came in, document by document, then term by term
+        doc, self.doc_tf = np.concatenate(docs), np.concatenate(counts)
         self.doc_at = np.searchsorted(doc, np.arange(len(self.ids) + 1, dtype=np.int32))
-        order = np.argsort(term, kind="stable")  # documents stay in order inside a term
-        term, self.doc, self.tf = term[order], doc[order], self.doc_tf[order]
-        del doc
+        term = np.concatenate(terms)
+        del terms, docs, counts
+        # documents stay in order inside a term; what is not needed any more is given up at once
+        order = np.argsort(term, kind="stable").astype(np.int32 if len(term) < 1 << 31 else np.int64)
+        term = term[order]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(term)), bool), term[1:] != term[:-1]]))
         self.terms, self.term_edge = term[starts], np.append(starts, len(term))  # postings of a term
         del term
+        self.doc, self.tf = doc[order], self.doc_tf[order]
+        del doc
         self.doc_term = np.empty(len(order), dtype=np.int32)
         self.doc_term[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.term_edge))
         del order
-        exact = self.impacts(self.doc, self.tf)
-        self.impact = exact.astype(np.float32)
-        self._open(exact)
+        self.impact = np.empty(len(self.doc), dtype=np.float32)
+        for a in range(0, len(self.doc), HELD):
+            self.impact[a:a + HELD] = self.impacts(self.doc[a:a + HELD], self.tf[a:a + HELD])
+        self._open()
         self.asked = np.zeros(len(self.terms), bool)  # the terms of the query at hand
         self.weight = np.zeros(len(self.terms))
+        give_back()
         return self
 
-    def _open(self, impact: np.ndarray) -> None:
+    def _open(self) -> None:
         """Lay out the most frequent terms document by document, with the largest impact of each block."""
         df, documents = np.diff(self.term_edge), len(self.ids)
         often = np.flatnonzero(df > FREQUENT * documents)
@@ -183,9 +189,9 @@ class ShardIndex:
         self.cells, self.entry_max = np.zeros((len(often), documents), np.float32), np.zeros((len(often), blocks), np.float32)
         for row, t in enumerate(often.tolist()):
             span = slice(self.term_edge[t], self.term_edge[t + 1])
-            self.cells[row, self.doc[span]] = impact[span]
+            self.cells[row, self.doc[span]] = self.impact[span]
             largest = np.zeros(blocks)
-            np.maximum.at(largest, self.doc[span] // BLOCK_DOCS, impact[span])
+            np.maximum.at(largest, self.doc[span] // BLOCK_DOCS, self.impacts(self.doc[span], self.tf[span]))
             self.entry_max[row] = np.nextafter(largest.astype(np.float32), np.float32(np.inf))
 
     @staticmethod
@@ -241,6 +247,11 @@ class ShardIndex:
         finally:
             self.asked[at] = False
 
+    @staticmethod
+    def _sum(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Weighted sum of rows; a product of matrices would start threads of its own in every task."""
+        return np.einsum("i,ij->j", weights, rows)
+
     def _search(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         row, documents = self.row[at], len(self.ids)
         total = self._read(at[row < 0], weights[row < 0])
@@ -248,11 +259,12 @@ class ShardIndex:
         # sums of rounded numbers must not hide a document
         self.slack = 1 + (len(at) + 8) * 2.0 ** -22
         if documents > k:
-            leading = np.argpartition(total, documents - k)[documents - k:]
-            least = (total[leading] + weights @ self.cells[row[:, None], leading]).min()
+            kth = np.partition(total, documents - k)[documents - k]
+            leading = np.concatenate([np.flatnonzero(total > kth), np.flatnonzero(total == kth)])[:k]
+            least = (total[leading] + self._sum(weights, self.cells[row[:, None], leading])).min()
         else:
             least = 0.0
-        ceiling = total + np.repeat(weights @ self.entry_max[row], BLOCK_DOCS)[:documents]
+        ceiling = total + np.repeat(self._sum(weights, self.entry_max[row]), BLOCK_DOCS)[:documents]
         left = np.flatnonzero((ceiling > 0) & (ceiling * self.slack >= least))
         if len(left) > MANY * documents:
             return self._read_all(total, row, weights, k)
@@ -307,6 +319,8 @@ def _search_shards(mean_words: float, k: int):
                         out[1] += [rows["row"][i]] * len(ids)
                         out[2] += [None if x == NO_ID else x for x in ids.tolist()]
                         out[3] += scores.tolist()
+            if not closed:  # what cutting texts has freed lies between the parts that are kept
+                give_back()
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=names)
 

@@ -1,5 +1,6 @@
 """Words cut as buffers, frequent terms laid out, and shards that each have a task."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,19 @@ def test_a_query_reads_no_posting_of_a_frequent_term(monkeypatch):
     assert max(seen) < 2 * len(texts)  # of 20 documents' worth
 
 
+def test_closing_holds_a_posting_few_times():
+    rng = np.random.default_rng(9)
+    index, documents, each = search.ShardIndex(100.0), 2_000, 400
+    for _ in range(4):
+        terms = np.sort([rng.choice(20_000, each, replace=False) for _ in range(documents // 4)], axis=1).astype(np.uint64)
+        index.add([1] * len(terms), [(t, np.ones(each, np.int64), each) for t in terms])
+    tracemalloc.start()
+    index.close()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 45 * documents * each
+
+
 def test_every_shard_has_a_task_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_TEXT", 400)
     docs = spark.createDataFrame([(i, f"w{i} common text of some words") for i in range(200)], "doc_id long, text string")
