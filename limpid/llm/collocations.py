@@ -11,8 +11,8 @@ themselves. Frequent phrases alone are ever written as text; their parts are
 frequent too, so scores come from joins of that table with itself.
 
 Ranges are so many that one takes about ``RANGE_BYTES`` of text. Beyond ``FAN`` ranges
-they are dealt in rounds, each cutting the ranges of the round before, so that
-blocks stay large whatever the size of the corpus. A frequent word or phrase is one
+they are dealt in rounds, each cutting the ranges of the round before into about as
+many, so that every round has many tasks; only the last one gathers whole ranges. A frequent word or phrase is one
 record per block, however often it stands. Counts and scores are whole numbers;
 products are decimals of 38 digits, which counts below 10^15 cannot leave.
 
@@ -23,6 +23,7 @@ over the end of a piece or text; only id, text and lang are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ TURNS = 4
 HELD = 6_000_000
 """n-grams that a task holds before it gives out blocks."""
 RANGE_BYTES = 8 << 20
-FAN = 512
+FAN = 4096
 CLASHES = 1_000_000
 """Collided fingerprints that are counted anew in one pass; more take more passes."""
 
@@ -111,28 +112,35 @@ def _fingerprints(prints: Prints, width: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, str, int], int, Block]]:
-    """Blocks of one range, language and size, which come next to each other, as one."""
-    last, held, words = None, [], 0
+def _grouped(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[tuple[tuple[int, str, int], int, Block]]:
+    """Blocks of one range, language and size, which come next to each other, as one; or as several of about ``HELD``."""
+    last, held, words, size_held, limit = None, [], 0, 0, HELD
     for batch in batches:
         for part in byte_slices(batch, "data"):
             for r, lang, n, w, size, data in zip(*(part.column(c).to_pylist() for c in part.schema.names), strict=True):
                 if (r, lang, n) != last:
                     if held:
                         yield last, words, combine(held)
-                    last, held, words = (r, lang, n), [], 0
+                    last, held, words, size_held, limit = (r, lang, n), [], 0, 0, HELD
                 held.append(Block.unpack(data, size))
                 words += w
-                # what has come so far is made one block from time to time
-                if sum(map(len, held)) > HELD and len(held) > 1:
-                    held = [combine(held)]
+                size_held += size
+                if size_held <= limit or len(held) == 1:
+                    continue
+                held = [combine(held)]
+                size_held = len(held[0])
+                if whole:  # made one block again when it has doubled, so that none is sorted over and over
+                    limit = max(HELD, 2 * size_held)
+                elif size_held > HELD // 2:
+                    yield last, words, held[0]
+                    held, words, size_held = [], 0, 0
     if held:
         yield last, words, combine(held)
 
 
 def _narrower(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lang, n), _words, block in _grouped(batches):
+        for (_, lang, n), _words, block in _grouped(batches, whole=False):
             yield from _rows({(lang, n): block}, width)
 
     return run
@@ -156,14 +164,20 @@ def _frequent(least: int):
     return run
 
 
+def _rounds(ranges: int, fan: int) -> list[int]:
+    """Number of ranges after each round: as few rounds as cut none into more than ``fan``, which cut alike."""
+    times = 1
+    while fan ** times < ranges:
+        times += 1
+    return [*(math.ceil(ranges ** (i / times)) for i in range(1, times)), ranges]
+
+
 def frequent_prints(docs: DataFrame, least: int = FREQUENT, moduli: tuple[int, int, int] = MODULI, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
     """(lang, n, print, check, key, a) of frequent n-grams; as size 0, words per language in parts."""
     given, prints = _given(docs), Prints(moduli)
     text_bytes = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = text_bytes // range_bytes + 1
-    rounds = [ranges]
-    while rounds[0] > fan:
-        rounds.insert(0, -(-rounds[0] // fan))
+    rounds = _rounds(ranges, fan)
     widths = [prints.span // r + 1 for r in rounds]
     blocks = given.mapInArrow(tidy(_fingerprints(prints, widths[0])), BLOCKS)
     for i, parts in enumerate(rounds):
