@@ -58,6 +58,24 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def reuse_freed() -> None:
+    """Let arrays of up to 2 MB take what others have freed; fresh pages cost more than what numpy does with them."""
+    with contextlib.suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 2 << 20)   # M_MMAP_THRESHOLD
+        library.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD; give_back returns it all
+
+
+def one_thread() -> None:
+    """Keep numpy's products of matrices on the core that the task has; its library would start threads for all cores."""
+    with contextlib.suppress(OSError):  # a system without this file sets OMP_NUM_THREADS itself
+        with open("/proc/self/maps") as maps:
+            for path in {line.split(maxsplit=5)[-1].strip() for line in maps if "openblas" in line}:
+                for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                    if hasattr(library := ctypes.CDLL(path), name):
+                        getattr(library, name)(1)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for ``mapInArrow`` that leaves its worker small."""
 
