@@ -150,22 +150,24 @@ def _names(text: np.ndarray, leftmost: np.ndarray, ordered: np.ndarray) -> np.nd
 
 
 def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by at least ``depth`` names (prefix doubling)."""
-    rank, span = names, 1
-    while True:
-        top = int(rank.max()) + 1
-        if span >= depth or top > len(rank):
-            return np.argsort(rank, kind="stable")
-        following = np.zeros(len(rank), dtype=np.int64)
-        if span < len(rank):
-            following[:-span] = rank[span:]
-        key = rank * top + following
-        order = np.argsort(key, kind="stable")
-        moved = np.empty(len(rank), dtype=np.int64)
-        moved[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]))
-        if int(moved.max()) == len(rank):
-            return order
-        rank, span = moved, 2 * span
+    """Order of the suffixes of a string of names, by at least ``depth`` names (prefix doubling of what is still equal)."""
+    n, span = len(names), 1
+    order = np.argsort(names)
+    new = np.concatenate([[True], np.diff(names[order]) != 0])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # where those that are equal so far begin
+    left = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while span < depth and len(left):
+        own = order[left]
+        after = own + span
+        key = rank[own] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        within = np.argsort(key)
+        own, key = own[within], key[within]
+        order[left] = own
+        new = np.concatenate([[True], np.diff(key) != 0])
+        rank[own] = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        left, span = left[~(new & np.append(new[1:], True))], 2 * span
+    return order
 
 
 def suffix_order(text: np.ndarray, depth: int, budget: int = 256 << 20) -> np.ndarray:

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -111,9 +112,14 @@ def _texts(batch: pa.RecordBatch, text: str) -> list[bytes]:
     return [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
 
 
+def _grouping(ids: np.ndarray) -> np.ndarray:
+    """Order that brings equal ids together; numbers of two bytes are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and 0 <= ids.min() and ids.max() < 1 << 16 else ids, kind="stable")
+
+
 def _blocks(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """Rows grouped by an id: (id, packed column, ...)."""
-    order = np.argsort(ids, kind="stable")
+    order = _grouping(ids)
     ids = ids[order]
     cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     columns = [c[order] for c in columns]
@@ -162,7 +168,7 @@ def _by_row(rows: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
     """One record per row id with lists of its values."""
     if not len(rows):
         return None
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     rows = rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     offsets = pa.array(np.append(cuts, len(rows)).astype(np.int32))
@@ -219,7 +225,7 @@ def _shared_seeds(parts: int):
             h[:, :5] = raw
             h = h.view(np.uint64)[:, 0]
             rows, places = _plain(blocks, "rows", np.int64), _plain(blocks, "places", np.int32)
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, rows, places = h[order], rows[order], places[order]
             cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             shared = np.minimum.reduceat(rows, cuts) != np.maximum.reduceat(rows, cuts)
@@ -238,14 +244,14 @@ def _stretch_blocks(width: int, shards: int):
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
                 runs = Runs(_texts(part, "text"), width)
-                lists = part.column("places").to_pylist()
-                at = np.array([s + x for s, own in zip(runs.starts.tolist(), lists) for x in own], dtype=np.int64)
+                lists = part.column("places")
+                at = np.repeat(runs.starts, pc.list_value_length(lists).to_numpy()) + lists.flatten().to_numpy()
                 # a place of another row that got the same number begins no run here
                 k = np.flatnonzero(np.isin(runs.first, at))
                 if not len(k):
                     continue
                 shard = (_mixed(runs.hash[k]) % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
+                order = _grouping(shard)
                 k, shard = k[order], shard[order]
                 first, sizes, owner = runs.first[k], (runs.last[k] - runs.first[k] + width).astype(np.int32), runs.owner[k]
                 ids, rows = part.column("id").to_numpy()[owner], part.column(ROW).to_numpy()[owner]

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 import xxhash
 
-from limpid.llm import collocations, search
+from limpid.llm import collocations, induced, search
 from limpid.llm.ngram_prints import Block
 from plain import words
 
@@ -104,3 +104,17 @@ def test_queries_searched_together_find_what_each_finds():
             tf = {h: w.count(x) for x in set(w) if (h := xxhash.xxh64_intdigest(x)) in asked}
             every.append(-sum(asked[h] * c * 2.2 / (c + norm) for h, c in tf.items()))
         assert np.allclose(one[i][1], -np.sort(every)[:10], rtol=1e-12)
+
+
+def test_names_that_differ_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(2)
+    names = np.concatenate([rng.integers(1, 4000, 20_000), np.tile(rng.integers(1, 4000, 40), 3)])
+    depth, real, given = 26, np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda x, **how: given.append(len(x)) or real(x, **how))
+    order = induced._sort_names(names, depth)
+    assert sum(given) < 3 * len(names)
+    cut = [tuple(names[i:i + depth]) for i in order.tolist()]
+    assert cut == sorted(cut) and sorted(order.tolist()) == list(range(len(names)))
+    for few in ([5], [1, 1, 1, 1], [2, 1, 2, 1, 2]):
+        cut = [few[i:i + depth] for i in induced._sort_names(np.array(few), depth)]
+        assert cut == sorted(cut)
